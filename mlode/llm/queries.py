@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from mlode.llm import decontam, mixing
+from mlode.llm import chat, decontam, langid, mixing, quality, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_archive": warc.op1_warc_archive,
+        "op2_ppm_language": langid.op2_ppm_language,
+        "op4_perspective_rotation": chat.op4_perspective_rotation,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op8_token_frames": token_files.op8_token_frames,
         "op9_poisson_mixing": mixing.op9_poisson_mixing,
         "op10_minhash_decontamination": decontam.op10_minhash_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_poisson_mixing": mixing.SQL, "op10_minhash_decontamination": decontam.SQL}
+    return {
+        "op1_warc_archive": warc.SQL,
+        "op4_perspective_rotation": chat.SQL,
+        "op9_poisson_mixing": mixing.SQL,
+        "op10_minhash_decontamination": decontam.SQL,
+    }
