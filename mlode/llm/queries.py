@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from mlode.llm import chat, decontam, langid, mixing, quality, token_files, warc
+from mlode.llm import chat, decontam, langid, mixing, quality, site_tree, substring, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_archive": warc.op1_warc_archive,
         "op2_ppm_language": langid.op2_ppm_language,
+        "op3_site_style_tree": site_tree.op3_site_style_tree,
         "op4_perspective_rotation": chat.op4_perspective_rotation,
+        "op5_fixed_block_anchors": substring.op5_fixed_block_anchors,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_token_frames": token_files.op8_token_frames,
         "op9_poisson_mixing": mixing.op9_poisson_mixing,
@@ -21,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_archive": warc.SQL,
         "op4_perspective_rotation": chat.SQL,
+        "op5_fixed_block_anchors": substring.SQL,
         "op9_poisson_mixing": mixing.SQL,
         "op10_minhash_decontamination": decontam.SQL,
     }
