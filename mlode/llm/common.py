@@ -58,6 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def id_hash(*cols) -> "F.Column":
     """A 52-bit number below 1 from the md5 of the columns as text joined by ':', the same in any SQL engine."""
     key = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])

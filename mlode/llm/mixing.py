@@ -10,8 +10,8 @@ within each partition: a global shuffle, where no source or document is a key.
 
 Nulls: a null source is a source of its own; a null id counts as the text
 "null"; other null columns pass through. Rows with equal ids get equal counts.
-An empty table gives an empty table. Names made here that clash with a column
-of the input (``copy``, ``n_copies``, ``shuffle_key``) replace it.
+An empty table gives an empty table. The new columns are named by ``names``; an input column of such a
+name is replaced.
 Only DataFrame functions are used.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlode.llm.common import id_hash, table
+from mlode.llm.common import free_name, id_hash, table
 
 MOST_MEAN = 300.0
 #: Sources whose rates are sent to every task; with more, the rates come by a salted join.
@@ -69,25 +69,28 @@ def poisson_count(uniform_of, rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.transform(F.sequence(F.lit(1), parts), one), F.lit(0), lambda a, x: a + x)).otherwise(0)
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """All columns of docs for each copy, with copy (from 1), n_copies and shuffle_key."""
-    keep = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
-    docs = docs.select(*keep)
-    rates = source_rates(docs, source, weights, temperature)
+def mix_sources(
+    docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, names: tuple[str, str, str] = ("copy", "n_copies", "shuffle_key")
+) -> DataFrame:
+    """All columns of docs for each copy, with the copy's number (from 1), the number of copies and the shuffle key."""
+    copy, n_copies, shuffle_key = names
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in [x.lower() for x in names]])
+    rate, key, salt = (free_name(docs, x) for x in ("_rate", "_key", "_salt"))
+    rates = source_rates(docs, source, weights, temperature).select(F.col("_key").alias(key), F.col("_rate").alias(rate))
     some = rates.limit(MOST_SOURCES + 1).collect()
-    key = _source_key(F.col(source))
+    keyed = docs.withColumn(key, _source_key(F.col(source)))
     if not some:
-        rated = docs.withColumn("_rate", F.lit(0.0))
+        rated = docs.withColumn(rate, F.lit(0.0))
     elif len(some) <= MOST_SOURCES:
-        small = docs.sparkSession.createDataFrame([(r["_key"], r["_rate"]) for r in some], "_key string, _rate double")
-        rated = docs.withColumn("_key", key).join(F.broadcast(small), "_key").drop("_key")
+        small = docs.sparkSession.createDataFrame([tuple(r) for r in some], f"{key} string, {rate} double")
+        rated = keyed.join(F.broadcast(small), key).drop(key)
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).drop("_key", "_salt")
-    counted = rated.withColumn("n_copies", poisson_count(lambda part: id_hash(F.lit(seed), F.col(doc_id), part), F.col("_rate")).cast("int")).drop("_rate")
-    copies = counted.filter(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    dealt = copies.withColumn("shuffle_key", id_hash(F.lit(seed), F.lit("order"), F.col(doc_id), F.col("copy")))
-    return dealt.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", doc_id, "copy")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = keyed.withColumn(salt, F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int")).join(salted, [key, salt]).drop(key, salt)
+    counted = rated.withColumn(n_copies, poisson_count(lambda part: id_hash(F.lit(seed), F.col(doc_id), part), F.col(rate)).cast("int")).drop(rate)
+    copies = counted.filter(F.col(n_copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
+    dealt = copies.withColumn(shuffle_key, id_hash(F.lit(seed), F.lit("order"), F.col(doc_id), F.col(copy)))
+    return dealt.repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key, doc_id, copy)
 
 
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
