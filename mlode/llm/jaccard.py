@@ -201,9 +201,40 @@ def _unpack(raw: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _make_sets(n: int):
+#: 64-bit words of the mask that picks the documents whose sets are made: a fixed size, whatever the corpus.
+MASK_WORDS = 1 << 18
+
+
+def _mask_hash(ids: np.ndarray) -> np.ndarray:
+    return C.mix(ids.view(np.uint64)) & np.uint64(64 * MASK_WORDS - 1)
+
+
+def mask_of(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of each id. More ids than bits make it useless, never wrong: it then picks documents that no pair needs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(MASK_WORDS, np.uint64)
         for batch in batches:
+            at = _mask_hash(np.asarray(batch.column(0)))
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(words[some].view(np.int64))], ["at", "bits"])
+
+    out = np.zeros(MASK_WORDS, np.uint64)
+    for r in ids.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+        out[r["at"]] = np.int64(r["bits"]).view(np.uint64)
+    return out
+
+
+def _make_sets(n: int, mask):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = mask.value
+        for batch in batches:
+            at = _mask_hash(np.asarray(batch.column(0)))
+            picked = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            if not picked.any():
+                continue
+            batch = batch.filter(pa.array(picked))
             for i, j, data, offsets in C.text_chunks(batch.column(1)):
                 r, h = shingle_sets(data, offsets, n)
                 bounds = np.searchsorted(r, np.arange(j - i + 1))
@@ -212,31 +243,50 @@ def _make_sets(n: int):
     return run
 
 
-def _overlaps(percent: int):
+#: Documents that one task compares with a pivot.
+MEMBERS_A_TASK = 2000
+
+
+def _compare(percent: int):
+    """Rows (a, salt, role, id, grams), a pivot's sets (role 0) before its members': the members that link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heads = None, []
         for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            left, right = batch.column(2), batch.column(3)
-            for k in range(batch.num_rows):
-                x, y = left[k].as_py(), right[k].as_py()
-                small, large = sorted((len(x) // 6, len(y) // 6))
-                if 100 * small < percent * large:
+            out: tuple[list, list] = ([], [])
+            salts, roles = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if (a, salts[k]) != group:
+                    group, heads = (a, salts[k]), []
+                grams = _unpack(batch.column(4)[k].as_py())
+                if roles[k] == 0:
+                    heads.append(grams)
                     continue
-                both = np.concatenate([_unpack(x), _unpack(y)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                linked[k] = 100 * shared >= percent * (small + large - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
+                for head in heads:
+                    small, large = sorted((len(head), len(grams)))
+                    if 100 * small < percent * large:
+                        continue
+                    both = np.concatenate([head, grams])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (small + large - shared):
+                        out[0].append(a)
+                        out[1].append(b)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets link."""
-    x = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    y = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    both = pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(_overlaps(percent), "a long, b long, linked boolean").filter("linked").select("a", "b")
+    """(a, b) of the pairs whose sets link. Each b's set travels to its pivot a once; the members of a large group go to several tasks, each with the pivot's set."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MEMBERS_A_TASK)
+    salted = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / MEMBERS_A_TASK)), F.lit(0)).cast("int").alias("salt"))
+    members = salted.join(sets.select(F.col("id").alias("b"), "grams"), "b").select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id"), "grams")
+    heads = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "grams"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"), "grams")
+    routed = members.unionByName(heads).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
+    return routed.mapInArrow(_compare(percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,14 +343,15 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     groups = C.written(groups.join(pivots, "pivot"), "pivot-groups")
 
     wanted = groups.select(F.col("pivot").alias("id")).unionByName(groups.select(F.col("member").alias("id"))).distinct()
-    sets = C.written(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_make_sets(n), "id long, grams binary"), "sets")
+    mask = spark.sparkContext.broadcast(mask_of(wanted))
+    sets = C.written(rows.filter(F.col("id").isNotNull()).mapInArrow(_make_sets(n, mask), "id long, grams binary"), "sets")
 
     # first each document with the pivot that it shares most columns with, then with its other pivots
     fits = (100 * F.least("size", "p_most") >= percent * F.greatest("size", "p_least"))
     star = groups.filter(fits).select(F.col("pivot").alias("a"), F.col("member").alias("b"), "n")
     best = star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    links = C.written(verify(best, sets, percent), "links")
     checked = C.written(best, "checked")
+    links = C.written(verify(checked, sets, percent), "links")
     members = groups.select("pivot", F.col("member").alias("id"), "size").unionByName(pivots_of(groups))
     for k in range(ROUNDS + 1):
         comp = components(links)
