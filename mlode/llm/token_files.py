@@ -24,10 +24,12 @@ reports are read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,36 +124,69 @@ class FileReader:
 _WORKER: dict = {}
 
 
+#: With these parts, a tokenizer drops white space, folds case, and never joins letters or digits with other characters.
+_WORDWISE = ("{'type': 'Lowercase'}", "'behavior': 'Removed', 'invert': True", "[^\\\\s\\\\p{L}\\\\p{N}]+")
+
+
 class Encoder:
-    """Ids of whole texts. White space separates tokens here and is dropped, so a text's ids are its words' ids in order; each distinct word is encoded once."""
+    """Ids of whole texts.
+
+    Where the tokenizer drops white space, a text's ids are its words' ids in order, and each distinct word is encoded
+    once: in lower case (ASCII) and with trailing stops and commas apart, as they are pieces of their own after a
+    letter or digit. Words with a special token's "<|" are left as they are. Other tokenizers get whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        parts = json.loads(self.tokenizer.to_str())
+        said = str(parts["normalizer"]) + str(parts["pre_tokenizer"])
+        self.wordwise = parts["post_processor"] is None and all(x in said for x in _WORDWISE)
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.pieces: dict[bytes, list[int]] = {b"": []}
         self.flat, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros((1 << 16) + 1, np.int64), 0
 
     def learn(self, new: list[bytes]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode([w.decode() for w in new], add_special_tokens=False)]
+        cut = []
+        for w in new:
+            tail = b""
+            if b"<|" not in w:
+                w = w.lower()
+                if w[-1] in b".,":
+                    stem = w.rstrip(b".,")
+                    if stem and stem[-1:].isalnum():
+                        w, tail = stem, w[len(stem) :]
+            cut.append((w, tail))
+        pieces = self.pieces
+        unknown = [x for x in dict.fromkeys(x for pair in cut for x in pair) if x not in pieces]
+        pieces.update(zip(unknown, [e.ids for e in self.encode([x.decode() for x in unknown], add_special_tokens=False)], strict=True))
+        ids = [pieces[a] + pieces[b] if b else pieces[a] for a, b in cut]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         first, total = len(self.number), int(lengths.sum())
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.begin) <= first + len(ids):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.begin[first + 1 : first + 1 + len(ids)] = self.used + np.cumsum(lengths)
         self.used += total
         self.number.update(zip(new, range(first, first + len(ids)), strict=True))
 
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        ids = [e.ids + [END_ID] for e in self.encode(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk with the end id after each row, and each row's bounds."""
+        if not self.wordwise:
+            return self.whole(data, offsets)
         _, _, first = C.words(data, offsets)
         found = data.tobytes()
         cut = found.split()
