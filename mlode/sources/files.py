@@ -91,7 +91,7 @@ def register(kit: Kit) -> None:
         if c.kind.name not in ("binary", "any"):
             raise EvalError("Text.FromBinary needs a binary")
         if encoding in SPARK_NAMES and encoding != "cp1252":
-            return Col(F.regexp_replace(F.decode(c.c, F.lit(SPARK_NAMES[encoding])), "^\\x{FEFF}", ""), TEXT, c.free)
+            return Col(F.regexp_replace(F.decode(c.c, SPARK_NAMES[encoding]), "^\\x{FEFF}", ""), TEXT, c.free)
 
         @F.pandas_udf("string")
         def decode(column: pd.Series) -> pd.Series:
