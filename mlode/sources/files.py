@@ -24,7 +24,7 @@ from mlode.sources.literal import from_rows
 
 #: fixed values: code pages
 CODE_PAGES = {1200: "utf-16-le", 1201: "utf-16-be", 1252: "cp1252", 10000: "mac_roman", 20127: "ascii", 28591: "latin-1", 65000: "utf-7", 65001: "utf-8"}
-SPARK_NAMES = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "cp1252": "windows-1252", "ascii": "US-ASCII", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}
+SPARK_NAMES = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "ascii": "US-ASCII", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}
 CORRUPT = V.HIDDEN + "bad"
 
 
@@ -90,7 +90,7 @@ def register(kit: Kit) -> None:
         c = as_col(v)
         if c.kind.name not in ("binary", "any"):
             raise EvalError("Text.FromBinary needs a binary")
-        if encoding in SPARK_NAMES and encoding != "cp1252":
+        if encoding in SPARK_NAMES:
             return Col(F.regexp_replace(F.decode(c.c, SPARK_NAMES[encoding]), "^\\x{FEFF}", ""), TEXT, c.free)
 
         @F.pandas_udf("string")
