@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 
 def judge(docs: DataFrame, model: np.ndarray | None, *, text: str = "text", out: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """docs with a struct column ``out`` of FIELDS (in place of a column of that name)."""
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c.lower() != out.lower()]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out, FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
