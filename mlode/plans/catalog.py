@@ -208,6 +208,27 @@ q("value_compare", """let T = Table.SelectColumns(lineitem, {"l_orderkey", "l_qu
 q("binary_functions", """let T = Table.SelectColumns(nation, {"n_nationkey", "n_name"}), A = Table.AddColumn(T, "b", each Binary.FromText("SGVsbG8=")), B = Table.AddColumn(A, "n", each Binary.Length([b])), C = Table.AddColumn(B, "h", each Binary.ToText([b], BinaryEncoding.Hex)), D = Table.AddColumn(C, "t", each Text.FromBinary([b])) in Table.RemoveColumns(D, {"b"})""",
   "SELECT n_nationkey, n_name, 5::BIGINT AS n, '48656C6C6F' AS h, 'Hello' AS t FROM nation")
 
+q("tables_to_values", """let S = Table.Sort(Table.SelectColumns(region, {"r_regionkey", "r_name"}), {"r_regionkey"}), R = Table.ToRecords(S), W = Table.ToRows(S), C = Table.ToColumns(S), L = Table.ToList(Table.SelectColumns(S, {"r_name"}))
+  in #table({"a", "b", "c", "d", "e"}, {{R{1}[r_name], W{2}{0}, List.Count(C), Text.Combine(L, ","), Table.Buffer(S){0}[r_name]}})""",
+  "SELECT (SELECT r_name FROM region WHERE r_regionkey = 1) AS a, 2::BIGINT AS b, 2::BIGINT AS c, (SELECT string_agg(r_name, ',' ORDER BY r_regionkey) FROM region) AS d, (SELECT r_name FROM region WHERE r_regionkey = 0) AS e")
+q("record_rearranged", """let T = Table.SelectColumns(nation, {"n_nationkey", "n_name"}), A = Table.AddColumn(T, "n", each List.Count(Record.FieldNames(Record.AddField(_, "x", 1)))), B = Table.AddColumn(A, "v", each Record.ToList(Record.SelectFields(_, {"n_name"})){0}), C = Table.AddColumn(B, "w", each Record.FromList({[n_name], "z"}, {"p", "q"})[p]),
+  D = Table.AddColumn(C, "m", each Record.SelectFields(_, {"n_name", "none"}, MissingField.UseNull)[none] = null), E = Table.AddColumn(D, "o", each Record.FieldNames(Record.ReorderFields(_, {"n_name", "n_nationkey"})){0}), G = Table.AddColumn(E, "r", each Record.FieldCount(Record.RemoveFields(_, {"n", "v"}))) in G""",
+  "SELECT n_nationkey, n_name, 3::BIGINT AS n, n_name AS v, n_name AS w, true AS m, 'n_name' AS o, 5::BIGINT AS r FROM nation")
+q("list_nulls_replace", """let T = Table.SelectColumns(nation, {"n_nationkey", "n_regionkey"}), L = Table.AddColumn(T, "x", each {if [n_regionkey] = 1 then null else [n_nationkey], [n_regionkey], 3}), A = Table.AddColumn(L, "nn", each List.NonNullCount([x])), B = Table.AddColumn(A, "rn", each List.Count(List.RemoveNulls([x]))), C = Table.AddColumn(B, "has", each List.Contains([x], null)),
+  D = Table.AddColumn(C, "rep", each List.Sum(List.ReplaceValue([x], 3, 100, Replacer.ReplaceValue))), E = Table.AddColumn(D, "rm", each List.Count(List.RemoveItems([x], {3}))), G = Table.AddColumn(E, "med", each List.Median([x])), H = Table.AddColumn(G, "av", each Number.Round(List.Average([x]), 6)), I = Table.AddColumn(H, "e", each List.IsEmpty(List.Skip([x], 3))) in Table.RemoveColumns(I, {"x"})""",
+  """WITH t AS (SELECT n_nationkey, n_regionkey, [CASE WHEN n_regionkey = 1 THEN NULL ELSE n_nationkey END, n_regionkey, 3] AS x FROM nation) SELECT n_nationkey, n_regionkey, CAST(len(list_filter(x, lambda y: y IS NOT NULL)) AS BIGINT) AS nn, CAST(len(list_filter(x, lambda y: y IS NOT NULL)) AS BIGINT) AS rn, n_regionkey = 1 AS has,
+  CAST(list_sum(list_transform(x, lambda y: CASE WHEN y = 3 THEN 100 ELSE y END)) AS DOUBLE) AS rep, CAST(len(list_filter(x, lambda y: y IS NULL OR y <> 3)) AS BIGINT) AS rm, CAST(list_median(x) AS DOUBLE) AS med, round_even(list_avg(x), 6) AS av, true AS e FROM t""")
+q("current_and_zone", """let T = Table.TransformColumnTypes(Table.SelectColumns(orders, {"o_orderkey", "o_orderdate"}), {{"o_orderdate", type date}}), A = Table.AddColumn(T, "m", each Date.IsInCurrentMonth([o_orderdate])), B = Table.AddColumn(A, "y", each Date.IsInCurrentYear([o_orderdate])), C = Table.AddColumn(B, "past", each DateTime.From([o_orderdate]) < DateTime.LocalNow()),
+  D = Table.AddColumn(C, "z", each DateTime.AddZone(DateTime.From([o_orderdate]), 0) = DateTime.AddZone(DateTime.From([o_orderdate]), 1)) in Table.RemoveColumns(D, {"o_orderdate"})""",
+  "SELECT o_orderkey, date_trunc('month', o_orderdate) = date_trunc('month', current_date) AS m, year(o_orderdate) = year(current_date) AS y, o_orderdate < current_date AS past, false AS z FROM orders")
+q("datetime_parts", """let T = Table.SelectColumns(events, {"event_id", "ts"}), A = Table.AddColumn(T, "d", each DateTime.Date([ts])), B = Table.AddColumn(A, "s", each Time.Second([ts])), C = Table.AddColumn(B, "e", each Date.EndOfMonth([ts])), D = Table.AddColumn(C, "p", each Date.AddDays([ts], 1.5)), E = Table.AddColumn(D, "q", each Date.AddMonths([ts], -2)), G = Table.AddColumn(E, "same", each Time.From([ts]) = DateTime.Time([ts])) in Table.RemoveColumns(G, {"ts"})""",
+  "SELECT event_id, CAST(ts AS DATE) AS d, second(ts) AS s, CAST(last_day(ts) AS TIMESTAMP) AS e, ts + INTERVAL 36 HOUR AS p, ts - INTERVAL 2 MONTH AS q, true AS same FROM events")
+q("random_values", """let T = Table.SelectColumns(supplier, {"s_suppkey"}), A = Table.AddColumn(T, "r", each Number.Random() < 1), B = Table.AddColumn(A, "b", each Number.RandomBetween(5, 6) >= 5), C = Table.AddColumn(B, "g", each Text.Length(Text.NewGuid())) in C""",
+  "SELECT s_suppkey, true AS r, true AS b, 36::BIGINT AS g FROM supplier")
+q("csv_text", """let T = Table.PromoteHeaders(Csv.Document("k;v#(lf)1;""a;b""#(lf)2;c", [Delimiter = ";"])), U = Table.TransformColumnTypes(T, {{"k", Int64.Type}}) in U""", "SELECT * FROM (VALUES (1::BIGINT, 'a;b'), (2, 'c')) t(k, v)")
+q("reorder_replace_rows", """let A = Table.ReplaceValue(Table.SelectColumns(customer, {"c_custkey", "c_nationkey", "c_acctbal"}), each [c_nationkey], each [c_nationkey] + 100, Replacer.ReplaceValue, {"c_nationkey"}) in Table.SelectRows(A, each [c_acctbal] > 0)""",
+  "SELECT c_custkey, c_nationkey + 100 AS c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_m(spark, sf_dir, FLAGSHIP)
