@@ -6,8 +6,8 @@ child sequences (presentation) and of the texts below it (content), each divided
 by its largest possible value, the log of the number of instances. Its importance
 is (1 - GAMMA**l) * presentation + GAMMA**l * content for l children on average.
 Text that every page repeats and layout that never changes score near 0, articles
-near 1. Branches below ``LEAST`` (``LEAST_INSIDE`` within an article element) are
-removed from each page. Hosts of fewer than ``FEW_PAGES`` pages are judged by the
+near 1. Blocks whose node is below ``LEAST`` (``LEAST_INSIDE`` within an article
+element) and branches below ``LEAST_INSIDE`` are removed from each page. Hosts of fewer than ``FEW_PAGES`` pages are judged by the
 tree of all pages instead, and a node with fewer than ``FEW_PAGES`` instances
 there is kept. Fixed priors go first: elements that never hold an article
 (scripts, forms, navigation, ...) and classes that name boilerplate are removed,
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from mlode.llm import common as C
 
 GAMMA = 0.9
-LEAST = 0.8
+LEAST = 0.5
 LEAST_INSIDE = 0.2
 FEW_PAGES = 30
 #: Low nodes that are sent to every task; with more, they come by a salted join on the host.
@@ -230,9 +230,13 @@ def main_text(page: str, low: dict[int, float]) -> str:
     if any(b.core for b, _ in found):
         found = [x for x in found if x[0].core]
 
-    def kept(node: _Node | None) -> bool:
+    def kept(block: _Node) -> bool:
+        if low.get(block.key, 1.0) < (LEAST_INSIDE if block.core else LEAST):
+            return False
+        node = block.up
         while node is not None and node.up is not None:
-            if low.get(node.key, 1.0) < (LEAST_INSIDE if node.core else LEAST):
+            # a branch with an important part can be of middling importance as a whole
+            if low.get(node.key, 1.0) < LEAST_INSIDE:
                 return False
             node = node.up
         return True
