@@ -8,7 +8,7 @@ whose words also start in a document with a smaller doc_id is removed.
    go to the partition of their hash as packed arrays (4 bytes a hash), not rows.
    A probe hits if a block with its hash is in a smaller document; a block is hit
    if a larger document probes it. Hits return as bits and block numbers.
-2. Extension: the windows around hits are compared exactly, by 128 bits of hash:
+2. Extension: the windows around hits are compared by two hashes (64 bits and the partition):
    windows around hit blocks are the references, windows around hit probes are
    looked up in them, and hits that extend to whole windows return as positions.
    Overlapping windows make up the maximal repeats.
@@ -25,7 +25,7 @@ tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +37,9 @@ from mlode.llm import common as C
 
 WINDOW = 13
 LAST_ID = (1 << 63) - 1
-MINS, PROBES, OWNERS = 0, 1, 2
+OWNERS, PROBES = 0, 1
+#: Blocks of a partition that are held in memory until all its probes are known; beyond it they wait in a temporary file.
+HELD_BYTES = 64 << 20
 
 
 def partition_keys(spark: SparkSession, n: int) -> list[int]:
@@ -54,22 +56,26 @@ def _runs(part: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return order, np.searchsorted(part[order], np.arange(n + 1))
 
 
-def _blob(ids: np.ndarray, marks: np.ndarray, row: np.ndarray, *columns: np.ndarray) -> bytes:
-    """The documents (id, mark, entries) and the entries' columns of a part of a chunk; row is ascending."""
+def _blob(ids: np.ndarray, marks: np.ndarray, row: np.ndarray, *columns: np.ndarray, places: np.ndarray | None = None) -> bytes:
+    """The documents (id, mark, entries) and the entries' columns of a part of a chunk; row is ascending. Places take two bytes where they fit."""
     edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     docs = row[edge]
     counts = np.diff(np.append(edge, len(row))).astype(np.uint32)
     own = ids[docs]
-    return b"".join([np.array([len(docs), len(row)], np.uint32).tobytes(), np.diff(own, prepend=np.int64(0)).tobytes(), marks[docs].tobytes(), counts.tobytes(), *(c.tobytes() for c in columns)])
+    wide = 0
+    if places is not None:
+        wide = 2 if int(places.max()) < 1 << 16 else 4
+        columns = (*columns, places.astype(f"u{wide}"))
+    return b"".join([np.array([len(docs), len(row), wide], np.uint32).tobytes(), np.diff(own, prepend=np.int64(0)).tobytes(), marks[docs].tobytes(), counts.tobytes(), *(c.tobytes() for c in columns)])
 
 
 def _unblob(blob: bytes, *kinds: str) -> tuple[np.ndarray, ...]:
-    """ids and marks of the documents, counts, then the columns."""
-    d, n = np.frombuffer(blob, np.uint32, 2).tolist()
-    at = 8
+    """ids and marks of the documents, counts, then the columns, then places if it has some."""
+    d, n, wide = np.frombuffer(blob, np.uint32, 3).tolist()
+    at = 12
     out = [np.cumsum(np.frombuffer(blob, np.int64, d, at))]
     at += 8 * d
-    for kind, size in (("u4", d), ("u4", d), *((k, n) for k in kinds)):
+    for kind, size in (("u4", d), ("u4", d), *((k, n) for k in kinds), *(((f"u{wide}", n),) if wide else ())):
         out.append(np.frombuffer(blob, kind, size, at))
         at += size * np.dtype(kind).itemsize
     out[2] = out[2].astype(np.int64)
@@ -116,25 +122,17 @@ def _emit_anchors(keys: list[int], block: int, window: int):
                 kinds, parts, blobs = [], [], []
                 part, low = _route(grams, n)
                 own = np.flatnonzero(place % block == 0)
-                for kind, chosen in ((PROBES, None), (OWNERS, own)):
-                    p, h, r, b = (part, low, row, None) if chosen is None else (part[chosen], low[chosen], row[chosen], (place[chosen] // block).astype(np.uint32))
+                for kind, chosen in ((OWNERS, own), (PROBES, None)):
+                    p, h, r, b = (part, low, row, None) if chosen is None else (part[chosen], low[chosen], row[chosen], place[chosen] // block)
                     order, bounds = _runs(p, r, n)
                     h, r = h[order], r[order]
                     b = None if b is None else b[order]
                     for k in range(n):
                         s, e = int(bounds[k]), int(bounds[k + 1])
-                        if s == e:
-                            continue
-                        kinds.append(kind)
-                        parts.append(keys[k])
-                        blobs.append(_blob(ids[i:j], marks[i:j], r[s:e], h[s:e], *([] if b is None else [b[s:e]])))
-                        if kind == OWNERS:  # the smallest id of each hash, for the first pass
-                            at = np.lexsort((ids[i:j][r[s:e]], h[s:e]))
-                            hs, ds = h[s:e][at], ids[i:j][r[s:e]][at]
-                            edge = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-                            kinds.append(MINS)
+                        if s < e:
+                            kinds.append(kind)
                             parts.append(keys[k])
-                            blobs.append(hs[edge].tobytes() + ds[edge].tobytes())
+                            blobs.append(_blob(ids[i:j], marks[i:j], r[s:e], h[s:e], places=None if b is None else b[s:e]))
                 if kinds:
                     yield _rows(kinds, parts, blobs)
 
@@ -176,41 +174,67 @@ def _hit_rows(ids, marks, kind: int, part: int, blobs: list[bytes]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(blobs, pa.binary())], ["id", "mark", "kind", "part", "blob"])
 
 
+class _Held:
+    """Blobs to be read once more, in memory or, if they are many, in an unnamed temporary file."""
+
+    def __init__(self):
+        self.file, self.sizes = tempfile.SpooledTemporaryFile(HELD_BYTES), []
+
+    def add(self, blob: bytes) -> None:
+        self.file.write(blob)
+        self.sizes.append(len(blob))
+
+    def __iter__(self) -> Iterator[bytes]:
+        self.file.seek(0)
+        for n in self.sizes:
+            yield self.file.read(n)
+        self.file.close()
+
+
 def _answer_anchors(numbers: dict[int, int]):
+    def owners_hit(part: int, index: "_Smallest", largest: np.ndarray, held: _Held) -> Iterator[pa.RecordBatch]:
+        """Blocks that a larger document probed."""
+        for blob in held:
+            ids, marks, counts, hashes, block = _unblob(blob, "u4")
+            own = np.repeat(ids, counts)
+            at, there = index.find(hashes)
+            hit = there & (largest[at] > own)
+            ends = np.cumsum(counts)
+            some = np.flatnonzero(C.row_sums(hit, np.concatenate([[0], ends])))
+            if len(some):
+                begins = ends - counts
+                yield _hit_rows(ids[some], marks[some].astype(np.int64), OWNERS, numbers[part], [block[begins[k] : ends[k]][hit[begins[k] : ends[k]]].astype(np.uint32).tobytes() for k in some])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, index, largest = None, _Smallest("u4"), np.zeros(0, np.int64)
+        part, index, largest, held = None, _Smallest("u4"), None, _Held()
         for batch in batches:
             for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if p != part:
-                    part, index, largest = p, _Smallest("u4"), None
-                if kind == MINS:
-                    n = len(blob) // 12
-                    index.add(np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.int64, n, 4 * n))
+                    if largest is not None:
+                        yield from owners_hit(part, index, largest, held)
+                    part, index, largest, held = p, _Smallest("u4"), None, _Held()
+                if kind == OWNERS:
+                    ids, _, counts, hashes, _ = _unblob(blob, "u4")
+                    index.add(hashes, np.repeat(ids, counts))
+                    held.add(blob)
                     continue
                 if largest is None:
                     index.settle()
                     largest = np.full(len(index.hash), -(1 << 63), np.int64)
-                if kind == PROBES:
-                    ids, marks, counts, hashes = _unblob(blob, "u4")
-                    own = np.repeat(ids, counts)
-                    at, there = index.find(hashes)
-                    np.maximum.at(largest, at[there], own[there])
-                    hit = there & (index.id[at] < own) if len(index.id) else there
-                    ends = np.cumsum(counts)
-                    some = np.flatnonzero(C.row_sums(hit, np.concatenate([[0], ends])))
-                    if len(some):
-                        begins = ends - counts
-                        yield _hit_rows(ids[some], marks[some].astype(np.int64), PROBES, numbers[p], [np.packbits(hit[begins[k] : ends[k]]).tobytes() for k in some])
-                else:
-                    ids, marks, counts, hashes, block = _unblob(blob, "u4", "u4")
-                    own = np.repeat(ids, counts)
-                    at, there = index.find(hashes)
-                    hit = there & (largest[at] > own) if len(largest) else there
-                    ends = np.cumsum(counts)
-                    some = np.flatnonzero(C.row_sums(hit, np.concatenate([[0], ends])))
-                    if len(some):
-                        begins = ends - counts
-                        yield _hit_rows(ids[some], marks[some].astype(np.int64), OWNERS, numbers[p], [block[begins[k] : ends[k]][hit[begins[k] : ends[k]]].tobytes() for k in some])
+                if not len(index.hash):
+                    continue
+                ids, marks, counts, hashes = _unblob(blob, "u4")
+                own = np.repeat(ids, counts)
+                at, there = index.find(hashes)
+                np.maximum.at(largest, at[there], own[there])
+                hit = there & (index.id[at] < own)
+                ends = np.cumsum(counts)
+                some = np.flatnonzero(C.row_sums(hit, np.concatenate([[0], ends])))
+                if len(some):
+                    begins = ends - counts
+                    yield _hit_rows(ids[some], marks[some].astype(np.int64), PROBES, numbers[p], [np.packbits(hit[begins[k] : ends[k]]).tobytes() for k in some])
+        if largest is not None:
+            yield from owners_hit(part, index, largest, held)
 
     return run
 
@@ -261,21 +285,15 @@ def _emit_windows(keys: list[int], block: int, window: int):
                     r = np.repeat(np.array([k for k, _ in found]), [len(x) for _, x in found])
                     at = np.concatenate([x for _, x in found])
                     ha, hb = a[first[r] + at], b[first[r] + at]
-                    p = ((ha >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+                    # the partition's number and 64 more bits of both hashes
+                    p, both = ((ha >> np.uint64(33)) % np.uint64(n)).astype(np.int64), C.mix(ha ^ C.mix(hb))
                     order, cuts = _runs(p, r, n)
                     for q in range(n):
                         o = order[cuts[q] : cuts[q + 1]]
-                        if not len(o):
-                            continue
-                        parts.append(keys[q])
-                        if kind == PROBES:
-                            kinds.append(PROBES)
-                            blobs.append(_blob(ids[i:j], marks[i:j], r[o], ha[o], hb[o], at[o].astype(np.uint32)))
-                        else:
-                            kinds.append(MINS)
-                            o = o[np.lexsort((ids[i:j][r[o]], ha[o]))]
-                            o = o[np.concatenate([[True], (ha[o][1:] != ha[o][:-1]) | (hb[o][1:] != hb[o][:-1])])]
-                            blobs.append(ha[o].tobytes() + hb[o].tobytes() + ids[i:j][r[o]].tobytes())
+                        if len(o):
+                            kinds.append(kind)
+                            parts.append(keys[q])
+                            blobs.append(_blob(ids[i:j], marks[i:j], r[o], both[o], places=at[o] if kind == PROBES else None))
                 if kinds:
                     yield _rows(kinds, parts, blobs)
 
@@ -283,34 +301,30 @@ def _emit_windows(keys: list[int], block: int, window: int):
 
 
 def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Looks windows up by both 64-bit hashes."""
+    """Looks windows up by their hashes."""
     part, index, ready = None, _Smallest("u8"), False
     for batch in batches:
         for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p != part:
                 part, index, ready = p, _Smallest("u8"), False
-            if kind == MINS:
-                n = len(blob) // 24
-                a, b, d = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint64, n, 8 * n), np.frombuffer(blob, np.int64, n, 16 * n)
-                # one key of both hashes: equal keys of different pairs are as unlikely as equal hashes
-                index.add(_both(a, b), d)
+            if kind == OWNERS:
+                ids, _, counts, hashes = _unblob(blob, "u8")
+                index.add(hashes, np.repeat(ids, counts))
                 continue
             if not ready:
                 index.settle()
                 ready = True
-            ids, marks, counts, a, b, places = _unblob(blob, "u8", "u8", "u4")
-            own = np.repeat(ids, counts)
-            at, there = index.find(_both(a, b))
-            hit = there & (index.id[at] < own) if len(index.id) else there
+            if not len(index.hash):
+                continue
+            ids, marks, counts, hashes, places = _unblob(blob, "u8")
+            at, there = index.find(hashes)
+            hit = there & (index.id[at] < np.repeat(ids, counts))
             ends = np.cumsum(counts)
             some = np.flatnonzero(C.row_sums(hit, np.concatenate([[0], ends])))
             if len(some):
                 begins = ends - counts
-                yield _hit_rows(ids[some], marks[some].astype(np.int64), PROBES, 0, [places[begins[k] : ends[k]][hit[begins[k] : ends[k]]].tobytes() for k in some])
-
-
-def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return C.mix(a ^ C.mix(b))
+                wide = places.dtype.itemsize
+                yield _hit_rows(ids[some], marks[some].astype(np.int64), wide, 0, [places[begins[k] : ends[k]][hit[begins[k] : ends[k]]].tobytes() for k in some])
 
 
 def _per_document(hits: DataFrame) -> DataFrame:
@@ -326,7 +340,7 @@ def _remove(window: int):
                 at = [np.zeros(0, np.int64)]
                 for k in range(i, j):
                     if hits[k].is_valid:
-                        at += [first[k - i] + np.frombuffer(h["blob"], np.uint32).astype(np.int64) for h in hits[k].as_py()]
+                        at += [first[k - i] + np.frombuffer(h["blob"], f"u{h['kind']}").astype(np.int64) for h in hits[k].as_py()]
                 gone = C.covered(np.unique(np.concatenate(at)), window, len(starts))
                 keep = np.flatnonzero(~gone)
                 delta = np.zeros(len(data) + 1, np.int32)
@@ -345,10 +359,10 @@ def _remove(window: int):
                 texts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(4).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(C.row_sums(gone, first)),
+                        batch.column(0).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(C.row_sums(gone, first)),
                         pa.array([t[:-1] if t.endswith(b" ") else t for t in texts], pa.binary()),
                     ],
-                    ["doc_id", "n_words", "n_removed", "kept"],
+                    ["id", "n_words", "n_removed", "kept"],
                 )
 
     return run
@@ -362,18 +376,19 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     keys = partition_keys(spark, n)
     numbers = {k: p for p, k in enumerate(keys)}
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), F.col(text).alias("text"))
     routed = rows.select("id", "mark", "text").mapInArrow(_emit_anchors(keys, block, window), ROUTED).repartition(n, "part").sortWithinPartitions("part", "kind")
     hits = _per_document(routed.mapInArrow(_answer_anchors(numbers), HITS))
-    # the same exchange of the text serves both joins
+    # the same exchange of the text serves both joins, so both take the same columns
     dealt = rows.repartition(n, "id", "mark")
     near = dealt.join(hits.hint("shuffle_hash"), ["id", "mark"]).select("id", "mark", "text", "hits")
     windows = near.mapInArrow(_emit_windows(keys, block, window), ROUTED).repartition(n, "part").sortWithinPartitions("part", "kind")
     found = _per_document(windows.mapInArrow(_answer_windows, HITS))
-    out = dealt.join(found.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "mark", "text", "hits", "doc_id").mapInArrow(_remove(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    out = dealt.join(found.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "mark", "text", "hits").mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept binary")
+    out = out.withColumn("doc_id", F.when(F.col("id") != LAST_ID, F.col("id")).cast(kind))
     if only_digest:
         return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return out.select("doc_id", "n_words", "n_removed", F.decode("kept", F.lit("UTF-8")).alias("kept_text"))
+    return out.select("doc_id", "n_words", "n_removed", F.decode("kept", "UTF-8").alias("kept_text"))
 
 
 def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
