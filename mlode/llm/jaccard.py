@@ -6,17 +6,18 @@ Rows of the incidence matrix are documents, columns are distinct 5-word shingles
 
 1. Size-derived bounds: a linked pair shares a shingle among the first
    n - ceil(0.75 n) + 1 of each set in any common order, and its sizes differ by a
-   quarter at most. Only these entries of the matrix are multiplied. The order
+   quarter at most. Prefixes are a twentieth longer, so links share that many more. Only these entries of the matrix are multiplied. The order
    puts shingles that are frequent anywhere in the corpus last (it decides cost,
    never results).
 2. Blocks: entries go to the block (partition) of their column as packed arrays.
    Within a column and size class, every document is paired with the smallest one
    (its pivot), not with all others; overlap counts add up over columns. Documents
    that could link share a pivot, so the pivot groups hold every pair that matters.
-3. Pairs are verified on the whole sets, largest overlap count first; links form
-   components. Groups that still hold several components get further pivots, and
-   what then remains is compared pair by pair across components: no link between
-   different components is missed, and no pair within one is needed.
+3. Overlap counts bound what a pair can share: pairs below the bound for their
+   sizes are discarded. The others are verified on the whole sets; links form
+   components. Small groups are compared pair by pair; large ones pivot by pivot
+   until what remains across components is small, then pair by pair: no link
+   between different components is missed, and no pair within one is needed.
 
 Equal sets are linked by their fingerprint (128 bits) and take part once. Sets are
 compared as 48-bit hashes.
@@ -36,14 +37,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlode.llm import common as C
-from mlode.llm.substring import MINS, PROBES, _blob, _rows, _runs, _Smallest, _unblob, partition_keys
+from mlode.llm.substring import OWNERS, PROBES, _blob, _rows, _runs, _Smallest, _unblob, partition_keys
 
 N = 5
 PERCENT = 75
 #: A bag is a run of documents of about so many bytes; shingles in FREQUENT_IN_BAG of its documents or more count as frequent.
-BAG_BYTES, FREQUENT_IN_BAG = 8 << 20, 5
+BAG_BYTES, FREQUENT_IN_BAG = 8 << 20, 3
 #: The most frequent of them order the prefixes: a fixed bound for what is sent.
-MOST_FREQUENT = 100_000
+MOST_FREQUENT = 300_000
+#: Prefixes are longer by a share of 1 / EXTRA of the set, and linked sets then share so many more columns.
+EXTRA = 20
 #: Remaining pairs are all compared once there are no more than this many for each document in a group, or after so many rounds.
 PAIRS_A_DOCUMENT, ROUNDS = 4, 6
 
@@ -103,6 +106,11 @@ def _survey(n: int):
     return run
 
 
+def behind(size, percent: int):
+    """Shingles of a set that stand behind its prefix: one less than a link needs, less the extra that makes links share more than one column."""
+    return -(-percent * size // 100) - 1 - size // EXTRA
+
+
 def _size_class(n: np.ndarray) -> np.ndarray:
     """Sizes within a quarter of each other are in the same or neighbouring classes."""
     return np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64)
@@ -127,7 +135,7 @@ def _emit_prefixes(keys: list[int], n: int, percent: int, frequent):
                 h = h[order]
                 size = np.bincount(r, minlength=j - i)
                 place = np.arange(len(r)) - np.searchsorted(r, np.arange(j - i))[r]
-                prefix = place < (size - (-(-percent * size // 100)) + 1)[r]
+                prefix = place < (size - behind(size, percent))[r]
                 r, h = r[prefix], h[prefix]
                 part = ((h >> np.uint64(33)) % np.uint64(parts_n)).astype(np.int64)
                 low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -143,7 +151,7 @@ def _emit_prefixes(keys: list[int], n: int, percent: int, frequent):
                     own = ids[i:j][rows]
                     by = np.lexsort((own, key))
                     by = by[np.concatenate([[True], key[by][1:] != key[by][:-1]])]
-                    kinds += [MINS, PROBES]
+                    kinds += [OWNERS, PROBES]
                     parts += [keys[k], keys[k]]
                     blobs += [low[o][by].tobytes() + cls[rows][by].astype(np.uint8).tobytes() + own[by].tobytes(), _blob(ids[i:j], size.astype(np.uint32), rows, low[o])]
                 yield _rows(kinds, parts, blobs)
@@ -158,7 +166,7 @@ def _pair_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p != part:
                 part, index, ready = p, _Smallest("u8"), False
-            if kind == MINS:
+            if kind == OWNERS:
                 n = len(blob) // 13
                 key = (np.frombuffer(blob, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64)
                 index.add(key, np.frombuffer(blob, np.int64, n, 5 * n))
@@ -312,6 +320,16 @@ def _close(size_a: str, size_b: str, percent: int):
     return (100 * F.least(F.col(size_a), F.col(size_b))) >= (percent * F.greatest(F.col(size_a), F.col(size_b)))
 
 
+def _enough(s: str, t: str, ha: str, hb: str, percent: int):
+    """Whether both documents share columns enough for a link of these sizes.
+
+    Sets of sizes s and t that link have an overlap of percent * (s + t) / (100 + percent). All of it but what stands
+    behind the prefix that reaches less far is in columns that both prefixes have."""
+    overlap = F.ceil(percent * (F.col(s) + F.col(t)) / (100 + percent) - 1e-9)
+    rest = [F.ceil(percent * F.col(c) / 100 - 1e-9) - 1 - F.floor(F.col(c) / EXTRA) for c in (s, t)]
+    return F.least(ha, hb) >= overlap - F.greatest(*rest)
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     spark = docs.sparkSession
@@ -337,48 +355,53 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     raw = raw.groupBy("pivot", "member", "size").agg(F.sum("n").alias("n"))
     raw = raw.join(equal.select(F.col("id").alias("member")), "member", "left_anti")
     raw = raw.join(equal.select(F.col("id").alias("pivot"), "rep"), "pivot", "left").select(F.coalesce("rep", "pivot").alias("pivot"), "member", "size", "n").filter("pivot <> member")
-    groups = raw.groupBy("pivot", "member", "size").agg(F.sum("n").alias("n"))
+    groups = C.written(raw.groupBy("pivot", "member", "size").agg(F.sum("n").alias("n")), "overlaps")
     sizes = some.groupBy("id").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     pivots = groups.select(F.col("pivot").alias("id")).distinct().join(sizes, "id").select(F.col("id").alias("pivot"), F.col("least").alias("p_least"), F.col("most").alias("p_most"))
     groups = C.written(groups.join(pivots, "pivot"), "pivot-groups")
 
-    wanted = groups.select(F.col("pivot").alias("id")).unionByName(groups.select(F.col("member").alias("id"))).distinct()
-    mask = spark.sparkContext.broadcast(mask_of(wanted))
-    sets = C.written(rows.filter(F.col("id").isNotNull()).mapInArrow(_make_sets(n, mask), "id long, grams binary"), "sets")
-
-    # first each document with the pivot that it shares most columns with, then with its other pivots
-    fits = (100 * F.least("size", "p_most") >= percent * F.greatest("size", "p_least"))
-    star = groups.filter(fits).select(F.col("pivot").alias("a"), F.col("member").alias("b"), "n")
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    checked = C.written(best, "checked")
-    links = C.written(verify(checked, sets, percent), "links")
-    members = groups.select("pivot", F.col("member").alias("id"), "size").unionByName(pivots_of(groups))
+    # columns that a document shares with others: no pair of it shares more
+    shared = groups.select(F.col("member").alias("id"), "n").unionByName(groups.select(F.col("pivot").alias("id"), "n")).groupBy("id").agg(F.sum("n").alias("shared"))
+    members = groups.select("pivot", F.col("member").alias("id"), "size").unionByName(pivots_of(groups)).join(shared, "id")
+    # the bound of _enough for the partner that makes it smallest
+    members = members.filter(F.col("shared") >= F.floor(F.col("size") / EXTRA) + 1)
+    members = C.written(members, "members")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        mask = spark.sparkContext.broadcast(mask_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
+        sets = C.written(rows.filter(F.col("id").isNotNull()).mapInArrow(_make_sets(n, mask), "id long, grams binary"), "sets")
+        return C.written(verify(pairs, sets, percent), "links")
+
+    links = checked = None
     for k in range(ROUNDS + 1):
-        comp = components(links)
-        labelled = members.join(comp, "id", "left").select("pivot", "id", "size", F.coalesce("comp", "id").alias("comp"))
-        per = labelled.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
-        mixed = per.groupBy("pivot").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).filter("comps > 1")
-        open_groups = C.written(labelled.join(mixed.select("pivot", "comps"), "pivot"), "open-groups")
+        comp = None if links is None else components(links)
+        labelled = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        per = labelled.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("k"))
+        mixed = C.written(per.groupBy("pivot").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).filter("comps > 1"), "open-groups")
         total = mixed.agg(F.sum(F.col("all").cast("double") * F.col("all") - F.col("squares")).alias("pairs"), F.sum("all").alias("docs")).first()
         if not total["docs"]:
             break
         last = k == ROUNDS or total["pairs"] / 2 <= PAIRS_A_DOCUMENT * total["docs"]
-        a = open_groups.select("pivot", F.col("id").alias("a"), F.col("size").alias("s"), F.col("comp").alias("ca"))
-        b = open_groups.select("pivot", F.col("id").alias("b"), F.col("size").alias("t"), F.col("comp").alias("cb"))
+        open_groups = labelled.join(mixed.select("pivot"), "pivot")
+        a = open_groups.select("pivot", F.col("id").alias("a"), F.col("size").alias("s"), F.col("comp").alias("ca"), F.col("shared").alias("ha"))
+        b = open_groups.select("pivot", F.col("id").alias("b"), F.col("size").alias("t"), F.col("comp").alias("cb"), F.col("shared").alias("hb"))
         if not last:
-            # another pivot: the group's pivot first, then a document by a hash that changes with the round
+            # one document of each group against all others: its pivot first, then one by a hash that changes with the round
             turn = F.when((F.col("a") == F.col("pivot")) & F.lit(k == 0), F.lit(-(1 << 63))).otherwise(F.xxhash64("a", F.lit(k)))
-            a = a.groupBy("pivot").agg(F.min_by(F.struct("a", "s", "ca"), turn).alias("x")).select("pivot", "x.a", "x.s", "x.ca")
-        pairs = a.join(b, "pivot").filter((F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")) & _close("s", "t", percent))
+            a = a.groupBy("pivot").agg(F.min_by(F.struct("a", "s", "ca", "ha"), turn).alias("x")).select("pivot", "x.a", "x.s", "x.ca", "x.ha")
+        pairs = a.join(b, "pivot").filter((F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")) & _close("s", "t", percent) & _enough("s", "t", "ha", "hb", percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = C.written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = C.written(verify(pairs, sets, percent), "links")
-        links, checked = links.unionByName(more), checked.unionByName(pairs)
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = C.written(pairs, "pairs")
+        more = linked(pairs)
+        links = more if links is None else links.unionByName(more)
+        checked = pairs if checked is None else checked.unionByName(pairs)
         if last:
             break
 
-    final = components(links.unionByName(equal.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    same = equal.select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    final = components(same if links is None else links.unionByName(same))
     return sized.select("id", "size").join(final, "id", "left").select(F.col("id").cast(kind).alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("comp", "id").cast(kind).alias("component_id"))
 
 
