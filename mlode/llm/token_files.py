@@ -28,6 +28,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -47,7 +48,7 @@ END_ID = 1
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
 #: Words whose ids a worker remembers before it starts again.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 1_000_000
 
 
 class FileWriter:
@@ -148,7 +149,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.pieces: dict[bytes, list[int]] = {b"": []}
+        self.pieces: dict[bytes, bytes] = {b"": b""}  # ids as bytes: a list of ints takes several times the memory
         self.flat, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros((1 << 16) + 1, np.int64), 0
 
     def learn(self, new: list[bytes]) -> None:
@@ -164,15 +165,15 @@ class Encoder:
             cut.append((w, tail))
         pieces = self.pieces
         unknown = [x for x in dict.fromkeys(x for pair in cut for x in pair) if x not in pieces]
-        pieces.update(zip(unknown, [e.ids for e in self.encode([x.decode() for x in unknown], add_special_tokens=False)], strict=True))
+        pieces.update(zip(unknown, [array("I", e.ids).tobytes() for e in self.encode([x.decode() for x in unknown], add_special_tokens=False)], strict=True))
         ids = [pieces[a] + pieces[b] if b else pieces[a] for a, b in cut]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first, total = len(self.number), int(lengths.sum())
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.begin) <= first + len(ids):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
         self.begin[first + 1 : first + 1 + len(ids)] = self.used + np.cumsum(lengths)
         self.used += total
         self.number.update(zip(new, range(first, first + len(ids)), strict=True))
