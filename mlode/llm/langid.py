@@ -26,6 +26,7 @@ Repeated rows are judged alike; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,11 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter((F.crc32(key) % 4 != HELD_OUT) & F.col("_lang").isNotNull() & F.col("_id").isNotNull())
     usable = rows.filter((F.length("_text") <= longest) & (F.length("_text") > 0))
-    ranked = usable.select("_id", "_lang").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")))
+    # only rows whose hash share can be among the smallest (four times as many as are wanted) are ranked
+    share = F.col("_hash") / float(1 << 64) + 0.5
+    thin = usable.select("_id", "_lang", F.xxhash64("_id").alias("_hash"))
+    few = thin.join(thin.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")), "_lang").filter(share * F.col("_n") <= 4.0 * docs_per_lang)
+    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id")))
     chosen = ranked.filter(F.col("_rank") <= docs_per_lang).select("_id", "_lang").distinct()
     # docs_per_lang rows a language of `longest` characters at most: a fixed bound for the driver
     sample = usable.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi").orderBy("_lang", F.xxhash64("_id"), "_id", "_text").collect()
@@ -159,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", tex
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    tag = str(id(sent)) + str(len(model.keys))
+    tag = uuid.uuid4().hex
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
