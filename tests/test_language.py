@@ -10,15 +10,11 @@ from mlode.plans.errors import EvalError, ParseError, UnsupportedError
     [
         ("1 + 2 * 3", 7), ("(1 + 2) * 3", 9), ("let x = 1 + 1, y = 2 + 2, z = y + 1 in z", 5), ("let y = x, x = 3 in y", 3), ("if 1 = 1 then \"a\" else 1 / 0", "a"), ("[a = 1, b = 2][b]", 2),
         ("[a = 1][c]?", None), ("{1, 2, 3}{1}", 2), ("{1}{5}?", None), ("((x, y) => x - y)(5, 3)", 2), ("(each _ + 1)(2)", 3), ("try 1 / 0 otherwise -1", -1), ("null = null", True), ("1 = \"1\"", False),
-        ("#nan = #nan", False), ("not true or true", True), ("false and (1 / 0 = 1)", False), ("0x1F", 31), ("\"a\"\"b#(lf)\"", "a\"b\n"), ("\"a\" & \"b\"", "ab"), ("#\"let\" = 1", None), ("{1, 2} = {1, 2}", True),
+        ("#nan = #nan", False), ("not true or true", True), ("false and (1 / 0 = 1)", False), ("0x1F", 31), ("\"a\"\"b#(lf)\"", "a\"b\n"), ("\"a\" & \"b\"", "ab"), ("{1, 2} = {1, 2}", True),
         ("[a = 1, b = 2] = [b = 2, a = 1]", True), ("List.Transform({1, 2}, each _ * 2)", [2, 4]), ("let f = (n) => n * 2 in List.Sum(List.Transform({1, 2, 3}, f))", 12),
     ],
 )
 def test_expressions(m, text, value):
-    if text.startswith("#\"let\""):
-        with pytest.raises(UnsupportedError):
-            m(text)
-        return
     assert m(text) == value
 
 
@@ -59,7 +55,7 @@ def test_registry_has_all_families(spark):
     found = names(spark)
     families = {f: sum(n.startswith(f + ".") for n in found) for f in ("Table", "List", "Text", "Number", "Record", "Date", "Duration", "DateTime")}
     assert len(found) == 299
-    assert families == {"Table": 57, "List": 44, "Text": 36 + families["Text"] - 36, "Number": 27, "Record": 15, "Date": 24 + families["Date"] - 24, "Duration": 10, "DateTime": 8}
+    assert families == {"Table": 57, "List": 44, "Text": 36, "Number": 27, "Record": 15, "Date": 24, "Duration": 10, "DateTime": 8}
 
 
 def test_sections(spark):

@@ -78,7 +78,7 @@ def test_pivot_and_unpivot(m):
     twice = f"Table.Combine({{{t}, #table({{\"Region\", \"Category\", \"Amount\"}}, {{{{\"East\", \"A\", 15}}}})}})"
     with pytest.raises(Exception):
         m(f"Table.Pivot({twice}, {{\"A\"}}, \"Category\", \"Amount\")")
-    assert {r["Region"]: r["A"] for r in m(f"Table.Pivot({twice}, {{\"A\"}}, \"Category\", \"Amount\", List.Sum)")}["East"] == 25 or True
+    assert {r["Region"]: r["A"] for r in m(f"Table.Pivot({twice}, {{\"A\"}}, \"Category\", \"Amount\", List.Sum)")}["East"] == 25
     melt = m("Table.UnpivotOtherColumns(#table({\"key\", \"a\", \"b\", \"c\"}, {{\"x\", 1, null, 3}, {\"y\", 2, 4, null}}), {\"key\"}, \"n\", \"v\")")
     assert {(r["key"], r["n"], r["v"]) for r in melt} == {("x", "a", 1), ("x", "c", 3), ("y", "a", 2), ("y", "b", 4)}
 
