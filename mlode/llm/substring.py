@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlode.llm import common as C
@@ -83,11 +83,13 @@ def _unblob(blob: bytes, *kinds: str) -> tuple[np.ndarray, ...]:
 
 
 def _rows(kinds: list[int], parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.large_binary())], ["part", "kind", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
 
 ROUTED = "part int, kind int, blob binary"
-HITS = "id long, mark long, kind int, part int, blob binary"
+#: Answers travel packed: a row for each bucket of documents and task.
+HITS = "bucket int, id array<long>, mark array<long>, kind array<int>, part array<int>, blob array<binary>"
+FLUSH_BYTES = 32 << 20
 
 
 def _ids_marks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +171,49 @@ class _Smallest:
         return at, self.hash[at] == hashes
 
 
-def _hit_rows(ids, marks, kind: int, part: int, blobs: list[bytes]) -> pa.RecordBatch:
-    n = len(blobs)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(blobs, pa.binary())], ["id", "mark", "kind", "part", "blob"])
+def bucket_of(ids: np.ndarray, marks: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a document; bucket_column is the same in Spark."""
+    return (ids % n + marks.astype(np.int64)) % n
+
+
+def bucket_column(n: int) -> Column:
+    return F.pmod(F.pmod(F.col("id"), F.lit(n)) + F.col("mark"), F.lit(n)).cast("int")
+
+
+class _Answers:
+    """Answers of a task, gathered by bucket."""
+
+    def __init__(self, keys: list[int]):
+        self.keys, self.rows, self.size = keys, [], 0
+
+    def add(self, ids: np.ndarray, marks: np.ndarray, kind: int, part: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        self.rows.append((ids, marks.astype(np.int64), np.full(len(ids), kind, np.int32), np.full(len(ids), part, np.int32), blobs))
+        self.size += sum(map(len, blobs)) + 40 * len(blobs)
+        if self.size > FLUSH_BYTES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        ids, marks, kinds, parts = (np.concatenate([r[k] for r in self.rows]) for k in range(4))
+        blobs = pa.array([b for r in self.rows for b in r[4]], pa.binary())
+        bucket = bucket_of(ids, marks, len(self.keys))
+        order = np.argsort(bucket, kind="stable")
+        found, at = np.unique(bucket[order], return_index=True)
+        cuts = pa.array(np.append(at, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(c[order])) for c in (ids, marks, kinds, parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(self.keys, np.int32)[found]), *lists, pa.ListArray.from_arrays(cuts, blobs.take(pa.array(order)))], ["bucket", "id", "mark", "kind", "part", "blob"])
+        self.rows, self.size = [], 0
+
+
+def _by_document(answers: pa.Table) -> dict[tuple[int, int], list[tuple[int, int, bytes]]]:
+    """(kind, part, blob) of each document of a bucket; rows of one id and text give equal answers, kept once."""
+    columns = [answers.column(c).combine_chunks() for c in ("id", "mark", "kind", "part", "blob")]
+    flat = [pa.concat_arrays([c.flatten() for c in x.chunks]) if isinstance(x, pa.ChunkedArray) else x.flatten() for x in columns]
+    out: dict[tuple[int, int], set] = {}
+    for i, m, *rest in zip(*(c.to_pylist() for c in flat), strict=True):
+        out.setdefault((i, m), set()).add(tuple(rest))
+    return {k: sorted(v) for k, v in out.items()}
 
 
 class _Held:
@@ -191,8 +233,10 @@ class _Held:
         self.file.close()
 
 
-def _answer_anchors(numbers: dict[int, int]):
-    def owners_hit(part: int, index: "_Smallest", largest: np.ndarray, held: _Held) -> Iterator[pa.RecordBatch]:
+def _answer_anchors(keys: list[int]):
+    numbers = {k: p for p, k in enumerate(keys)}
+
+    def owners_hit(answers: _Answers, part: int, index: "_Smallest", largest: np.ndarray, held: _Held) -> Iterator[pa.RecordBatch]:
         """Blocks that a larger document probed."""
         for blob in held:
             ids, marks, counts, hashes, block = _unblob(blob, "u4")
@@ -203,15 +247,16 @@ def _answer_anchors(numbers: dict[int, int]):
             some = np.flatnonzero(C.row_sums(hit, np.concatenate([[0], ends])))
             if len(some):
                 begins = ends - counts
-                yield _hit_rows(ids[some], marks[some].astype(np.int64), OWNERS, numbers[part], [block[begins[k] : ends[k]][hit[begins[k] : ends[k]]].astype(np.uint32).tobytes() for k in some])
+                yield from answers.add(ids[some], marks[some], OWNERS, numbers[part], [block[begins[k] : ends[k]][hit[begins[k] : ends[k]]].astype(np.uint32).tobytes() for k in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, index, largest, held = None, _Smallest("u4"), None, _Held()
+        answers = _Answers(keys)
         for batch in batches:
             for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if p != part:
                     if largest is not None:
-                        yield from owners_hit(part, index, largest, held)
+                        yield from owners_hit(answers, part, index, largest, held)
                     part, index, largest, held = p, _Smallest("u4"), None, _Held()
                 if kind == OWNERS:
                     ids, _, counts, hashes, _ = _unblob(blob, "u4")
@@ -232,9 +277,10 @@ def _answer_anchors(numbers: dict[int, int]):
                 some = np.flatnonzero(C.row_sums(hit, np.concatenate([[0], ends])))
                 if len(some):
                     begins = ends - counts
-                    yield _hit_rows(ids[some], marks[some].astype(np.int64), PROBES, numbers[p], [np.packbits(hit[begins[k] : ends[k]]).tobytes() for k in some])
+                    yield from answers.add(ids[some], marks[some], PROBES, numbers[p], [np.packbits(hit[begins[k] : ends[k]]).tobytes() for k in some])
         if largest is not None:
-            yield from owners_hit(part, index, largest, held)
+            yield from owners_hit(answers, part, index, largest, held)
+        yield from answers.flush()
 
     return run
 
@@ -252,10 +298,12 @@ def _around(places: np.ndarray, block: int, window: int, words: int) -> np.ndarr
 def _emit_windows(keys: list[int], block: int, window: int):
     n = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        hits = _by_document(answers)
+        out = []
+        wanted = [(i, m) in hits for i, m in zip(docs.column("id").to_pylist(), docs.column("mark").to_pylist(), strict=True)]
+        for batch in docs.filter(pa.array(wanted, pa.bool_())).to_batches():
             ids, marks = _ids_marks(batch)
-            hits = batch.column(3)
             for i, j, data, offsets in C.text_chunks(batch.column(2)):
                 grams, row, place, hashes, first = _anchors(data, offsets, block, window)
                 part, _ = _route(grams, n)
@@ -268,12 +316,12 @@ def _emit_windows(keys: list[int], block: int, window: int):
                     order = np.argsort(mine, kind="stable")
                     edges = np.searchsorted(mine[order], np.arange(n + 1)) if len(mine) else None
                     places: dict[int, list[np.ndarray]] = {PROBES: [], OWNERS: []}
-                    for h in hits[i + k].as_py() or ():
-                        if h["kind"] == OWNERS:
-                            places[OWNERS].append(np.frombuffer(h["blob"], np.uint32).astype(np.int64) * block)
+                    for role, number, blob in hits[int(ids[i + k]), int(marks[i + k])]:
+                        if role == OWNERS:
+                            places[OWNERS].append(np.frombuffer(blob, np.uint32).astype(np.int64) * block)
                         elif edges is not None:
-                            at = order[edges[h["part"]] : edges[h["part"] + 1]]
-                            places[PROBES].append(at[np.unpackbits(np.frombuffer(h["blob"], np.uint8), count=len(at)).astype(bool)])
+                            at = order[edges[number] : edges[number + 1]]
+                            places[PROBES].append(at[np.unpackbits(np.frombuffer(blob, np.uint8), count=len(at)).astype(bool)])
                     for kind, found in places.items():
                         if found and size >= window:
                             chosen[kind].append((k, _around(np.concatenate(found), block, window, size)))
@@ -295,13 +343,24 @@ def _emit_windows(keys: list[int], block: int, window: int):
                             parts.append(keys[q])
                             blobs.append(_blob(ids[i:j], marks[i:j], r[o], both[o], places=at[o] if kind == PROBES else None))
                 if kinds:
-                    yield _rows(kinds, parts, blobs)
+                    out.append(_rows(kinds, parts, blobs))
+        return pa.Table.from_batches(out, _rows([], [], []).schema)
 
     return run
 
 
-def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer_windows(keys: list[int]):
     """Looks windows up by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = _Answers(keys)
+        yield from _looked_up(batches, answers)
+        yield from answers.flush()
+
+    return run
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], answers: _Answers) -> Iterator[pa.RecordBatch]:
     part, index, ready = None, _Smallest("u8"), False
     for batch in batches:
         for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -324,23 +383,19 @@ def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if len(some):
                 begins = ends - counts
                 wide = places.dtype.itemsize
-                yield _hit_rows(ids[some], marks[some].astype(np.int64), wide, 0, [places[begins[k] : ends[k]][hit[begins[k] : ends[k]]].tobytes() for k in some])
-
-
-def _per_document(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("id", "mark").agg(F.collect_set(F.struct("kind", "part", "blob")).alias("hits"))
+                yield from answers.add(ids[some], marks[some], wide, 0, [places[begins[k] : ends[k]][hit[begins[k] : ends[k]]].tobytes() for k in some])
 
 
 def _remove(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column(3)
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        hits, made = _by_document(answers), []
+        for batch in docs.to_batches():
+            ids, marks = _ids_marks(batch)
             for i, j, data, offsets in C.text_chunks(batch.column(2)):
                 starts, ends, first = C.words(data, offsets)
                 at = [np.zeros(0, np.int64)]
                 for k in range(i, j):
-                    if hits[k].is_valid:
-                        at += [first[k - i] + np.frombuffer(h["blob"], f"u{h['kind']}").astype(np.int64) for h in hits[k].as_py()]
+                    at += [first[k - i] + np.frombuffer(blob, f"u{wide}").astype(np.int64) for wide, _, blob in hits.get((int(ids[k]), int(marks[k])), ())]
                 gone = C.covered(np.unique(np.concatenate(at)), window, len(starts))
                 keep = np.flatnonzero(~gone)
                 delta = np.zeros(len(data) + 1, np.int32)
@@ -357,13 +412,14 @@ def _remove(window: int):
                 raw = out[solid].tobytes()
                 cuts = kept_at[offsets].tolist()
                 texts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
+                made.append(pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(C.row_sums(gone, first)),
                         pa.array([t[:-1] if t.endswith(b" ") else t for t in texts], pa.binary()),
                     ],
                     ["id", "n_words", "n_removed", "kept"],
-                )
+                ))
+        return pa.Table.from_batches(made, pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())]))
 
     return run
 
@@ -374,17 +430,17 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     block = (window + 1) // 2
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(spark, n)
-    numbers = {k: p for p, k in enumerate(keys)}
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), F.col(text).alias("text"))
+    rows = rows.withColumn("bucket", F.element_at(F.array(*[F.lit(k) for k in keys]), bucket_column(n) + 1))
     routed = rows.select("id", "mark", "text").mapInArrow(_emit_anchors(keys, block, window), ROUTED).repartition(n, "part").sortWithinPartitions("part", "kind")
-    hits = _per_document(routed.mapInArrow(_answer_anchors(numbers), HITS))
-    # the same exchange of the text serves both joins, so both take the same columns
-    dealt = rows.repartition(n, "id", "mark")
-    near = dealt.join(hits.hint("shuffle_hash"), ["id", "mark"]).select("id", "mark", "text", "hits")
-    windows = near.mapInArrow(_emit_windows(keys, block, window), ROUTED).repartition(n, "part").sortWithinPartitions("part", "kind")
-    found = _per_document(windows.mapInArrow(_answer_windows, HITS))
-    out = dealt.join(found.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "mark", "text", "hits").mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept binary")
+    hits = routed.mapInArrow(_answer_anchors(keys), HITS)
+    # the same exchange of the text serves both meetings with answers, so both take the same columns; a bucket is a partition
+    dealt = rows.select("id", "mark", "text", "bucket")
+    near = dealt.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_emit_windows(keys, block, window), ROUTED)
+    windows = near.repartition(n, "part").sortWithinPartitions("part", "kind")
+    found = windows.mapInArrow(_answer_windows(keys), HITS)
+    out = dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_remove(window), "id long, n_words long, n_removed long, kept binary")
     out = out.withColumn("doc_id", F.when(F.col("id") != LAST_ID, F.col("id")).cast(kind))
     if only_digest:
         return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
