@@ -40,7 +40,7 @@ GAMMA = 0.9
 LEAST = 0.5
 LEAST_INSIDE = 0.2
 FEW_PAGES = 30
-#: Low nodes that are sent to every task; with more, they come by a salted join on the host.
+#: Low nodes of hosts, and of all pages, that are sent to every task; with more, they come by a salted join on the host, or on the nodes in the page.
 MOST_SENT = 200_000
 SALTS = 32
 ALL_SITES = 0
@@ -256,9 +256,8 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     base = pages.select("page_id", "url", "html")
     low = C.written(low_nodes(base), "low-nodes")
-    general = {r["node"]: r["importance"] for r in low.filter(F.col("site") == ALL_SITES).orderBy("importance", "node").limit(MOST_SENT).collect()}
-    hosts = low.filter(F.col("site") != ALL_SITES)
-    count = hosts.count()
+    everywhere, hosts = low.filter(F.col("site") == ALL_SITES), low.filter(F.col("site") != ALL_SITES)
+    many_general, many_hosts = everywhere.count() > MOST_SENT, hosts.count() > MOST_SENT
     kind = pages.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars long"
 
@@ -266,37 +265,61 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = [main_text(batch.column("html")[i].as_py() or "", low_of(i)) for i in range(batch.num_rows)]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    if count <= MOST_SENT:
-        trees: dict[int, dict[int, float]] = {}
-        for r in hosts.collect():
-            trees.setdefault(r["site"], {})[r["node"]] = r["importance"]
-        sent = spark.sparkContext.broadcast((general, trees))
+    trees: dict[int, dict[int, float]] = {}
+    for r in [] if many_hosts else hosts.collect():
+        trees.setdefault(r["site"], {})[r["node"]] = r["importance"]
+    sent = spark.sparkContext.broadcast(({} if many_general else {r["node"]: r["importance"] for r in everywhere.collect()}, trees))
+    given = [c for c, many in (("_own", many_hosts), ("_general", many_general)) if many]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            everywhere, own = sent.value
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    yield cut(part, lambda i, part=part: own.get(site_of(part.column("url")[i].as_py()), everywhere))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        general, own = sent.value
+
+        def low_of(part: pa.RecordBatch, i: int) -> dict[int, float]:
+            found = dict(v) if "_own" in given and (v := part.column("_own")[i].as_py()) is not None else own.get(site_of(part.column("url")[i].as_py()))
+            if found is None:
+                found = dict(part.column("_general")[i].as_py() or ()) if "_general" in given else general
+            return found
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield cut(part, lambda i, part=part: low_of(part, i))
 
+    if not given:
         return base.mapInArrow(run, schema)
 
-    # more hosts than are sent: each page gets its host's low nodes by a join that salts the hosts
     @F.udf("long")
     def site(url):
         return site_of(url)
 
-    per_site = hosts.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("_low")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = base.withColumn("site", site("url")).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(per_site, ["site", "_salt"], "left").select("page_id", "url", "html", "_low")
-    sent_all = spark.sparkContext.broadcast(general)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    joined = base.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    per_site = hosts.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("_own")).withColumn("_salt", salts)
+    if many_general:
+        # the nodes of a page depend on its html alone
+        joined = joined.withColumn("_doc", F.md5(F.coalesce("html", F.lit(""))))
 
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield cut(part, lambda i, part=part: dict(v) if (v := part.column("_low")[i].as_py()) is not None else sent_all.value)
-
-    return joined.mapInArrow(run_joined, schema)
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value[1]
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    rows = []
+                    for url, page, doc, salt in zip(*(batch.column(c)[k : k + 256].to_pylist() for c in range(4)), strict=True):
+                        if (at := site_of(url)) not in own:
+                            rows += [(at, doc, salt, key) for key in {node.key for node in blocks(page or "")[1]}]
+                    cols = list(zip(*rows, strict=True)) or [()] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["site", "_doc", "_salt", "node"])
+
+        there = joined.select("url", "html", "_doc", "_salt").mapInArrow(keys, "site long, _doc string, _salt int, node long")
+        there = there.join(everywhere.select("node", "importance", salts.alias("_salt")), ["node", "_salt"])
+        if many_hosts:
+            there = there.join(per_site.select("site", "_salt"), ["site", "_salt"], "left_anti")
+        per_page = there.groupBy("_doc", "_salt").agg(F.map_from_entries(F.collect_set(F.struct("node", "importance"))).alias("_general"))
+    if many_hosts:
+        joined = joined.withColumn("site", site("url")).join(per_site, ["site", "_salt"], "left")
+    if many_general:
+        joined = joined.join(per_page, ["_doc", "_salt"], "left")
+    return joined.select("page_id", "url", "html", *given).mapInArrow(run, schema)
 
 
 def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,6 +352,27 @@ def test_site_tree(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_site_tree_beyond_what_is_sent(spark):
+    """Pages of small hosts lose the repeated blocks of all pages, however many low nodes there are."""
+
+    def page(k, host):
+        return (k, f"http://{host}/{k}", f"<body><div class='wrap'><div class='slogan'>Site slogan</div><div class='text'><p>Text {k} of {k * 7}</p></div><div class='x'>Share this page</div></div></body>")
+
+    small = [page(k, f"h{k % 20}.org") for k in range(60)]
+    small += [small[0], (None, "http://h1.org/", small[1][2]), (98, None, None), (99, "http://h2.org/", "")]
+    for rows in (small, small + [page(100 + k, "big.org") for k in range(40)]):  # without and with a host that has a tree of its own
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        got = []
+        for limit in (site_tree.MOST_SENT, 0):
+            before, site_tree.MOST_SENT = site_tree.MOST_SENT, limit
+            try:
+                got.append(sorted(map(tuple, site_tree.extract(df).collect()), key=str))
+            finally:
+                site_tree.MOST_SENT = before
+        assert got[0] == got[1] and len(got[0]) == len(rows)
+        assert all(text == f"Text {k} of {k * 7}" for k, _, text, _ in got[1] if k is not None and k not in (98, 99))
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     import corpus_pipeline as P
 
