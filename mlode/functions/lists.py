@@ -230,7 +230,15 @@ def register(kit: Kit) -> None:
         rated = F.transform(F.array_distinct(c.c), lambda x: F.struct(F.size(F.filter(c.c, lambda y: y.eqNullSafe(x))).alias("n"), F.array_position(F.transform(c.c, lambda y: y.eqNullSafe(x)), True).alias("at"), x.alias("v")))
         return Col(F.array_max(F.transform(rated, lambda r: F.struct(r["n"].alias("n"), r["at"].alias("at"), r["v"].alias("v"))))["v"], elem(c), c.free)
 
-    both("List.Mode", 1, 2, mode, array_mode)
+    def group_mode(g: GroupColumn, criteria: Any = None) -> Any:
+        modes = g.group.modes
+        if criteria is not None or modes is None or not all(up for _, up in g.group.order):
+            return NotImplemented
+        made = F.first(F.col(f"{V.HIDDEN}mode{len(modes)}"))
+        modes.append((g.col.c, g.group.cond, made))
+        return Col(made, g.col.kind)
+
+    both("List.Mode", 1, 2, mode, array_mode, group_mode)
 
     def truth(name: str, of_list: Any, on_array: Any, on_group: Any, empty: bool) -> None:
         def listed(v: list) -> bool:
@@ -257,7 +265,7 @@ def register(kit: Kit) -> None:
     def select_group(g: GroupColumn, f: Any) -> GroupColumn:
         test = as_col(ev.call(f, g.col)).c
         cond = test if g.group.cond is None else g.group.cond & test
-        return GroupColumn(g.col, Group(g.group.row, cond, g.group.order))
+        return GroupColumn(g.col, Group(g.group.row, cond, g.group.order, modes=g.group.modes))
 
     def holds(f: Any, x: Any, name: str) -> bool:
         v = ev.call(f, x)
@@ -461,7 +469,7 @@ def register(kit: Kit) -> None:
 
     def no_nulls(g: GroupColumn) -> GroupColumn:
         cond = g.col.c.isNotNull() if g.group.cond is None else g.group.cond & g.col.c.isNotNull()
-        return GroupColumn(g.col, Group(g.group.row, cond, g.group.order))
+        return GroupColumn(g.col, Group(g.group.row, cond, g.group.order, modes=g.group.modes))
 
     both("List.RemoveNulls", 1, 1, lambda v: [x for x in v if x is not None], lambda c: Col(F.array_compact(c.c), c.kind, c.free), no_nulls)
 

@@ -255,21 +255,30 @@ def register(kit: Kit) -> None:
         run = V.HIDDEN + "run"
         if local:
             t = with_runs(t, keys, run)
-        g = Group(t.row(), None, t.order)
-        made = [aggregate(f, g).alias(n) for n, f, _ in wanted]
+        g = Group(t.row(), None, t.order, modes=None if t.df.isStreaming else [])
+        by = [quoted(k).alias(k) for k in keys]
+        same = [quoted(run)] if local else by
+        values = {n: aggregate(f, g) for n, f, _ in wanted}
+        counted = modes(t, same, g)
+        alone = {k: n for n, c in values.items() for k, (_, _, made) in enumerate(g.modes or []) if c is made}
+        for k, best in enumerate(counted):
+            if k not in alone:  # part of an expression with other aggregates: each row gets it
+                t = Table(beside(t.df, same, best), t.cols, t.order, t.explicit)
+        made = [c.alias(n) for n, c in values.items() if n not in alone.values()]
         first = []
         if t.order and all(up for _, up in t.order):
             first = [F.min(F.struct(*[quoted(n).alias(n) for n, _ in t.order])).alias(P.ORDINAL + "_first")]
-        by = [quoted(k).alias(k) for k in keys]
         grouped = t.df.groupBy(*([quoted(run)] if local else []), *by)
         everything = [*made, *first]
         if not everything:
-            df = grouped.count().select(*[quoted(k) for k in keys])
+            df = grouped.agg(F.count(F.lit(1)).alias(V.HIDDEN + "rows")).drop(V.HIDDEN + "rows")
         else:
             df = grouped.agg(*everything)
+        for k, n in alone.items():
+            df = beside(df, same, counted[k]).withColumnRenamed(f"{V.HIDDEN}mode{k}", n)
         df = df.drop(run) if local else df
         if not first:
-            return Table(df, names)
+            return Table(df.select(*[quoted(n) for n in names]), names)
         inner = [(f"{V.HIDDEN}g{i}", up) for i, (_, up) in enumerate(t.order)]
         df = df.select(*[quoted(n) for n in names], *[F.col(P.ORDINAL + "_first").getField(n).alias(f"{V.HIDDEN}g{i}") for i, (n, _) in enumerate(t.order)])
         if len(inner) == 1 and t.order[0][0] == P.ORDINAL:
@@ -278,6 +287,23 @@ def register(kit: Kit) -> None:
 
     op("Table.Group", 3, 4, group)
 
+    def modes(t: Table, same: list[Column], g: Group) -> list[DataFrame]:
+        """A row for each group and List.Mode: counts and first positions of the values, then the best one. Ties: the latest first position."""
+        v, n, at = (V.HIDDEN + x for x in ("value", "times", "at"))
+        out = []
+        for k, (value, cond, _) in enumerate(g.modes or []):
+            rows, keys = t.df if cond is None else t.df.filter(cond), [f"{V.HIDDEN}key{k}_{i}" for i in range(len(same))]
+            place = [F.min(F.struct(*[quoted(x).alias(x) for x, _ in t.order])).alias(at)] if t.order else []
+            per = rows.groupBy(*[c.alias(key) for c, key in zip(same, keys, strict=True)], value.alias(v)).agg(F.count(F.lit(1)).alias(n), *place)
+            out.append(per.groupBy(*keys).agg(F.max_by(v, F.struct(n, *([at] if place else []), v)).alias(f"{V.HIDDEN}mode{k}")))
+        return out
+
+    def beside(df: DataFrame, same: list[Column], best: DataFrame) -> DataFrame:
+        """df with the values of its groups; keys can be null."""
+        keys = best.columns[:-1]
+        match = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(k)) for c, k in zip(same, keys, strict=True)], F.lit(True))
+        return df.join(best, match, "left").drop(*keys)
+
     def with_runs(t: Table, keys: list[str], run: str) -> Table:
         """A number for each run of equal keys: changes are counted in buckets of the order and carried on."""
         t.need_order()

@@ -52,7 +52,7 @@ def register(kit: Kit) -> None:
     def select_rows(t: Any, f: Any) -> Any:
         if isinstance(t, Group):
             test = predicate(t.row, f, "Table.SelectRows")
-            return Group(t.row, test if t.cond is None else t.cond & test, t.order)
+            return Group(t.row, test if t.cond is None else t.cond & test, t.order, modes=t.modes)
         if isinstance(t, Col) and t.kind.name == "list":
             kind = t.kind.elem
             return Col(F.filter(t.c, lambda x: predicate(as_rec(Col(x, kind)), f, "Table.SelectRows")), t.kind, t.free)
@@ -64,7 +64,7 @@ def register(kit: Kit) -> None:
     def select_columns(t: Any, names: Any) -> Any:
         names = ev.names(names)
         if isinstance(t, Group):
-            return Group(Rec((n, group_field(t, n)) for n in names), t.cond, t.order)
+            return Group(Rec((n, group_field(t, n)) for n in names), t.cond, t.order, modes=t.modes)
         t = table(t, "Table.SelectColumns")
         t.need(*names)
         return t.select([(n, quoted(n)) for n in names])
@@ -137,7 +137,7 @@ def register(kit: Kit) -> None:
             if name in t.row:
                 raise EvalError(f"The column '{name}' exists already.")
             made = storable(ev.call(f, t.row))
-            return Group(Rec(t.row | {name: made if kind is None else ev.convert(made, kind)}), t.cond, t.order)
+            return Group(Rec(t.row | {name: made if kind is None else ev.convert(made, kind)}), t.cond, t.order, modes=t.modes)
         t = table(t, "Table.AddColumn")
         new_column(t, name)
         made = storable(ev.call(f, t.row()))

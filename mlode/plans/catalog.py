@@ -98,6 +98,8 @@ q("agg_statistics", """Table.Group(lineitem, "l_linestatus", {{"med", each List.
   "SELECT l_linestatus, median(l_quantity) AS med, round_even(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round_even(stddev_samp(l_quantity), 6) AS sd, count(l_tax) AS nn, count(l_tax) AS cnt, count(DISTINCT l_returnflag) AS kinds FROM lineitem GROUP BY 1")
 q("agg_mode", """let S = Table.Sort(Table.SelectColumns(Table.SelectRows(events, each [event_id] < 3000), {"event_id", "user_id", "event_type"}), {"event_id"}) in Table.Group(S, {"user_id"}, {{"m", each List.Mode([event_type])}})""",
   "WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events WHERE event_id < 3000 GROUP BY ALL) SELECT user_id, arg_max(event_type, n * 1000000000 + f) AS m FROM c GROUP BY 1")
+q("agg_mode_all", """let S = Table.Sort(Table.SelectColumns(events, {"event_id", "user_id", "event_type"}), {"event_id"}) in Table.Group(S, {"user_id"}, {{"m", each List.Mode([event_type])}})""",
+  "WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT user_id, arg_max(event_type, (n, f)) AS m FROM c GROUP BY 1")
 q("agg_logical", """Table.Group(lineitem, {"l_returnflag", "l_linestatus"}, {{"all", each List.AllTrue(List.Transform([l_quantity], each _ > 0))}, {"any", each List.AnyTrue(List.Transform([l_discount], each _ > 0.09))}})""",
   'SELECT l_returnflag, l_linestatus, bool_and(l_quantity > 0) AS "all", bool_or(l_discount > 0.09) AS "any" FROM lineitem GROUP BY ALL')
 q("group_first_last", """let S = Table.Sort(Table.SelectColumns(orders, {"o_orderkey", "o_custkey", "o_totalprice"}), {"o_orderkey"}) in Table.Group(S, {"o_custkey"}, {{"first", each List.First([o_totalprice])}, {"last", each List.Last([o_totalprice])}, {"keys", each Text.Combine(List.Transform([o_orderkey], each Text.From(_)), "|")}})""",

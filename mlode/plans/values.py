@@ -165,10 +165,13 @@ class TableColumn:
 
 
 class Group:
-    """The sub-table inside a grouping: row expressions under a condition, to be aggregated."""
+    """The sub-table inside a grouping: row expressions under a condition, to be aggregated.
 
-    def __init__(self, row: Rec, cond: Column | None, order: list[tuple[str, bool]], nested: bool = False):
-        self.row, self.cond, self.order = row, cond, order
+    modes: (value, condition, the aggregate that stands for it) of each List.Mode, which Table.Group counts on its own; None elsewhere.
+    """
+
+    def __init__(self, row: Rec, cond: Column | None, order: list[tuple[str, bool]], nested: bool = False, modes: list | None = None):
+        self.row, self.cond, self.order, self.modes = row, cond, order, modes
 
 
 class GroupColumn:

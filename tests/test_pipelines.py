@@ -111,3 +111,13 @@ def test_oracles(spark, name):
     assert cols == sorted(at)
     norm = lambda v: repr(v) if isinstance(v, float) else str(v)
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(norm(r[at[c]]) for c in cols) for r in got.fetchall())
+
+
+@pytest.mark.parametrize("name", ["agg_mode_all"])
+def test_whole_tables(spark, name):
+    """Queries over whole tables against their SQL."""
+    test_oracles(spark, name)
+    from mlode.plans.catalog import CATALOG
+
+    m, sql = CATALOG[name]
+    assert " < " not in m + sql and "FirstN" not in m

@@ -134,3 +134,34 @@ def test_conversion_errors(m):
         m("Table.TransformColumnTypes(#table({\"a\"}, {{\"x\"}}), {{\"a\", type binary}})")
     with pytest.raises(UnsupportedError):
         m("Date.MonthName(#date(2024, 1, 1), \"fr-FR\")")
+
+
+def test_mode_of_groups(spark):
+    """Counts of values, not gathered lists; ties, nulls, conditions and expressions."""
+    import random
+    from collections import Counter
+
+    from mlode.api import run
+
+    r = random.Random(1)
+    rows = [(k, r.choice([None, 1, 2, 3]), r.choice([None, "a", "b", "c"]), r.random()) for k in range(200)]
+
+    def mode(v):
+        count, first = Counter(v), {x: k for k, x in reversed(list(enumerate(v)))}
+        return max(count, key=lambda x: (count[x], first[x])) if v else None
+
+    sets = """{{"m", each List.Mode([v])}, {"n", each Table.RowCount(_)}, {"x", each Text.From(List.Mode([v])) & "/" & Text.From(Table.RowCount(_))},
+      {"c", each List.Mode(Table.SelectRows(_, each [w] > 0.95)[v])}, {"s", each List.Mode(List.Select([v], each _ <> "a"))}}"""
+    df = spark.createDataFrame(rows, "id long, g long, v string, w double").repartition(3)
+    out = run(spark, "Table.Group(Table.Sort(t, {\"id\"}), {\"g\"}, " + sets + ")", {"t": df})
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.columns == ["g", "m", "n", "x", "c", "s"]
+    got = {x["g"]: tuple(x)[1:] for x in out.collect()}
+    for g in (None, 1, 2, 3):
+        mine = [x for x in rows if x[1] == g]
+        v = [x[2] for x in mine]
+        m = mode(v)
+        assert got[g] == (m, len(v), None if m is None else f"{m}/{len(v)}", mode([x[2] for x in mine if x[3] > 0.95]), mode([x for x in v if x != "a"]))
+    runs = run(spark, "Table.Group(Table.Sort(t, {\"id\"}), {\"g\"}, {{\"m\", each List.Mode([v])}}, GroupKind.Local)", {"t": df})
+    assert runs.count() == 1 + sum(a[1] != b[1] for a, b in zip(rows, rows[1:]))
+    assert [x["m"] for x in run(spark, "Table.Group(Table.Sort(t, {\"id\"}), {}, {{\"m\", each List.Mode([v])}})", {"t": df}).collect()] == [mode([x[2] for x in rows])]
