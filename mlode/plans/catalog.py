@@ -72,6 +72,8 @@ q("error_row_functions", """let A = Table.RemoveRowsWithErrors(nation, {"n_name"
 for kind, join in (("Inner", "JOIN"), ("LeftOuter", "LEFT JOIN"), ("RightOuter", "RIGHT JOIN"), ("FullOuter", "FULL JOIN")):
     q(f"join_{kind.lower()}", f"""let S = Table.SelectRows(Table.SelectColumns(supplier, {{"s_suppkey", "s_nationkey"}}), each [s_suppkey] > 3), N = Table.SelectColumns(Table.SelectRows(nation, each [n_nationkey] < 20), {{"n_nationkey", "n_name"}}) in Table.Join(S, "s_nationkey", N, "n_nationkey", JoinKind.{kind})""",
       f"SELECT s_suppkey, s_nationkey, n_nationkey, n_name FROM (SELECT * FROM supplier WHERE s_suppkey > 3) {join} (SELECT * FROM nation WHERE n_nationkey < 20) ON s_nationkey = n_nationkey")
+    q(f"join_{kind.lower()}_all", f"""Table.Join(Table.SelectColumns(labels, {{"doc_id", "quality"}}), "doc_id", Table.SelectColumns(supplier, {{"s_suppkey", "s_nationkey"}}), "s_suppkey", JoinKind.{kind})""",
+      f"SELECT doc_id, quality, s_suppkey, s_nationkey FROM labels {join} supplier ON doc_id = s_suppkey")
 q("join_leftanti", """Table.Join(Table.SelectColumns(customer, {"c_custkey", "c_name"}), "c_custkey", Table.SelectColumns(orders, {"o_custkey", "o_orderkey"}), "o_custkey", JoinKind.LeftAnti)""",
   "SELECT c_custkey, c_name, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS BIGINT) AS o_orderkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 q("join_rightanti", """Table.Join(Table.SelectColumns(labels, {"doc_id", "quality"}), "doc_id", Table.RenameColumns(Table.SelectColumns(documents, {"doc_id", "lang"}), {"doc_id", "id"}), "id", JoinKind.RightAnti)""",
@@ -84,6 +86,7 @@ q("nested_join_count", """let J = Table.NestedJoin(Table.SelectColumns(customer,
   "SELECT c_custkey, count(o_orderkey) AS n, round_even(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 q("expand_list", """Table.ExpandListColumn(Table.SelectColumns(Table.SelectRows(embeddings, each [vec_id] < 40), {"vec_id", "embedding"}), "embedding")""",
   "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings WHERE vec_id < 40")
+q("expand_list_all", """Table.ExpandListColumn(Table.SelectColumns(embeddings, {"vec_id", "embedding"}), "embedding")""", "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings")
 q("expand_record", """let A = Table.AddColumn(Table.SelectColumns(nation, {"n_nationkey", "n_name"}), "r", each [len = Text.Length([n_name]), up = Text.Start([n_name], 2)]) in Table.ExpandRecordColumn(A, "r", {"len", "up"}, {"length", "prefix"})""",
   "SELECT n_nationkey, n_name, length(n_name) AS length, left(n_name, 2) AS prefix FROM nation")
 
@@ -115,6 +118,7 @@ q("skip_range", """let S = Table.Sort(part, {"p_partkey"}), A = Table.Skip(S, 10
 q("skip_while", """Table.SelectColumns(Table.Skip(Table.Sort(orders, {"o_orderkey"}), each [o_totalprice] < 300000), {"o_orderkey", "o_totalprice"})""",
   "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= (SELECT min(o_orderkey) FROM orders WHERE NOT o_totalprice < 300000)")
 q("reverse_rows", """Table.FirstN(Table.ReverseRows(Table.Sort(supplier, {"s_suppkey"})), 10)""", "SELECT * FROM supplier ORDER BY s_suppkey DESC LIMIT 10")
+q("reverse_rows_all", """Table.AddIndexColumn(Table.ReverseRows(Table.Sort(supplier, {"s_suppkey"})), "i")""", "SELECT *, CAST(row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS BIGINT) AS i FROM supplier")
 q("table_max_min", """let A = Table.Max(part, {"p_retailprice", "p_partkey"}), B = Table.Min(part, {"p_retailprice", "p_partkey"}) in #table({"hi", "lo"}, {{A[p_partkey], B[p_partkey]}})""",
   "SELECT (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 1) AS hi, (SELECT p_partkey FROM part ORDER BY p_retailprice, p_partkey LIMIT 1) AS lo")
 q("index_column", """Table.AddIndexColumn(Table.Sort(Table.SelectColumns(orders, {"o_orderkey", "o_totalprice"}), {{"o_totalprice", Order.Descending}, {"o_orderkey", Order.Ascending}}), "rank", 1, 2)""",

@@ -113,7 +113,7 @@ def test_oracles(spark, name):
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(norm(r[at[c]]) for c in cols) for r in got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["agg_mode_all"])
+@pytest.mark.parametrize("name", ["agg_mode_all", "expand_list_all", "reverse_rows_all", "join_inner_all", "join_leftouter_all", "join_rightouter_all", "join_fullouter_all"])
 def test_whole_tables(spark, name):
     """Queries over whole tables against their SQL."""
     test_oracles(spark, name)
