@@ -95,9 +95,11 @@ def find_contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
             pairs = hits.select("_doc", "_w", F.explode_outer("_hits").alias("_hash")).join(F.broadcast(wide.filter(F.col("_n") == k)), "_hash")
             pairs = pairs.filter(F.size("_w") - k + 1 >= F.ceil(threshold * F.col("_s") - 1e-9))
         else:
-            thin = wide.filter(F.col("_n") == k).select("_hash", "_item", "_s")
-            ids = hits.select("_doc", F.size("_w").alias("_len"), F.explode_outer("_hits").alias("_hash")).join(thin, "_hash").filter(F.col("_len") - k + 1 >= F.ceil(threshold * F.col("_s") - 1e-9)).select("_doc", "_item").distinct()
-            pairs = ids.join(words, "_doc").join(sketches.filter(F.col("_n") == k).select("_item", "_s", "_texts"), "_item")
+            # a row's key is its id, which can be null, and the hash of its words or set, which can't
+            thin = wide.filter(F.col("_n") == k).select("_hash", F.col("_item").alias("_i"), F.xxhash64("_texts").alias("_set"), "_s")
+            ids = hits.select(F.col("_doc").alias("_d"), F.xxhash64("_w").alias("_words"), F.size("_w").alias("_len"), F.explode_outer("_hits").alias("_hash")).join(thin, "_hash").filter(F.col("_len") - k + 1 >= F.ceil(threshold * F.col("_s") - 1e-9)).select("_d", "_words", "_i", "_set").distinct()
+            pairs = ids.join(words, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.xxhash64("_w")))
+            pairs = pairs.join(sketches.filter(F.col("_n") == k).select("_item", "_s", "_texts"), F.col("_i").eqNullSafe(F.col("_item")) & (F.col("_set") == F.xxhash64("_texts")))
         shared = F.size(F.array_intersect(F.col("_texts"), shingle_texts(F.col("_w"), k)))
         out = pairs.select("_doc", "_item", "_s", shared.alias("_shared"))
         found = out if found is None else found.unionByName(out)

@@ -296,6 +296,23 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.find_contained(none, bench).count() == 0 and decontam.find_contained(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_null_ids_by_both_paths(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"v{r.randrange(500)}" for _ in range(n))
+    a, b = text(30), text(30)
+    docs = spark.createDataFrame([(1, text(20) + " " + a), (None, a + " " + text(9)), (None, text(9) + " " + b), (2, text(50)), (1, b), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, a), (None, b), (None, "v1"), (8, text(30)), (None, None)], "item_id long, text string")
+    found = []
+    for limit in (decontam.MOST_SENT, 0):
+        before, decontam.MOST_SENT = decontam.MOST_SENT, limit
+        try:
+            found.append(sorted(map(tuple, decontam.find_contained(docs, bench).collect()), key=str))
+        finally:
+            decontam.MOST_SENT = before
+    assert found[0] == found[1]
+    assert {(1, 7), (None, 7), (1, None), (None, None)} <= {x[:2] for x in found[1]}
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "be nice"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "Bob B", None), (2, 0, None, "x"), (2, None, "user", "y"), (2, 0, None, "x"), (None, 1, "user", "lost"), (3, 300, "user", "far"), (3, 1, "user", "near")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash"))
