@@ -1,11 +1,11 @@
-"""Operator 10: benchmark decontamination by size-partitioned MinHash containment search.
+"""Operator 10: benchmark decontamination by MinHash containment search.
 
 Words are lower-cased runs of letters and digits; an item's set has its distinct
 5-word shingles (with fewer words, the whole sequence as one). An item of s
 shingles is contained in a document if at least ``threshold`` of them occur there.
 
-Items fall into partitions by size, and each partition fixes the length of its
-MinHash sketches: the floor((1 - threshold) * s) + 1 smallest shingle hashes. A
+Only items have sketches, and there are no size partitions: the sketch of an item
+of s shingles is its floor((1 - threshold) * s) + 1 smallest shingle hashes. A
 document that contains the item lacks fewer shingles than that, so it holds one
 of them: the search loses nothing, however long the document is. (Banded
 signatures of the documents would lose short items in long documents.) Every
@@ -58,7 +58,7 @@ def shingle_texts(words: Column, n: int) -> Column:
 
 
 def item_sketches(items: DataFrame, item_id: str, text: str, n: int, threshold: float) -> DataFrame:
-    """_item, _n (words a shingle), _texts (its set), _s, _part (size partition), _sketch."""
+    """_item, _n (words a shingle), _texts (its set), _s, _sketch."""
     w = items.select(F.col(item_id).alias("_item"), normal_words(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
     w = w.withColumn("_n", F.least(F.lit(n), F.size("_w")))
     per = None
@@ -66,7 +66,7 @@ def item_sketches(items: DataFrame, item_id: str, text: str, n: int, threshold:
         part = w.filter(F.col("_n") == k)
         part = part.select("_item", "_n", F.array_distinct(shingle_texts(F.col("_w"), k)).alias("_texts"), F.array_sort(F.array_distinct(shingle_hashes(F.col("_w"), k))).alias("_hashes"))
         per = part if per is None else per.unionByName(part)
-    per = per.withColumn("_s", F.size("_texts")).withColumn("_part", F.ceil(F.log2(F.col("_s"))).cast("int"))
+    per = per.withColumn("_s", F.size("_texts"))
     need = F.floor((1 - threshold) * F.col("_s") + 1e-9).cast("int") + 1
     return per.withColumn("_sketch", F.slice("_hashes", F.lit(1), need)).drop("_hashes")
 
@@ -81,7 +81,7 @@ def find_contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     if not total:
         return spark.createDataFrame([], f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, n_item_shingles int, n_shared int, containment double")
     small = total <= MOST_SENT
-    wide = sketches.select(F.explode("_sketch").alias("_hash"), "_item", "_n", "_s", "_part", "_texts")
+    wide = sketches.select(F.explode("_sketch").alias("_hash"), "_item", "_n", "_s", "_texts")
     words = docs.select(F.col(doc_id).alias("_doc"), normal_words(F.col(text)).alias("_w"))
     found = None
     for k in sizes:

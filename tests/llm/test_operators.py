@@ -313,6 +313,13 @@ def test_decontamination_finds_null_ids_by_both_paths(spark):
     assert {(1, 7), (None, 7), (1, None), (None, None)} <= {x[:2] for x in found[1]}
 
 
+def test_sketch_length_is_set_by_the_item(spark):
+    bench = spark.createDataFrame([(s, " ".join(f"v{k}" for k in range(s + 4))) for s in (1, 3, 4, 5, 9)], "item_id long, text string")
+    got = decontam.item_sketches(bench, "item_id", "text", 5, 0.75)
+    assert got.columns == ["_item", "_n", "_texts", "_s", "_sketch"]
+    assert {(r["_item"], r["_s"], len(r["_sketch"])) for r in got.collect()} == {(s, s, s // 4 + 1) for s in (1, 3, 4, 5, 9)}
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "be nice"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "Bob B", None), (2, 0, None, "x"), (2, None, "user", "y"), (2, 0, None, "x"), (None, 1, "user", "lost"), (3, 300, "user", "far"), (3, 1, "user", "near")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash"))
