@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ def shared_root(spark: SparkSession) -> str:
         jroot = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jroot.get() if jroot.isDefined() else None
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="mlode-", dir=_own_folder())
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -48,10 +51,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Kept(df, name).df
+
+
+class Kept:
+    """df, written to the shared folder and read back; drop() deletes it once all that reads it is written."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.path = shared_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        context = self.df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,28 +122,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(int(base))
-    if have is None or len(have[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        have = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, inverse))
-        if n <= CHUNK_BYTES + 1:
-            _POWERS[int(base)] = have
-    return have
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE_A) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, by prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of data[start:end] for each span, mixed over its 8-byte lanes (or by xxhash for a long span); other bases give independent hashes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(base, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + base)
+    live = np.flatnonzero(size <= LONG_SPAN)
+    at, left = starts[live], size[live]
+    while len(live):
+        lane = lanes[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.clip(left, 1, 8).astype(np.uint64)))
+        lane[left == 0] = 0
+        out[live] = mix((out[live] ^ lane) * BASE_B + base)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_SPAN):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), int(base))
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +171,7 @@ def gram_hashes(word_hashes: np.ndarray, n: int, step: np.uint64 = BASE_B) -> np
         return np.zeros(0, np.uint64)
     total = word_hashes[:count].copy()
     for k in range(1, n):
+        total ^= total >> np.uint64(32)
         total *= step
         total += word_hashes[k : k + count]
     return mix(total)

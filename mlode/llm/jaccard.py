@@ -1,34 +1,41 @@
 """Operator 6: n-gram Jaccard join by a blocked sparse matrix product.
 
-Rows of the incidence matrix are documents, columns are distinct 5-word shingles
+Rows of the incidence matrix are distinct shingle sets, columns are 5-word shingles
 (A-Z lower-cased; a shorter text is one shingle). Documents link when
 100 * intersection >= 75 * union; the result has each document's component.
 
-1. Size-derived bounds: a linked pair shares a shingle among the first
-   n - ceil(0.75 n) + 1 of each set in any common order, and its sizes differ by a
-   quarter at most. Prefixes are a twentieth longer, so links share that many more. Only these entries of the matrix are multiplied. The order
-   puts shingles that are frequent anywhere in the corpus last (it decides cost,
-   never results).
-2. Blocks: entries go to the block (partition) of their column as packed arrays.
-   Within a column and size class, every document is paired with the smallest one
-   (its pivot), not with all others; overlap counts add up over columns. Documents
-   that could link share a pivot, so the pivot groups hold every pair that matters.
-3. Overlap counts bound what a pair can share: pairs below the bound for their
-   sizes are discarded. The others are verified on the whole sets; links form
-   components. Small groups are compared pair by pair; large ones pivot by pivot
-   until what remains across components is small, then pair by pair: no link
-   between different components is missed, and no pair within one is needed.
-
-Equal sets are linked by their fingerprint (128 bits) and take part once. Sets are
-compared as 48-bit hashes.
+1. Rows: documents of equal sets are one row, named by a 64-bit fingerprint. (Of the
+   128 bits computed, the second half shows whether two sets share a name; then all
+   are named anew.)
+2. Size-derived bounds: sets of sizes s <= t that link share
+   ceil(75 * (s + t) / 175) shingles. In any common order of the columns their first
+   common one then stands among the first s - ceil(6 s / 7) + 1 of the smaller set
+   and the first t - ceil(0.75 t) + 1 of the larger one, and leaves that many behind it
+   in both. Only these entries of the matrix are used. The order puts shingles that
+   are frequent in the corpus last, by counts hashed to a fixed number of cells; it
+   decides cost, never results.
+3. Blocks: entries go to the partition of their column as packed arrays. The rows of a
+   column and size class (sizes within a quarter are in the same or neighbouring
+   classes) that meet the bounds form a group, named by its smallest row; groups of one
+   name are merged. Every pair that can link is in a group.
+4. Product: the whole sets of a group meet in a task, which multiplies the group's part
+   of the matrix by its transpose, adds up overlap counts, discards pairs below the
+   bound for their sizes, and returns a forest that spans the linked pairs. A group of
+   more than ``BLOCK_ROWS`` rows or ``BLOCK_ENTRIES`` entries is dealt out in blocks:
+   first some of its rows against all, then, block by block, the rows outside its
+   largest component against all. No pair within that component is needed, and none
+   between components is missed.
+5. Links form components.
 
 Nulls: null or wordless text has an empty set and no links; a null id is no
 document id: component null. Rows with equal ids are one document: linked if any
-of their rows are. Empty tables give no rows. Other columns are not read.
+of their rows are. Empty tables give no rows. Other columns are not read. Ids are
+whole numbers (anything else that a cast to long refuses is an error).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,23 +44,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlode.llm import common as C
-from mlode.llm.substring import OWNERS, PROBES, _blob, _rows, _runs, _Smallest, _unblob, partition_keys
+from mlode.llm.substring import _Held, _runs, partition_keys
 
 N = 5
 PERCENT = 75
-#: A bag is a run of documents of about so many bytes; shingles in FREQUENT_IN_BAG of its documents or more count as frequent.
-BAG_BYTES, FREQUENT_IN_BAG = 8 << 20, 3
-#: The most frequent of them order the prefixes: a fixed bound for what is sent.
-MOST_FREQUENT = 300_000
-#: Prefixes are longer by a share of 1 / EXTRA of the set, and linked sets then share so many more columns.
-EXTRA = 20
-#: Remaining pairs are all compared once there are no more than this many for each document in a group, or after so many rounds.
-PAIRS_A_DOCUMENT, ROUNDS = 4, 6
+#: Hashed document counts that order the columns: CELLS of them, counted and merged in blocks.
+CELLS, CELL_BLOCKS = 1 << 22, 256
+#: Text bytes that one round of array work takes here.
+ROUND_BYTES = 2 << 20
+#: Rows, and entries of the matrix, that a block of a large group has.
+BLOCK_ROWS, BLOCK_ENTRIES = 2000, 4_000_000
+#: Entries of a partition of the columns; with more there are more partitions than the session's.
+PARTITION_ENTRIES = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _by_row(r: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """An order by row and key; r needs no order."""
+    o = np.argsort(key)
+    rows = r[o]
+    return o[np.argsort(rows.astype(np.uint16) if not len(rows) or int(rows.max()) < 1 << 16 else rows, kind="stable")]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each row, sorted by both."""
     data = _LOWER[data]
@@ -69,46 +83,80 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
             made.append(C.gram_hashes(hashes, k)[first[short]] + np.uint64(k))
             row.append(short)
     r, h = np.concatenate(row), np.concatenate(made)
-    order = np.lexsort((h, r))
+    order = _by_row(r, h)
     r, h = r[order], h[order]
     edge = np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, bool)
     return r[edge], h[edge]
 
 
-def _survey(n: int):
-    """A row for each document (kind 0: id, size, two fingerprint halves) and for shingles that are frequent in a bag (kind 1: hash, count)."""
+def fingerprints(ids: np.ndarray, bounds: np.ndarray, h: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The name of each row's set and 64 further bits; a document without shingles is named by its id."""
+    size, out = np.diff(bounds), []
+    for base in (C.BASE_A, C.BASE_B):
+        salt = C.mix(np.array([base], np.uint64) + np.uint64(seed))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(C.mix(h ^ salt), dtype=np.uint64)])
+        name = C.mix((total[bounds[1:]] - total[bounds[:-1]]) ^ C.mix(size.astype(np.uint64) + salt))
+        out.append(np.where(size > 0, name, C.mix(ids.view(np.uint64) ^ C.mix(salt))).view(np.int64))
+    return out[0], out[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag, size = [], 0
-        names = ["kind", "id", "a", "b", "c"]
 
-        def frequent() -> pa.RecordBatch:
-            found, count = np.unique(np.concatenate(bag), return_counts=True) if bag else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = count >= FREQUENT_IN_BAG
-            m = int(many.sum())
-            zero = pa.array(np.zeros(m, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(found[many].view(np.int64)), pa.array(count[many].astype(np.int64)), zero, zero], names)
+def _ids(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.fill_null(0)).astype(np.int64)
+
 
+def _survey(n: int, seed: int):
+    """A row for each document (kind 0: id, size, two fingerprint halves), then the task's cells (kind 1: number of the block, packed counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "id", "size", "a", "b", "blob"]
+        cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for i, j, data, offsets in C.text_chunks(batch.column(1)):
+            ids = _ids(batch.column(0))
+            for i, j, data, offsets in C.text_chunks(batch.column(1), ROUND_BYTES):
                 r, h = shingle_sets(data, offsets, n)
                 bounds = np.searchsorted(r, np.arange(j - i + 1))
-                total = [np.concatenate([[np.uint64(0)], np.cumsum(C.mix(h ^ b), dtype=np.uint64)]) for b in (C.BASE_A, C.BASE_B)]
-                a, b = (t[bounds[1:]] - t[bounds[:-1]] for t in total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names)
-                bag.append(h)
-                size += len(data)
-                if size >= BAG_BYTES:
-                    yield frequent()
-                    bag, size = [], 0
-        yield frequent()
+                a, b = fingerprints(ids[i:j], bounds, h, seed)
+                np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array(a), pa.array(b), pa.nulls(j - i, pa.binary())], names)
+        parts = [(k, x) for k, x in enumerate(cells.reshape(CELL_BLOCKS, -1)) if x.any()]
+        zero = pa.array(np.zeros(len(parts), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(parts), np.int32)), pa.array([k for k, _ in parts], pa.int64()), zero, zero, zero, pa.array([zlib.compress(x.tobytes(), 1) for _, x in parts], pa.binary())], names)
 
     return run
 
 
-def behind(size, percent: int):
-    """Shingles of a set that stand behind its prefix: one less than a link needs, less the extra that makes links share more than one column."""
-    return -(-percent * size // 100) - 1 - size // EXTRA
+def _merge_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels (8 times the binary logarithm of the counts) of each block of cells; rows are sorted by block."""
+    at, total = None, None
+
+    def out() -> pa.RecordBatch:
+        level = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([level.tobytes()], pa.binary())], ["id", "blob"])
+
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if k != at:
+                if at is not None:
+                    yield out()
+                at, total = k, np.zeros(CELLS // CELL_BLOCKS, np.int64)
+            total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
+    if at is not None:
+        yield out()
+
+
+def cell_levels(survey: DataFrame) -> np.ndarray:
+    """A level for each cell: a fixed size, whatever the corpus."""
+    parts = min(CELL_BLOCKS, int(survey.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    merged = survey.filter("kind = 1").select("id", "blob").repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge_cells, "id long, blob binary")
+    levels = np.zeros((CELL_BLOCKS, CELLS // CELL_BLOCKS), np.uint8)
+    for r in merged.collect():
+        levels[r["id"]] = np.frombuffer(r["blob"], np.uint8)
+    return levels.ravel()
+
+
+def shared_least(s, t, percent: int):
+    """Shingles that sets of these sizes share if they link: the ceiling of percent * (s + t) / (100 + percent)."""
+    return -(-percent * (s + t) // (100 + percent))
 
 
 def _size_class(n: np.ndarray) -> np.ndarray:
@@ -116,97 +164,131 @@ def _size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64)
 
 
-def _emit_prefixes(keys: list[int], n: int, percent: int, frequent):
+def _pack(name: np.ndarray, size: np.ndarray, row: np.ndarray, low: np.ndarray, place: np.ndarray) -> bytes:
+    """Rows (name, size, entries) and entries (column, place) of a part of a chunk; row is ascending."""
+    edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    wide = 2 if int(place.max()) < 1 << 16 else 4
+    rows = row[edge]
+    head = np.array([len(edge), len(row), wide], np.uint32)
+    return b"".join(x.tobytes() for x in (head, name[rows], size[rows].astype(np.uint32), np.diff(np.append(edge, len(row))).astype(np.uint32), low, place.astype(f"u{wide}")))
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each entry: the row's name and size, the column, the place."""
+    d, n, wide = np.frombuffer(blob, np.uint32, 3).tolist()
+    name, size, count = np.frombuffer(blob, np.int64, d, 12), np.frombuffer(blob, np.uint32, d, 12 + 8 * d), np.frombuffer(blob, np.uint32, d, 12 + 12 * d)
+    at = 12 + 16 * d
+    return np.repeat(name, count), np.repeat(size, count).astype(np.int64), np.frombuffer(blob, np.uint32, n, at), np.frombuffer(blob, f"u{wide}", n, at + 4 * n).astype(np.int64)
+
+
+def _emit(keys: list[int], n: int, percent: int, seed: int, levels):
+    """The entries that the bounds leave, by partition of the column. Of equal sets in a chunk one is sent."""
     parts_n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = frequent.value
+        level = levels.value
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for i, j, data, offsets in C.text_chunks(batch.column(1)):
+            ids = _ids(batch.column(0))
+            for i, j, data, offsets in C.text_chunks(batch.column(1), ROUND_BYTES):
                 r, h = shingle_sets(data, offsets, n)
                 if not len(h):
                     continue
-                level = np.zeros(len(h), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    level = np.where(often[at] == h, rank[at], 0)
-                order = np.lexsort((h, level, r))
-                h = h[order]
-                size = np.bincount(r, minlength=j - i)
+                bounds = np.searchsorted(r, np.arange(j - i + 1))
+                name, _ = fingerprints(ids[i:j], bounds, h, seed)
+                size = np.diff(bounds)
+                once = np.zeros(j - i, bool)
+                once[np.unique(name, return_index=True)[1]] = True
+                some = once[r]
+                r, h = r[some], h[some]
+                rank = (level[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                order = _by_row(r, rank)
+                r, h = r[order], h[order]
                 place = np.arange(len(r)) - np.searchsorted(r, np.arange(j - i))[r]
-                prefix = place < (size - behind(size, percent))[r]
-                r, h = r[prefix], h[prefix]
-                part = ((h >> np.uint64(33)) % np.uint64(parts_n)).astype(np.int64)
-                low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                cls = _size_class(size)
-                order, bounds = _runs(part, r, parts_n)
-                kinds, parts, blobs = [], [], []
-                for k in range(parts_n):
-                    o = order[bounds[k] : bounds[k + 1]]
-                    if not len(o):
-                        continue
-                    rows = r[o]
-                    key = (low[o].astype(np.uint64) << np.uint64(8)) | (cls[rows].astype(np.uint64) & np.uint64(255))
-                    own = ids[i:j][rows]
-                    by = np.lexsort((own, key))
-                    by = by[np.concatenate([[True], key[by][1:] != key[by][:-1]])]
-                    kinds += [OWNERS, PROBES]
-                    parts += [keys[k], keys[k]]
-                    blobs += [low[o][by].tobytes() + cls[rows][by].astype(np.uint8).tobytes() + own[by].tobytes(), _blob(ids[i:j], size.astype(np.uint32), rows, low[o])]
-                yield _rows(kinds, parts, blobs)
+                prefix = place < (size + 1 + (-percent * size // 100))[r]
+                r, h, place = r[prefix], h[prefix], place[prefix]
+                part, low = ((h >> np.uint64(33)) % np.uint64(parts_n)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                order, cuts = _runs(part, r, parts_n)
+                full = [k for k in range(parts_n) if cuts[k] < cuts[k + 1]]
+                blobs = [_pack(name, size, r[o], low[o], place[o]) for o in (order[cuts[k] : cuts[k + 1]] for k in full)]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in full], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _pair_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, member, size, n): columns that a member shares with the pivot of its size class, or of the one below."""
-    part, index, ready = None, _Smallest("u8"), False
-    for batch in batches:
-        for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if p != part:
-                part, index, ready = p, _Smallest("u8"), False
-            if kind == OWNERS:
-                n = len(blob) // 13
-                key = (np.frombuffer(blob, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64)
-                index.add(key, np.frombuffer(blob, np.int64, n, 5 * n))
-                continue
-            if not ready:
-                index.settle()
-                ready = True
-            ids, sizes, counts, low = _unblob(blob, "u4")
-            doc = np.repeat(np.arange(len(ids)), counts)
-            cls = _size_class(sizes.astype(np.int64))[doc]
-            pivots, members = [], []
-            for below in (0, 1):
-                some = cls >= below
-                key = (low[some].astype(np.uint64) << np.uint64(8)) | ((cls[some] - below).astype(np.uint64) & np.uint64(255))
-                at, there = index.find(key)
-                if not len(index.id):
-                    continue
-                d = doc[some][there]
-                first = index.id[at[there]]
-                other = first != ids[d]
-                pivots.append(first[other])
-                members.append(d[other])
-            if not pivots or not sum(map(len, pivots)):
-                continue
-            a, d = np.concatenate(pivots), np.concatenate(members)
-            order = np.lexsort((d, a))
-            a, d = a[order], d[order]
-            edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
-            count = np.diff(np.append(edge, len(a)))
-            yield pa.RecordBatch.from_arrays([pa.array(a[edge]), pa.array(ids[d[edge]]), pa.array(sizes[d[edge]].astype(np.int64)), pa.array(count.astype(np.int64))], ["pivot", "member", "size", "n"])
+class _Heads:
+    """For each column and size class: the smallest row among those that can be the smaller of a pair, its size, and the smallest size of these."""
+
+    def __init__(self):
+        self.new, self.waiting = [], 0
+        self.cols = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
+    def add(self, key: np.ndarray, name: np.ndarray, size: np.ndarray) -> None:
+        self.new.append((key, name, size, size))
+        self.waiting += len(key)
+        if self.waiting > 500_000 + len(self.cols[0]):
+            self.settle()
 
-def _pack(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    def settle(self) -> None:
+        if not self.new:
+            return
+        key, name, size, least = (np.concatenate([c, *(x[k] for x in self.new)]) for k, c in enumerate(self.cols))
+        order = np.lexsort((name, key))
+        key, name, size, least = key[order], name[order], size[order], least[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.cols = [key[edge], name[edge], size[edge], np.minimum.reduceat(least, edge)]
+        self.new, self.waiting = [], 0
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
+GROUPS = "head long, head_size long, name long, size long"
+
+
+def _group(percent: int):
+    """(head, its size, row, its size) for the rows of each column and class, but for heads; a partition is read once and kept in memory or on its own disk."""
+
+    def key_of(low: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        return (low.astype(np.uint64) << np.uint64(8)) | (cls.astype(np.uint64) & np.uint64(255))
+
+    def smaller(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return size - place >= shared_least(size, size, percent)
+
+    def grouped(heads: _Heads, held: _Held) -> Iterator[pa.RecordBatch]:
+        heads.settle()
+        keys, names, sizes, leasts = heads.cols
+        if not len(keys):
+            return
+        for blob in held:
+            name, size, low, place = _unpack(blob)
+            cls, out = _size_class(size), []
+            for below in (0, 1):
+                key = key_of(low, cls - below)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                can = size - place >= shared_least(leasts[at], size, percent)
+                if not below:
+                    can |= smaller(size, place)
+                member = np.flatnonzero((keys[at] == key) & can & (names[at] != name) & (cls >= below))
+                out.append((names[at[member]], sizes[at[member]], name[member], size[member]))
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+            if len(cols[0]):
+                order = np.lexsort((cols[2], cols[0]))
+                cols = [c[order] for c in cols]
+                edge = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(c[edge]) for c in cols], ["head", "head_size", "name", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, heads, held = None, _Heads(), _Held()
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != part:
+                    yield from grouped(heads, held)
+                    part, heads, held = p, _Heads(), _Held()
+                blob = x.as_py()
+                held.add(blob)
+                name, size, low, place = _unpack(blob)
+                own = smaller(size, place)
+                heads.add(key_of(low[own], _size_class(size[own])), name[own], size[own])
+        yield from grouped(heads, held)
+
+    return run
 
 
 #: 64-bit words of the mask that picks the documents whose sets are made: a fixed size, whatever the corpus.
@@ -234,74 +316,145 @@ def mask_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _make_sets(n: int, mask):
+def _make_sets(n: int, seed: int, mask):
+    """(id, name, grams) of the documents whose ids are in the mask."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = mask.value
         for batch in batches:
-            at = _mask_hash(np.asarray(batch.column(0)))
+            at = _mask_hash(_ids(batch.column(0)))
             picked = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             if not picked.any():
                 continue
             batch = batch.filter(pa.array(picked))
+            ids = _ids(batch.column(0))
             for i, j, data, offsets in C.text_chunks(batch.column(1)):
                 r, h = shingle_sets(data, offsets, n)
                 bounds = np.searchsorted(r, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([_pack(h[bounds[k] : bounds[k + 1]]) for k in range(j - i)], pa.binary())], ["id", "grams"])
+                name, _ = fingerprints(ids[i:j], bounds, h, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(name), pa.array([h[bounds[k] : bounds[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["id", "name", "grams"])
 
     return run
 
 
-#: Documents that one task compares with a pivot.
-MEMBERS_A_TASK = 2000
+#: Columns with this many rows or fewer are multiplied entry by entry, others as dense blocks of so many columns.
+SPARSE_ROWS, DENSE_COLUMNS = 32, 2048
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Shared entries of each row of left and each of right (None: left again): the product of the matrix and its transpose."""
+    both = right is None
+    rows = left if both else left + right
+    size = np.array([len(x) for x in rows])
+    entries = np.concatenate(rows) if len(rows) else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(entries, kind="stable")
+    ranked, row = entries[order], row[order]
+    edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    count = np.diff(np.append(edge, len(ranked)))
+    n, m = len(left), len(rows) - (0 if both else len(left))
+    out = np.zeros((n, m), np.float32)
+    dense = count > (1 if len(rows) <= 2 * SPARSE_ROWS else SPARSE_ROWS)
+    at, wide = np.flatnonzero(dense), DENSE_COLUMNS
+    for k in range(0, len(at), wide):
+        some = at[k : k + wide]
+        cells = np.repeat(edge[some] - np.concatenate([[0], np.cumsum(count[some])[:-1]]), count[some]) + np.arange(count[some].sum())
+        x = np.zeros((len(rows), len(some)), np.float32)
+        x[row[cells], np.repeat(np.arange(len(some)), count[some])] = 1
+        out += x[:n] @ (x if both else x[n:]).T
+    for c in np.unique(count[~dense]):
+        if c < 2:
+            continue
+        some = edge[(count == c) & ~dense]
+        for k in range(0, len(some), 1 << 14):
+            group = row[some[k : k + (1 << 14), None] + np.arange(c)]
+            u, v = np.broadcast_arrays(group[:, :, None], group[:, None, :])
+            if not both:
+                fit = (u < n) & (v >= n)
+                u, v = u[fit], v[fit] - n
+            np.add.at(out, (u.ravel(), v.ravel()), 1)
+    if both:
+        np.fill_diagonal(out, size)
+    return out
+
+
+def spanning(link: np.ndarray, both: bool) -> list[tuple[int, int]]:
+    """Pairs (left, right) that connect what the linked pairs connect, one less than there are rows at most."""
+    n, m = link.shape
+    out: list[tuple[int, int]] = []
+    if both:
+        todo = np.ones(n, bool)
+        for start in range(n):
+            if not todo[start]:
+                continue
+            todo[start], stack = False, [start]
+            while stack:
+                x = stack.pop()
+                found = np.flatnonzero(link[x] & todo)
+                todo[found] = False
+                out += [(x, int(y)) for y in found]
+                stack += found.tolist()
+        return out
+    left, right = np.ones(n, bool), np.ones(m, bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], stack = False, [(0, start)]
+        while stack:
+            side, x = stack.pop()
+            found = np.flatnonzero(link[x] & right if side == 0 else link[:, x] & left)
+            (right if side == 0 else left)[found] = False
+            out += [(x, int(y)) if side == 0 else (int(y), x) for y in found]
+            stack += [(1 - side, int(y)) for y in found]
+    return out
+
 
+def _product(percent: int):
+    """Rows (head, i, j, role, name, grams) of blocks: role 0 and 1 are compared with each other, role 2 among themselves."""
 
-def _compare(percent: int):
-    """Rows (a, salt, role, id, grams), a pivot's sets (role 0) before its members': the members that link."""
+    def links(names: dict[int, list[int]], sets: dict[int, list[np.ndarray]]) -> tuple[list[int], list[int]]:
+        both = bool(names[2])
+        left, right = (sets[2], None) if both else (sets[0], sets[1])
+        if not left or not (both or right):
+            return [], []
+        a, b = names[2 if both else 0], names[2 if both else 1]
+        s, t = np.array([len(x) for x in left]), np.array([len(x) for x in (left if both else right)])
+        link = overlaps(left, right) >= shared_least(s[:, None], t[None, :], percent)
+        found = spanning(link, both)
+        return [a[x] for x, _ in found], [b[y] for _, y in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, heads = None, []
+        block, names, sets = None, {}, {}
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            salts, roles = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if (a, salts[k]) != group:
-                    group, heads = (a, salts[k]), []
-                grams = _unpack(batch.column(4)[k].as_py())
-                if roles[k] == 0:
-                    heads.append(grams)
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+            for k, (head, i, j, role, name) in enumerate(keys):
+                if (head, i, j) != block:
+                    if block is not None:
+                        for to, x in zip(out, links(names, sets), strict=True):
+                            to += x
+                    block, names, sets = (head, i, j), {0: [], 1: [], 2: []}, {0: [], 1: [], 2: []}
+                if names[role] and names[role][-1] == name:  # a repeated row
                     continue
-                for head in heads:
-                    small, large = sorted((len(head), len(grams)))
-                    if 100 * small < percent * large:
-                        continue
-                    both = np.concatenate([head, grams])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= percent * (small + large - shared):
-                        out[0].append(a)
-                        out[1].append(b)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+                names[role].append(name)
+                sets[role].append(np.frombuffer(batch.column(5)[k].as_py(), np.uint64))
+            yield _links(*out)
+        if block is not None:
+            yield _links(*links(names, sets))
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets link. Each b's set travels to its pivot a once; the members of a large group go to several tasks, each with the pivot's set."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > MEMBERS_A_TASK)
-    salted = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / MEMBERS_A_TASK)), F.lit(0)).cast("int").alias("salt"))
-    members = salted.join(sets.select(F.col("id").alias("b"), "grams"), "b").select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id"), "grams")
-    heads = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "grams"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"), "grams")
-    routed = members.unionByName(heads).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
-    return routed.mapInArrow(_compare(percent), "a long, b long")
+def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of every id in links: comp is the smallest id reachable. Each round joins every id to its neighbours' smallest and that id's own (large star, small star)."""
-    edges = C.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    """(id, comp) of every id in links: comp is the smallest id reachable. Each round joins every id to its neighbours' smallest and that id's own (large star, small star); a round's edges are deleted once the next are written."""
+    kept = C.Kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
+        edges = kept.df
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u to u's smallest
@@ -309,106 +462,93 @@ def components(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of u, and u, to u's smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = C.written(small, "edges")
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("u").cast("decimal(38,0)")).alias("u"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).first()
+        last, kept = kept, C.Kept(small, "edges")
+        last.drop()
+        now = kept.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("u").cast("decimal(38,0)")).alias("u"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).first()
         if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+            return kept.df.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(kept.df.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
         before = now
 
 
-def _close(size_a: str, size_b: str, percent: int):
-    return (100 * F.least(F.col(size_a), F.col(size_b))) >= (percent * F.greatest(F.col(size_a), F.col(size_b)))
+def _blocks_of(groups: DataFrame, spread) -> DataFrame:
+    """(head, i, j, role, name) of the groups that fit one block: each row once."""
+    return groups.filter(~spread).select("head", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role"), "name")
 
 
-def _enough(s: str, t: str, ha: str, hb: str, percent: int):
-    """Whether both documents share columns enough for a link of these sizes.
-
-    Sets of sizes s and t that link have an overlap of percent * (s + t) / (100 + percent). All of it but what stands
-    behind the prefix that reaches less far is in columns that both prefixes have."""
-    overlap = F.ceil(percent * (F.col(s) + F.col(t)) / (100 + percent) - 1e-9)
-    rest = [F.ceil(percent * F.col(c) / 100 - 1e-9) - 1 - F.floor(F.col(c) / EXTRA) for c in (s, t)]
-    return F.least(ha, hb) >= overlap - F.greatest(*rest)
+def _cross(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(head, i, j, role, name): each block of left against each block of right. left and right have head, name, n_left, n_right."""
+    block = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    one = left.select("head", block("n_left").alias("i"), every("n_right").alias("j"), F.lit(0).alias("role"), "name")
+    two = right.select("head", every("n_left").alias("i"), block("n_right").alias("j"), F.lit(1).alias("role"), "name")
+    return one.unionByName(two)
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    survey = C.written(rows.mapInArrow(_survey(n), "kind int, id long, a long, b long, c long"), "survey")
-    sized = survey.filter("kind = 0").select("id", F.col("a").alias("size"), "b", "c")
-    often = survey.filter("kind = 1").groupBy("id").agg(F.sum("a").alias("n")).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).collect()
-    hashes = np.array([r["id"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    ranks = (len(often) - np.arange(len(often)))[order] if len(often) else np.zeros(0, np.int64)
-    sent = spark.sparkContext.broadcast((hashes[order], ranks))
-
-    # rows of equal sets, and rows of equal ids, hang on the smallest id
-    some = sized.filter(F.col("id").isNotNull() & (F.col("size") > 0))
-    groups = some.groupBy("size", "b", "c").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    equal = C.written(some.join(groups, ["size", "b", "c"]).filter("id <> rep").select("id", "rep").distinct(), "equal-sets")
-
-    routed = rows.filter(F.col("id").isNotNull()).mapInArrow(_emit_prefixes(partition_keys(spark, parts), n, percent, sent), "part int, kind int, blob binary").repartition(parts, "part").sortWithinPartitions("part", "kind")
-    raw = routed.mapInArrow(_pair_pivots, "pivot long, member long, size long, n long")
-    # of equal sets only one takes part; a pivot's size is its own row's
-    raw = raw.groupBy("pivot", "member", "size").agg(F.sum("n").alias("n"))
-    raw = raw.join(equal.select(F.col("id").alias("member")), "member", "left_anti")
-    raw = raw.join(equal.select(F.col("id").alias("pivot"), "rep"), "pivot", "left").select(F.coalesce("rep", "pivot").alias("pivot"), "member", "size", "n").filter("pivot <> member")
-    groups = C.written(raw.groupBy("pivot", "member", "size").agg(F.sum("n").alias("n")), "overlaps")
-    sizes = some.groupBy("id").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    pivots = groups.select(F.col("pivot").alias("id")).distinct().join(sizes, "id").select(F.col("id").alias("pivot"), F.col("least").alias("p_least"), F.col("most").alias("p_most"))
-    groups = C.written(groups.join(pivots, "pivot"), "pivot-groups")
-
-    # columns that a document shares with others: no pair of it shares more
-    shared = groups.select(F.col("member").alias("id"), "n").unionByName(groups.select(F.col("pivot").alias("id"), "n")).groupBy("id").agg(F.sum("n").alias("shared"))
-    members = groups.select("pivot", F.col("member").alias("id"), "size").unionByName(pivots_of(groups)).join(shared, "id")
-    # the bound of _enough for the partner that makes it smallest
-    members = members.filter(F.col("shared") >= F.floor(F.col("size") / EXTRA) + 1)
-    members = C.written(members, "members")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        mask = spark.sparkContext.broadcast(mask_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
-        sets = C.written(rows.filter(F.col("id").isNotNull()).mapInArrow(_make_sets(n, mask), "id long, grams binary"), "sets")
-        return C.written(verify(pairs, sets, percent), "links")
-
-    links = checked = None
-    for k in range(ROUNDS + 1):
-        comp = None if links is None else components(links)
-        labelled = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        per = labelled.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("k"))
-        mixed = C.written(per.groupBy("pivot").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).filter("comps > 1"), "open-groups")
-        total = mixed.agg(F.sum(F.col("all").cast("double") * F.col("all") - F.col("squares")).alias("pairs"), F.sum("all").alias("docs")).first()
-        if not total["docs"]:
-            break
-        last = k == ROUNDS or total["pairs"] / 2 <= PAIRS_A_DOCUMENT * total["docs"]
-        open_groups = labelled.join(mixed.select("pivot"), "pivot")
-        a = open_groups.select("pivot", F.col("id").alias("a"), F.col("size").alias("s"), F.col("comp").alias("ca"), F.col("shared").alias("ha"))
-        b = open_groups.select("pivot", F.col("id").alias("b"), F.col("size").alias("t"), F.col("comp").alias("cb"), F.col("shared").alias("hb"))
-        if not last:
-            # one document of each group against all others: its pivot first, then one by a hash that changes with the round
-            turn = F.when((F.col("a") == F.col("pivot")) & F.lit(k == 0), F.lit(-(1 << 63))).otherwise(F.xxhash64("a", F.lit(k)))
-            a = a.groupBy("pivot").agg(F.min_by(F.struct("a", "s", "ca", "ha"), turn).alias("x")).select("pivot", "x.a", "x.s", "x.ca", "x.ha")
-        pairs = a.join(b, "pivot").filter((F.col("ca") < F.col("cb") if last else F.col("ca") != F.col("cb")) & _close("s", "t", percent) & _enough("s", "t", "ha", "hb", percent))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = C.written(pairs, "pairs")
-        more = linked(pairs)
-        links = more if links is None else links.unionByName(more)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        if last:
+    for seed in range(8):
+        survey = C.Kept(rows.mapInArrow(_survey(n, seed), "kind int, id long, size long, a long, b long, blob binary"), "survey")
+        sized = survey.df.filter("kind = 0").select("id", F.col("a").alias("name"), "size", "b")
+        named = sized.filter(F.col("id").isNotNull()).groupBy("name").agg(F.min("id").alias("least"), F.min("size").alias("size"), F.max("size").alias("s2"), F.min("b").alias("b"), F.max("b").alias("b2"), F.count(F.lit(1)).alias("k"))
+        nodes = C.Kept(named, "nodes")
+        facts = nodes.df.agg(F.count_if((F.col("b") != F.col("b2")) | (F.col("size") != F.col("s2"))).alias("clashes"), F.coalesce(F.sum("size"), F.lit(0)).alias("entries")).first()
+        if not facts["clashes"]:
             break
-
-    same = equal.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(same if links is None else links.unionByName(same))
-    return sized.select("id", "size").join(final, "id", "left").select(F.col("id").cast(kind).alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("comp", "id").cast(kind).alias("component_id"))
-
-
-def pivots_of(groups: DataFrame) -> DataFrame:
-    """Each pivot as a member of its own group, with its sizes."""
-    both = groups.select("pivot", "p_least", "p_most").distinct()
-    return both.select("pivot", F.col("pivot").alias("id"), F.explode(F.array_distinct(F.array("p_least", "p_most"))).alias("size"))
+        survey.drop()
+        nodes.drop()
+
+    known = rows.filter(F.col("id").isNotNull())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["entries"] * (100 - percent) // (100 * PARTITION_ENTRIES)))
+    levels = spark.sparkContext.broadcast(cell_levels(survey.df))
+    routed = known.mapInArrow(_emit(partition_keys(spark, parts), n, percent, seed, levels), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
+    found = routed.mapInArrow(_group(percent), GROUPS).groupBy("head", "name").agg(F.max("head_size").alias("head_size"), F.max("size").alias("size"))
+    pairs = C.Kept(found, "groups")
+    heads = pairs.df.groupBy("head").agg(F.max("head_size").alias("size"), (F.count(F.lit(1)) + 1).alias("n_rows"), (F.sum("size") + F.max("head_size")).alias("n_entries"))
+    heads = heads.withColumn("n_right", F.greatest(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.ceil(F.col("n_entries") / BLOCK_ENTRIES)))
+    groups = C.Kept(pairs.df.select("head", "name", "size").unionByName(heads.select("head", F.col("head").alias("name"), "size")).join(heads.select("head", "n_right"), "head"), "rows-of-groups")
+    pairs.drop()
+    spread = F.col("n_right") > 1
+    large = groups.df.filter(spread)
+
+    wanted = groups.df.select("name").distinct().join(nodes.df.select("name", F.col("least").alias("id")), "name")
+    mask = spark.sparkContext.broadcast(mask_of(wanted.select("id")))
+    made = known.mapInArrow(_make_sets(n, seed, mask), "id long, name long, grams binary")
+    sets = C.Kept(made.join(wanted, ["id", "name"], "left_semi").select("name", "grams"), "sets")
+
+    def linked(blocks: DataFrame) -> DataFrame:
+        dealt = blocks.join(sets.df, "name").select("head", "i", "j", "role", "name", "grams")
+        return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "head", "i", "j").sortWithinPartitions("head", "i", "j", "role", "name").mapInArrow(_product(percent), "a long, b long")
+
+    # rows of one id are one document
+    same = sized.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b")
+    same = sized.join(same.select("id", "a"), "id").select("a", F.col("name").alias("b")).filter("a <> b").distinct()
+    few = large.groupBy("head").agg(F.array_distinct(F.array(F.min("name"), F.max("name"), F.min_by("name", F.xxhash64("name")), F.max_by("name", F.xxhash64("name")))).alias("names"), F.max("n_right").alias("n_right"))
+    few = few.select("head", F.explode("names").alias("name"), F.lit(1).alias("n_left"), "n_right")
+    first = _blocks_of(groups.df, spread).unionByName(_cross(few, large.withColumn("n_left", F.lit(1))))
+    links = [C.Kept(linked(first), "links")]
+    every = links[0].df.unionByName(same)
+    if large.head(1):
+        comp = components(every)
+        labelled = large.join(comp.withColumnRenamed("id", "name"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+        main = labelled.groupBy("head", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("head").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+        other = C.Kept(labelled.join(main, "head").filter("comp <> main").select("head", "name", "size", "n_right"), "outside")
+        n_left = other.df.groupBy("head").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_ENTRIES)).alias("n_left"))
+        links.append(C.Kept(linked(_cross(other.df.join(n_left, "head"), large.join(n_left, "head"))), "links"))
+        every = every.unionByName(links[1].df)
+        other.drop()
+
+    # the component of a set that links, or that several documents have
+    comp = components(every).select(F.col("id").alias("name"), "comp")
+    joined = nodes.df.join(comp, "name", "left").filter(F.col("comp").isNotNull() | (F.col("k") > 1)).select("name", F.coalesce("comp", "name").alias("comp"), "least")
+    least = joined.groupBy("comp").agg(F.min("least").alias("first"))
+    answer = C.Kept(joined.join(least, "comp").select("name", "first"), "components").df
+    for x in (groups, sets, nodes, *links):
+        x.drop()
+    out = sized.join(answer, "name", "left").select(F.col("id").cast(kind).alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("first", "id")).cast(kind).alias("component_id"))
+    return out
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:

@@ -86,12 +86,12 @@ def test_jaccard_components(spark, docs, rows, none):
                 x, y = sorted((find(a), find(b)))
                 comp[y] = x
     want = sorted([(d, len(shingles(t)), None if d is None else find(d)) for d, t, *_ in rows], key=str)
-    for limit in (jaccard.PAIRS_A_DOCUMENT, -1):  # at once, and pivot by pivot
-        before, jaccard.PAIRS_A_DOCUMENT = jaccard.PAIRS_A_DOCUMENT, limit
+    for limit in (jaccard.BLOCK_ROWS, 1):  # groups in one block, and dealt out in blocks
+        before, jaccard.BLOCK_ROWS = jaccard.BLOCK_ROWS, limit
         try:
             assert sorted(map(tuple, jaccard.jaccard_components(docs).collect()), key=str) == want
         finally:
-            jaccard.PAIRS_A_DOCUMENT = before
+            jaccard.BLOCK_ROWS = before
     assert jaccard.jaccard_components(none).count() == 0
     kept = {r["doc_id"] for r in jaccard.keep_one(docs).collect()}
     assert kept == {d for d in ids if find(d) == d} | {None}
@@ -106,6 +106,13 @@ def test_a_large_group_of_near_copies(spark):
         for _ in range(3):
             w[r.randrange(200)] = f"e{r.randrange(10**6)}"
         texts.append(" ".join(w))
+    for k in range(20):  # far from the base, in pairs near each other
+        w = texts[k // 2 * 3].split()
+        for p in range(3, 200, 12):
+            w[p] = f"p{k // 2}x{p}"
+        if k % 2:
+            w[r.randrange(200)] = f"odd{k}"
+        texts[130 + k] = " ".join(w)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
     comp = list(range(150))
@@ -114,7 +121,62 @@ def test_a_large_group_of_near_copies(spark):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = comp[i], comp[j]
                 comp = [min(a, b) if c in (a, b) else c for c in comp]
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == dict(enumerate(comp))
+    assert len(set(comp)) > 5
+    for limit in (jaccard.BLOCK_ROWS, 20):
+        before, jaccard.BLOCK_ROWS = jaccard.BLOCK_ROWS, limit
+        try:
+            assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == dict(enumerate(comp))
+        finally:
+            jaccard.BLOCK_ROWS = before
+
+
+def test_one_id_with_different_texts_joins_their_components(spark):
+    t = [" ".join(f"{a}{k}" for k in range(40)) for a in "uvw"]
+    near = t[1].replace("v39", "end")
+    rows = [(2, t[0]), (5, t[0]), (5, t[1]), (9, near), (11, t[2]), (12, None), (12, t[2]), (11, ""), (None, t[2])]
+    got = {tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()}
+    assert got == {(2, 2), (5, 2), (9, 2), (11, 11), (12, 11), (None, None)}
+
+
+def test_overlaps_are_the_matrix_product():
+    r = np.random.default_rng(4)
+    for n, m in ((5, 7), (70, 3), (40, 90)):
+        sets = [np.unique(r.integers(0, 400, r.integers(1, 60)).astype(np.uint64)) for _ in range(n + m)]
+        sets += [np.unique(np.append(r.integers(400, 10**6, 20).astype(np.uint64), np.uint64(7))) for _ in range(5)]
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        assert (jaccard.overlaps(sets, None) == want).all() and (jaccard.overlaps(sets[:n], sets[n:]) == want[:n, n:]).all()
+        link = want >= 3
+        for both, part in ((True, link), (False, link[:n, n:])):
+            size = len(sets)
+            comp, found = list(range(size)), list(range(size))
+
+            def join(c, x, y):
+                return [c[x] if k == c[y] else k for k in c]
+
+            for x, y in zip(*np.nonzero(part), strict=True):
+                comp = join(comp, x, y if both else y + n)
+            pairs = jaccard.spanning(part, both)
+            for x, y in pairs:
+                assert part[x, y]
+                found = join(found, x, y if both else y + n)
+            assert len(pairs) < size and len({*zip(comp, found, strict=True)}) == len(set(comp)) == len(set(found))
+
+
+def thue_morse(k):
+    """Two words of 2**k letters that agree under every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    u, v = thue_morse(11)
+    tail = " ".join(f"t{k}" for k in range(12))
+    rows = [(1, f"{u} {tail}"), (2, f"{v} {tail}"), (3, f"{u}\n{v}\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.remove_repeats(df).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert quality.judge(df, None).orderBy("doc_id").select("quality.n_dup_lines").collect()[2][0] == 0
+    short = spark.createDataFrame([(1, u), (2, v), (3, u + " a b c d"), (4, v + " a b c d")], "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard.jaccard_components(short).orderBy("doc_id").collect()] == [1, 2, 3, 4]
 
 
 def test_substring_dedup(spark, docs, rows, none):
