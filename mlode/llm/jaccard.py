@@ -55,7 +55,9 @@ ROUND_BYTES = 2 << 20
 #: Rows, and entries of the matrix, that a block of a large group has.
 BLOCK_ROWS, BLOCK_ENTRIES = 2000, 4_000_000
 #: Entries of a partition of the columns; with more there are more partitions than the session's.
-PARTITION_ENTRIES = 4_000_000
+PARTITION_ENTRIES = 2_000_000
+#: Prefixes are longer by a share of 1 / EXTRA of the set, and linked sets then share so many more columns there.
+EXTRA = 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -204,7 +206,7 @@ def _emit(keys: list[int], n: int, percent: int, seed: int, levels):
                 order = _by_row(r, rank)
                 r, h = r[order], h[order]
                 place = np.arange(len(r)) - np.searchsorted(r, np.arange(j - i))[r]
-                prefix = place < (size + 1 + (-percent * size // 100))[r]
+                prefix = place < (size + 1 + size // EXTRA + (-percent * size // 100))[r]
                 r, h, place = r[prefix], h[prefix], place[prefix]
                 part, low = ((h >> np.uint64(33)) % np.uint64(parts_n)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 order, cuts = _runs(part, r, parts_n)
@@ -216,63 +218,78 @@ def _emit(keys: list[int], n: int, percent: int, seed: int, levels):
 
 
 class _Heads:
-    """For each column and size class: the smallest row among those that can be the smaller of a pair, its size, and the smallest size of these."""
+    """For each column and size class: the smallest row, and the smallest size of a row that can be the smaller of a pair."""
 
     def __init__(self):
         self.new, self.waiting = [], 0
-        self.cols = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.cols = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)]
 
-    def add(self, key: np.ndarray, name: np.ndarray, size: np.ndarray) -> None:
-        self.new.append((key, name, size, size))
+    def add(self, key: np.ndarray, name: np.ndarray, least: np.ndarray) -> None:
+        self.new.append((key, name, least.astype(np.uint32)))
         self.waiting += len(key)
-        if self.waiting > 500_000 + len(self.cols[0]):
+        if self.waiting > 250_000 + len(self.cols[0]):
             self.settle()
 
     def settle(self) -> None:
         if not self.new:
             return
-        key, name, size, least = (np.concatenate([c, *(x[k] for x in self.new)]) for k, c in enumerate(self.cols))
-        order = np.lexsort((name, key))
-        key, name, size, least = key[order], name[order], size[order], least[order]
+        key, name, least = (np.concatenate([c, *(x[k] for x in self.new)]) for k, c in enumerate(self.cols))
+        order = np.argsort(key)
+        key, name, least = key[order], name[order], least[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        self.cols = [key[edge], name[edge], size[edge], np.minimum.reduceat(least, edge)]
+        self.cols = [key[edge], np.minimum.reduceat(name, edge), np.minimum.reduceat(least, edge)]
         self.new, self.waiting = [], 0
 
 
-GROUPS = "head long, head_size long, name long, size long"
+GROUPS = "head long, name long, size long, n long"
+NEVER_SMALLER = (1 << 32) - 1
 
 
 def _group(percent: int):
-    """(head, its size, row, its size) for the rows of each column and class, but for heads; a partition is read once and kept in memory or on its own disk."""
+    """(head, row, its size, columns) for the rows that meet the bounds with others in a column and class; a partition is read once and kept in memory or on its own disk."""
 
     def key_of(low: np.ndarray, cls: np.ndarray) -> np.ndarray:
         return (low.astype(np.uint64) << np.uint64(8)) | (cls.astype(np.uint64) & np.uint64(255))
 
-    def smaller(size: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return size - place >= shared_least(size, size, percent)
+    def fits(size: np.ndarray, place: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether a column at this place can be one that the set shares with one of the other size or more."""
+        return size - place >= shared_least(other, size, percent) - size // EXTRA
 
-    def grouped(heads: _Heads, held: _Held) -> Iterator[pa.RecordBatch]:
-        heads.settle()
-        keys, names, sizes, leasts = heads.cols
-        if not len(keys):
-            return
+    def rows_of(held: list[bytes], keys: np.ndarray, leasts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in keys, name, size) of the entries that meet the bounds."""
         for blob in held:
             name, size, low, place = _unpack(blob)
             cls, out = _size_class(size), []
             for below in (0, 1):
                 key = key_of(low, cls - below)
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                can = size - place >= shared_least(leasts[at], size, percent)
+                least = leasts[at].astype(np.int64)
+                can = (least != NEVER_SMALLER) & fits(size, place, least)
                 if not below:
-                    can |= smaller(size, place)
-                member = np.flatnonzero((keys[at] == key) & can & (names[at] != name) & (cls >= below))
-                out.append((names[at[member]], sizes[at[member]], name[member], size[member]))
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-            if len(cols[0]):
-                order = np.lexsort((cols[2], cols[0]))
-                cols = [c[order] for c in cols]
-                edge = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(c[edge]) for c in cols], ["head", "head_size", "name", "size"])
+                    can |= fits(size, place, size)
+                member = np.flatnonzero((keys[at] == key) & can & (cls >= below))
+                out.append((at[member], name[member], size[member]))
+            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def grouped(heads: _Heads, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        heads.settle()
+        keys, names, leasts = heads.cols
+        if not len(keys):
+            return
+        first, last = np.full(len(keys), (1 << 63) - 1), np.full(len(keys), -(1 << 63))
+        for at, name, _ in rows_of(held, keys, leasts):
+            np.minimum.at(first, at, name)
+            np.maximum.at(last, at, name)
+        several = first < last
+        for at, name, size in rows_of(held, keys, leasts):
+            some = several[at]
+            head, name, size = names[at[some]], name[some], size[some]
+            if not len(head):
+                continue
+            order = np.lexsort((name, head))
+            head, name, size = head[order], name[order], size[order]
+            edge = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (name[1:] != name[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(head[edge]), pa.array(name[edge]), pa.array(size[edge]), pa.array(np.diff(np.append(edge, len(head))).astype(np.int64))], ["head", "name", "size", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, heads, held = None, _Heads(), _Held()
@@ -280,13 +297,14 @@ def _group(percent: int):
             for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if p != part:
                     yield from grouped(heads, held)
+                    held.close()
                     part, heads, held = p, _Heads(), _Held()
                 blob = x.as_py()
                 held.add(blob)
                 name, size, low, place = _unpack(blob)
-                own = smaller(size, place)
-                heads.add(key_of(low[own], _size_class(size[own])), name[own], size[own])
+                heads.add(key_of(low, _size_class(size)), name, np.where(fits(size, place, size), size, NEVER_SMALLER))
         yield from grouped(heads, held)
+        held.close()
 
     return run
 
@@ -504,22 +522,24 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["entries"] * (100 - percent) // (100 * PARTITION_ENTRIES)))
     levels = spark.sparkContext.broadcast(cell_levels(survey.df))
     routed = known.mapInArrow(_emit(partition_keys(spark, parts), n, percent, seed, levels), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
-    found = routed.mapInArrow(_group(percent), GROUPS).groupBy("head", "name").agg(F.max("head_size").alias("head_size"), F.max("size").alias("size"))
-    pairs = C.Kept(found, "groups")
-    heads = pairs.df.groupBy("head").agg(F.max("head_size").alias("size"), (F.count(F.lit(1)) + 1).alias("n_rows"), (F.sum("size") + F.max("head_size")).alias("n_entries"))
+    found = C.Kept(routed.mapInArrow(_group(percent), GROUPS).groupBy("head", "name").agg(F.max("size").alias("size"), F.sum("n").alias("n")), "groups")
+    able = found.df.groupBy("name").agg(F.sum("n").alias("n"), F.max("size").alias("size")).filter(F.col("n") >= 1 + F.floor(F.ceil(percent * F.col("size") / 100) / EXTRA)).select("name")
+    able = C.Kept(found.df.select("head", "name", "size").join(able, "name", "left_semi"), "able-rows")
+    heads = able.df.groupBy("head").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_entries")).filter("n_rows > 1")
     heads = heads.withColumn("n_right", F.greatest(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.ceil(F.col("n_entries") / BLOCK_ENTRIES)))
-    groups = C.Kept(pairs.df.select("head", "name", "size").unionByName(heads.select("head", F.col("head").alias("name"), "size")).join(heads.select("head", "n_right"), "head"), "rows-of-groups")
-    pairs.drop()
+    groups = C.Kept(able.df.join(heads.select("head", "n_right"), "head"), "rows-of-groups")
+    found.drop()
+    able.drop()
     spread = F.col("n_right") > 1
     large = groups.df.filter(spread)
 
     wanted = groups.df.select("name").distinct().join(nodes.df.select("name", F.col("least").alias("id")), "name")
     mask = spark.sparkContext.broadcast(mask_of(wanted.select("id")))
-    made = known.mapInArrow(_make_sets(n, seed, mask), "id long, name long, grams binary")
-    sets = C.Kept(made.join(wanted, ["id", "name"], "left_semi").select("name", "grams"), "sets")
+    # a set can come from several rows; the product takes it once
+    sets = known.mapInArrow(_make_sets(n, seed, mask), "id long, name long, grams binary").select("name", "grams")
 
     def linked(blocks: DataFrame) -> DataFrame:
-        dealt = blocks.join(sets.df, "name").select("head", "i", "j", "role", "name", "grams")
+        dealt = blocks.join(sets, "name").select("head", "i", "j", "role", "name", "grams")
         return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "head", "i", "j").sortWithinPartitions("head", "i", "j", "role", "name").mapInArrow(_product(percent), "a long, b long")
 
     # rows of one id are one document
@@ -545,7 +565,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     joined = nodes.df.join(comp, "name", "left").filter(F.col("comp").isNotNull() | (F.col("k") > 1)).select("name", F.coalesce("comp", "name").alias("comp"), "least")
     least = joined.groupBy("comp").agg(F.min("least").alias("first"))
     answer = C.Kept(joined.join(least, "comp").select("name", "first"), "components").df
-    for x in (groups, sets, nodes, *links):
+    for x in (groups, nodes, *links):
         x.drop()
     out = sized.join(answer, "name", "left").select(F.col("id").cast(kind).alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("first", "id")).cast(kind).alias("component_id"))
     return out

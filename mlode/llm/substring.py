@@ -230,6 +230,8 @@ class _Held:
         self.file.seek(0)
         for n in self.sizes:
             yield self.file.read(n)
+
+    def close(self) -> None:
         self.file.close()
 
 
@@ -257,6 +259,7 @@ def _answer_anchors(keys: list[int]):
                 if p != part:
                     if largest is not None:
                         yield from owners_hit(answers, part, index, largest, held)
+                    held.close()
                     part, index, largest, held = p, _Smallest("u4"), None, _Held()
                 if kind == OWNERS:
                     ids, _, counts, hashes, _ = _unblob(blob, "u4")
@@ -280,6 +283,7 @@ def _answer_anchors(keys: list[int]):
                     yield from answers.add(ids[some], marks[some], PROBES, numbers[p], [np.packbits(hit[begins[k] : ends[k]]).tobytes() for k in some])
         if largest is not None:
             yield from owners_hit(answers, part, index, largest, held)
+        held.close()
         yield from answers.flush()
 
     return run
