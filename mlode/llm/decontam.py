@@ -4,18 +4,21 @@ Words are lower-cased runs of letters and digits; an item's set has its distinct
 5-word shingles (with fewer words, the whole sequence as one). An item of s
 shingles is contained in a document if at least ``threshold`` of them occur there.
 
-Only items have sketches, and there are no size partitions: the sketch of an item
-of s shingles is its floor((1 - threshold) * s) + 1 smallest shingle hashes. A
-document that contains the item lacks fewer shingles than that, so it holds one
-of them: the search loses nothing, however long the document is. (Banded
-signatures of the documents would lose short items in long documents.) Every
-shingle of every document is looked up in the sketches, size bounds drop pairs
-in which the document has too few shingles, and the remaining pairs are verified
-on the shingles as text.
+The search is over the items' MinHash sketches, in partitions by size: partition p
+has the items of 2**p to 2**(p+1) - 1 shingles, and each of their sketches is the
+item's floor((1 - threshold) * (2**(p+1) - 1)) + 1 + ``SPARE`` smallest shingle
+hashes (all, if it has fewer). A document that contains an item of s shingles lacks
+floor((1 - threshold) * s) of them at most, so it holds all but so many of the
+sketch: a document is a candidate of an item if it holds that many, and has at least
+threshold * 2**p shingles. The search loses nothing, however long the document is.
+(Documents have no signatures: banded ones of long documents would lose short
+items.) Every document is read once: its shingles, of as many words as the items'
+have, are looked up in the sketches. Candidates are verified on the shingles as text.
 
 Nulls: a null or wordless text has no shingles and matches nothing; an item
 without words is contained in nothing. Rows with the same id and text give one
-row for a pair (rows of one id with different texts: the largest overlap).
+row for a pair (rows of one id with different texts: the largest overlap); a null
+document or item id is an id like any other.
 Empty tables give no rows. Other columns are not read. Only DataFrame functions.
 """
 
@@ -28,6 +31,8 @@ from mlode.llm.common import table
 
 N = 5
 THRESHOLD = 0.75
+#: Hashes of a sketch beyond those that a match needs: with them a candidate holds several.
+SPARE = 3
 #: Sketch hashes that are sent to every task as a set; with more, the lookup is a join on the hash.
 MOST_SENT = 100_000
 
@@ -41,13 +46,15 @@ def bound_to(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shingle_hashes(words: Column, n: int) -> Column:
-    """64-bit hashes of all runs of n words."""
+def shingle_hashes(words: Column, sizes: list[int]) -> Column:
+    """64-bit hashes of all runs of so many words, for each of the sizes."""
     none = F.array().cast("array<bigint>")
 
+    def runs(h: Column, n: int) -> Column:
+        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[h[i + k] for k in range(n)]))).otherwise(none)
+
     def over(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(h) - n)
-        return F.when(F.size(h) >= n, F.transform(starts, lambda i: F.xxhash64(*[h[i + k] for k in range(n)]))).otherwise(none)
+        return F.concat(*[runs(h, n) for n in sizes])
 
     return bound_to(F.transform(words, lambda x: F.xxhash64(x)), over)
 
@@ -58,51 +65,48 @@ def shingle_texts(words: Column, n: int) -> Column:
 
 
 def item_sketches(items: DataFrame, item_id: str, text: str, n: int, threshold: float) -> DataFrame:
-    """_item, _n (words a shingle), _texts (its set), _s, _sketch."""
+    """_item, _n (words a shingle), _texts (its set), _s, _part, _sketch, _hits (of the sketch, in a document that contains the item), _least (shingles of such a document)."""
     w = items.select(F.col(item_id).alias("_item"), normal_words(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
     w = w.withColumn("_n", F.least(F.lit(n), F.size("_w")))
     per = None
     for k in range(1, n + 1):
         part = w.filter(F.col("_n") == k)
-        part = part.select("_item", "_n", F.array_distinct(shingle_texts(F.col("_w"), k)).alias("_texts"), F.array_sort(F.array_distinct(shingle_hashes(F.col("_w"), k))).alias("_hashes"))
+        part = part.select("_item", "_n", F.array_distinct(shingle_texts(F.col("_w"), k)).alias("_texts"), F.array_sort(F.array_distinct(shingle_hashes(F.col("_w"), [k]))).alias("_hashes"))
         per = part if per is None else per.unionByName(part)
-    per = per.withColumn("_s", F.size("_texts"))
-    need = F.floor((1 - threshold) * F.col("_s") + 1e-9).cast("int") + 1
-    return per.withColumn("_sketch", F.slice("_hashes", F.lit(1), need)).drop("_hashes")
+    lacks = lambda s: F.floor((1 - threshold) * s + 1e-9).cast("int")
+    per = per.withColumn("_s", F.size("_texts")).withColumn("_part", F.floor(F.log2(F.col("_s").cast("double")) + 1e-9).cast("int"))
+    per = per.withColumn("_sketch", F.slice("_hashes", F.lit(1), lacks(F.pow(F.lit(2.0), F.col("_part") + 1) - 1) + 1 + SPARE))
+    return per.withColumn("_hits", F.size("_sketch") - lacks(F.col("_s"))).withColumn("_least", F.ceil(threshold * F.pow(F.lit(2.0), F.col("_part")) - 1e-9).cast("int")).drop("_hashes")
 
 
 def find_contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document and item that it contains: ids, shingles of the item, shared ones, containment."""
     spark = docs.sparkSession
-    sketches = item_sketches(items, item_id, item_text, n, threshold)
+    sketches = item_sketches(items, item_id, item_text, n, threshold).withColumn("_set", F.xxhash64("_texts"))
     stats = sketches.agg(F.collect_set("_n").alias("ns"), F.sum(F.size("_sketch")).alias("total")).first()
     sizes, total = sorted(stats["ns"] or []), stats["total"] or 0
     id_type, item_type = docs.schema[doc_id].dataType, items.schema[item_id].dataType
     if not total:
         return spark.createDataFrame([], f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, n_item_shingles int, n_shared int, containment double")
     small = total <= MOST_SENT
-    wide = sketches.select(F.explode("_sketch").alias("_hash"), "_item", "_n", "_s", "_texts")
-    words = docs.select(F.col(doc_id).alias("_doc"), normal_words(F.col(text)).alias("_w"))
-    found = None
-    for k in sizes:
-        probes = shingle_hashes(F.col("_w"), k)
-        if small:
-            wanted = [r[0] for r in sketches.filter(F.col("_n") == k).select(F.explode("_sketch")).distinct().collect()]
-            probes = F.filter(probes, lambda x: x.isin(wanted))
-        # explode_outer: of explode() the optimizer would infer a filter that computes the hits a second time
-        hits = words.select("_doc", "_w", F.array_distinct(probes).alias("_hits"))
-        if small:
-            pairs = hits.select("_doc", "_w", F.explode_outer("_hits").alias("_hash")).join(F.broadcast(wide.filter(F.col("_n") == k)), "_hash")
-            pairs = pairs.filter(F.size("_w") - k + 1 >= F.ceil(threshold * F.col("_s") - 1e-9))
-        else:
-            # a row's key is its id, which can be null, and the hash of its words or set, which can't
-            thin = wide.filter(F.col("_n") == k).select("_hash", F.col("_item").alias("_i"), F.xxhash64("_texts").alias("_set"), "_s")
-            ids = hits.select(F.col("_doc").alias("_d"), F.xxhash64("_w").alias("_words"), F.size("_w").alias("_len"), F.explode_outer("_hits").alias("_hash")).join(thin, "_hash").filter(F.col("_len") - k + 1 >= F.ceil(threshold * F.col("_s") - 1e-9)).select("_d", "_words", "_i", "_set").distinct()
-            pairs = ids.join(words, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.xxhash64("_w")))
-            pairs = pairs.join(sketches.filter(F.col("_n") == k).select("_item", "_s", "_texts"), F.col("_i").eqNullSafe(F.col("_item")) & (F.col("_set") == F.xxhash64("_texts")))
-        shared = F.size(F.array_intersect(F.col("_texts"), shingle_texts(F.col("_w"), k)))
-        out = pairs.select("_doc", "_item", "_s", shared.alias("_shared"))
-        found = out if found is None else found.unionByName(out)
+    words = docs.select(F.col(doc_id).alias("_doc"), normal_words(F.col(text)).alias("_w")).filter(F.size("_w") >= sizes[0])
+    probes = shingle_hashes(F.col("_w"), sizes)
+    if small:
+        wanted = [r[0] for r in sketches.select(F.explode("_sketch")).distinct().collect()]
+        probes = F.filter(probes, lambda x: x.isin(wanted))
+    # a row's key is its id, which can be null, and the hash of its words or set, which can't
+    hits = words.select(F.col("_doc").alias("_d"), F.xxhash64("_w").alias("_words"), F.size("_w").alias("_len"), F.array_distinct(probes).alias("_found"))
+    # explode_outer: of explode() the optimizer would infer a filter that computes the hits a second time
+    hits = hits.select("_d", "_words", "_len", F.explode_outer("_found").alias("_hash"))
+    wide = sketches.select(F.explode("_sketch").alias("_hash"), F.col("_item").alias("_i"), "_set", "_n", "_hits", "_least")
+    met = hits.join(F.broadcast(wide) if small else wide, "_hash").filter(F.col("_len") - F.col("_n") + 1 >= F.col("_least"))
+    # rows of one id and text count once
+    met = met.groupBy("_d", "_words", "_i", "_set").agg(F.count_distinct("_hash").alias("_k"), F.max("_hits").alias("_hits")).filter("_k >= _hits").drop("_k", "_hits")
+    pairs = words.withColumn("_words", F.xxhash64("_w")).join(met, F.col("_d").eqNullSafe(F.col("_doc")) & (met["_words"] == F.xxhash64("_w"))).select("_doc", "_w", "_i", "_set")
+    own = sketches.select("_item", "_n", "_s", "_texts", F.col("_set").alias("_same"))
+    pairs = pairs.join(own, F.col("_i").eqNullSafe(F.col("_item")) & (F.col("_set") == F.col("_same")))
+    there = F.coalesce(*[F.when(F.col("_n") == k, shingle_texts(F.col("_w"), k)) for k in sizes])
+    found = pairs.select("_doc", "_item", "_s", F.size(F.array_intersect(F.col("_texts"), there)).alias("_shared"))
     best = found.groupBy("_doc", "_item").agg(F.max("_s").alias("_s"), F.max("_shared").alias("_shared"))
     best = best.filter(F.col("_shared") >= F.ceil(threshold * F.col("_s") - 1e-9))
     return best.select(F.col("_doc").alias("doc_id"), F.col("_item").alias("item_id"), F.col("_s").alias("n_item_shingles"), F.col("_shared").alias("n_shared"), (F.col("_shared") / F.col("_s")).alias("containment"))
