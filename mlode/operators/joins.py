@@ -254,7 +254,7 @@ def register(kit: Kit) -> None:
             raise EvalError("Table.Group gives one name twice")
         run = V.HIDDEN + "run"
         if local:
-            t = with_runs(t, keys, run)
+            t = P.with_runs(t, keys, run)
         g = Group(t.row(), None, t.order, modes=None if t.df.isStreaming else [])
         by = [quoted(k).alias(k) for k in keys]
         same = [quoted(run)] if local else by
@@ -303,20 +303,3 @@ def register(kit: Kit) -> None:
         keys = best.columns[:-1]
         match = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(k)) for c, k in zip(same, keys, strict=True)], F.lit(True))
         return df.join(best, match, "left").drop(*keys)
-
-    def with_runs(t: Table, keys: list[str], run: str) -> Table:
-        """A number for each run of equal keys: changes are counted in buckets of the order and carried on."""
-        t.need_order()
-        index = P.indexed(t)
-        b = V.HIDDEN + "rb"
-        df = index.withColumn(b, F.floor(F.col(P.INDEX) / (1 << 20)))
-        key = F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)])
-        w = Window.partitionBy(b).orderBy(P.INDEX)
-        before = F.lag(key).over(w)
-        # the first row of a bucket is compared with the last row of the one before
-        last = df.groupBy(b).agg(F.max_by(key, F.col(P.INDEX)).alias("_last")).select((F.col(b) + 1).alias(b), "_last")
-        df = df.join(last, b, "left").withColumn("_prev", F.coalesce(before, F.col("_last")))
-        df = df.withColumn("_new", F.when(F.col("_prev").isNull() | ~key.eqNullSafe(F.col("_prev")), 1).otherwise(0))
-        totals = df.groupBy(b).agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(b, "_base")
-        df = df.join(totals, b).withColumn(run, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_base"))
-        return t.keep(df.drop(b, P.INDEX, "_last", "_prev", "_new", "_base"))

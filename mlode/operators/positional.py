@@ -1,9 +1,10 @@
 """Row order: ordinals, dense row numbers and fills without a single-task window.
 
 A positional operator asks for a dense index. Rows are cut into buckets that follow
-the order: for the ordinal of a file, runs of 2**20 rows; for sort keys, ranges
-between sampled values of the leading key. Each bucket is numbered on its own and
-gets the rows before it as an offset from a small table of bucket counts.
+the order: for the ordinal of a file, runs of ``BUCKET_ROWS`` rows; for sort keys,
+ranges between rows sampled from all partitions, compared by the whole key, so that
+one frequent value of a leading key is many buckets. Each bucket is numbered on its
+own and gets the rows before it as an offset from a small table of bucket counts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from mlode.plans.values import HIDDEN, Rec, Table, quoted
 ORDINAL = HIDDEN + "ord"
 BUCKET = HIDDEN + "bucket"
 INDEX = HIDDEN + "index"
-BUCKETS = 256
+#: Rows of a bucket, and the most ranges of sort keys; PER_RANGE rows are sampled for each.
+BUCKET_ROWS = 1 << 16
+MOST_RANGES, PER_RANGE = 1024, 48
 
 
 def fresh(table: Table, stem: str) -> str:
@@ -39,35 +42,92 @@ def counted_ordinal(df: DataFrame) -> DataFrame:
     return df.select("*", F.struct(F.lit("").alias("f"), F.monotonically_increasing_id().alias("r")).alias(ORDINAL))
 
 
-def bucketed(t: Table) -> DataFrame:
-    """t's rows with a bucket that ascends with the order."""
+def in_file_order(t: Table) -> bool:
+    return len(t.order) == 1 and t.order[0][0] == ORDINAL
+
+
+def not_before(t: Table, key: Any, inclusive: bool = True) -> Column:
+    """Whether a row stands at (if inclusive) or behind the place with the key values key(0), key(1), ..."""
+    after = F.lit(inclusive)
+    for k in reversed(range(len(t.order))):
+        n, up = t.order[k]
+        x, y = quoted(n), key(k)
+        beyond = (x > y) | (y.isNull() & x.isNotNull()) if up else (x < y) | (x.isNull() & y.isNotNull())
+        after = F.coalesce(beyond, F.lit(False)) | (x.eqNullSafe(y) & after)
+    return after
+
+
+def bucketed(t: Table) -> tuple[DataFrame, bool]:
+    """t's rows with a bucket, and whether buckets ascend (or descend) with the order."""
     t.need_order()
-    name, up = t.order[0]
-    kind = t.df.schema[name].dataType
-    if name == ORDINAL:
-        key = F.struct(quoted(name)["f"].alias("f"), F.shiftright(quoted(name)["r"], 20).alias("r"))
-        if not up:
-            key = F.struct(F.lit("").alias("f"), F.lit(0).cast("long").alias("r"))
-        return t.df.withColumn(BUCKET, key)
-    # ranges of the leading key between sampled values: at most BUCKETS literals
-    sample = [r[0] for r in t.df.select(quoted(name)).filter(quoted(name).isNotNull()).sample(0.05, seed=7).limit(20_000).collect()] if not isinstance(kind, (T.StructType, T.ArrayType)) else []
-    cuts = sorted(set(sample))
-    cuts = cuts[:: max(1, len(cuts) // BUCKETS)]
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= quoted(name))), F.lit(0)) if cuts else F.lit(0)
-    place = F.when(quoted(name).isNull(), -1).otherwise(place)
-    return t.df.withColumn(BUCKET, F.struct(F.lit("").alias("f"), (place if up else -place).cast("long").alias("r")))
-
-
-def offsets(df: DataFrame) -> DataFrame:
+    if in_file_order(t):
+        shift = BUCKET_ROWS.bit_length() - 1
+        return t.df.withColumn(BUCKET, F.struct(quoted(ORDINAL)["f"].alias("f"), F.shiftright(quoted(ORDINAL)["r"], shift).alias("r"))), t.order[0][1]
+    rows = t.df.count()
+    ranges = min(MOST_RANGES, max(rows // BUCKET_ROWS, min(8, rows // 1000)))
+    bucket = F.lit(0)
+    df = t.df
+    if ranges > 1:
+        keys = t.df.select(*[quoted(n) for n, _ in t.order])
+        sample = keys.sample(min(1.0, PER_RANGE * ranges / rows), seed=7).orderBy(*t.order_by()).collect()
+        cuts = [sample[k] for k in range(len(sample) // ranges, len(sample), max(1, len(sample) // ranges))]
+        if cuts:
+            at, one = HIDDEN + "cuts", keys.schema
+            held = t.df.sparkSession.createDataFrame([(cuts,)], T.StructType([T.StructField(at, T.ArrayType(one))]))
+            df = df.crossJoin(F.broadcast(held))
+            middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+            def halve(s: Column, _: Column) -> Column:
+                cut = F.element_at(F.col(at), middle(s) + 1)
+                up = not_before(t, lambda k: cut[t.order[k][0]])
+                return F.when(s["lo"] >= s["hi"], s).when(up, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+
+            steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+            bucket = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda s: s["lo"])
+    return df.withColumn(BUCKET, F.struct(F.lit("").alias("f"), bucket.cast("long").alias("r"))).select(*[quoted(c) for c in t.df.columns], BUCKET), True
+
+
+def within(t: Table) -> Any:
+    """The window of a bucket in t's order; rows of a file's bucket differ in the row number alone."""
+    r = quoted(ORDINAL)["r"]
+    order = [r.asc() if t.order[0][1] else r.desc()] if in_file_order(t) else t.order_by()
+    return Window.partitionBy(BUCKET).orderBy(*order)
+
+
+def along(up: bool) -> Any:
+    """The window over the table of buckets, one row each."""
+    return Window.orderBy(F.col(BUCKET).asc() if up else F.col(BUCKET).desc())
+
+
+def offsets(df: DataFrame, up: bool) -> DataFrame:
     """Rows before each bucket: one row a bucket, so the global window stays small."""
-    return df.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(BUCKET, "before")
+    return df.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(along(up).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(BUCKET, "before")
 
 
 def indexed(t: Table) -> DataFrame:
     """t's rows with their dense 0-based number in INDEX."""
-    df = bucketed(t)
-    w = Window.partitionBy(BUCKET).orderBy(*t.order_by())
-    return df.join(offsets(df), BUCKET).withColumn(INDEX, F.row_number().over(w) - 1 + F.col("before")).drop(BUCKET, "before")
+    df, up = bucketed(t)
+    return df.join(offsets(df, up), BUCKET).withColumn(INDEX, F.row_number().over(within(t)) - 1 + F.col("before")).drop(BUCKET, "before")
+
+
+def with_runs(t: Table, keys: list[str], run: str) -> Table:
+    """A number for each run of rows with equal keys: changes are counted in buckets, and carried on by a table of the buckets' first and last keys and changes."""
+    df, up = bucketed(t)
+    key, w = F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]), within(t)
+    own = {x: HIDDEN + "run_" + x for x in ("key", "before", "after", "new", "at", "first", "last", "n", "base")}
+    df = df.withColumn(own["key"], key)
+    df = df.withColumn(own["before"], F.lag(own["key"]).over(w)).withColumn(own["after"], F.lead(F.lit(1)).over(w))
+    changed = F.col(own["before"]).isNotNull() & ~F.col(own["key"]).eqNullSafe(F.col(own["before"]))
+    df = df.withColumn(own["new"], changed.cast("long"))
+    ends = df.groupBy(BUCKET).agg(
+        F.max(F.when(F.col(own["before"]).isNull(), F.col(own["key"]))).alias(own["first"]), F.max(F.when(F.col(own["after"]).isNull(), F.col(own["key"]))).alias(own["last"]), F.sum(own["new"]).alias(own["n"])
+    )
+    opens = (~F.col(own["first"]).eqNullSafe(F.lag(own["last"]).over(along(up)))).cast("long")
+    ends = ends.withColumn(own["at"], opens)
+    base = F.sum(F.col(own["n"]) + F.col(own["at"])).over(along(up).rowsBetween(Window.unboundedPreceding, 0)) - F.col(own["n"])
+    ends = ends.withColumn(own["base"], base).select(BUCKET, own["base"])
+    counted = F.sum(own["new"]).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col(own["base"])
+    return t.keep(df.join(ends, BUCKET).select(*[quoted(c) for c in t.df.columns], counted.alias(run)))
 
 
 def keep_rows(t: Table, condition: Any) -> Table:
@@ -91,30 +151,25 @@ def skip_while(t: Table, test: Column) -> Table:
     t.need_order()
     bad = t.df.filter(~F.coalesce(test, F.lit(False)))
     first = bad.orderBy(*t.order_by()).limit(1).select(*[quoted(n).alias(f"{HIDDEN}at{k}") for k, (n, _) in enumerate(t.order)])
-    after = F.lit(False)
-    for k in reversed(range(len(t.order))):
-        n, up = t.order[k]
-        x, y = quoted(n), F.col(f"{HIDDEN}at{k}")
-        beyond = (x > y) | (y.isNull() & x.isNotNull()) if up else (x < y) | (x.isNull() & y.isNotNull())
-        after = F.coalesce(beyond, F.lit(False)) | (x.eqNullSafe(y) & (after if k < len(t.order) - 1 else F.lit(True)))
+    after = not_before(t, lambda k: F.col(f"{HIDDEN}at{k}"))
     return t.keep(t.df.crossJoin(F.broadcast(first)).filter(after).select(*t.df.columns))
 
 
 def filled(t: Table, names: list[str], down: bool) -> Table:
     """Nulls from the last value before (or after): within buckets, then from the buckets around."""
-    df = bucketed(t)
-    w = Window.partitionBy(BUCKET).orderBy(*t.order_by())
+    df, up = bucketed(t)
+    w = within(t)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if down else w.rowsBetween(0, Window.unboundedFollowing)
     pick = F.last if down else F.first
     local = df.select("*", *[pick(quoted(n), ignorenulls=True).over(w).alias(f"{HIDDEN}fill{k}") for k, n in enumerate(names)])
     keys = F.struct(*[quoted(c).alias(c) for c, _ in t.order])
     by = F.max_by if down == t.order[0][1] else F.min_by
     if len({up for _, up in t.order}) > 1:
-        keys, by = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*t.order_by())), F.max_by if down else F.min_by
+        keys, by = F.row_number().over(within(t)), F.max_by if down else F.min_by
         df = df.withColumn(HIDDEN + "key", keys)
         keys = F.col(HIDDEN + "key")
     ends = df.groupBy(BUCKET).agg(*[by(F.when(quoted(n).isNotNull(), F.struct(quoted(n).alias("v"))), F.when(quoted(n).isNotNull(), keys)).alias(f"{HIDDEN}end{k}") for k, n in enumerate(names)])
-    across = Window.orderBy(BUCKET)
+    across = along(up)
     across = across.rowsBetween(Window.unboundedPreceding, -1) if down else across.rowsBetween(1, Window.unboundedFollowing)
     carry = ends.select(BUCKET, *[pick(F.col(f"{HIDDEN}end{k}"), ignorenulls=True).over(across)["v"].alias(f"{HIDDEN}carry{k}") for k in range(len(names))])
     joined = local.join(carry, BUCKET)
