@@ -5,6 +5,8 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mlode.functions import registry
 from mlode.lang import syntax as S
@@ -12,10 +14,10 @@ from mlode.lang.parser import parse, parse_section
 from mlode.operators.positional import ORDINAL, counted_ordinal
 from mlode.plans.errors import EvalError, MError, ParseError, UnsupportedError
 from mlode.plans.evaluator import ORDERED, Context, Evaluator, Scope
-from mlode.plans.values import Col, Enum, Fn, Group, GroupColumn, Rec, Table, TableColumn
+from mlode.plans.values import Col, Enum, Fn, Group, GroupColumn, Rec, Table, TableColumn, quoted
 from mlode.sources.files import bound
 
-__all__ = ["EvalError", "MError", "ParseError", "UnsupportedError", "evaluate", "names", "run", "section_member"]
+__all__ = ["EvalError", "MError", "ParseError", "UnsupportedError", "evaluate", "names", "run", "section_member", "write"]
 
 
 def needs_order(node: S.Node) -> bool:
@@ -95,6 +97,25 @@ def section_member(spark: SparkSession, text: str, member: str, bindings: dict[s
     return evaluate(spark, "", bindings, node=node, **how)
 
 
+def write(table: Any, path: str, to: str = "parquet", mode: str = "error") -> None:
+    """A query's table to a folder, by all tasks: Parquet, CSV (with a header) or JSON lines. Times of day, intervals and JSON values are texts in CSV and JSON."""
+    if not isinstance(table, DataFrame):
+        raise EvalError("only a table can be written")
+    if to == "parquet":
+        table.write.mode(mode).parquet(path)
+        return
+    shown = []
+    for f in table.schema:
+        c = quoted(f.name)
+        if isinstance(f.dataType, T.VariantType):
+            c = F.to_json(c)
+        elif isinstance(f.dataType, (T.DayTimeIntervalType, T.StructType, T.ArrayType)) and (to == "csv" or isinstance(f.dataType, T.DayTimeIntervalType)):
+            c = F.to_json(c) if isinstance(f.dataType, (T.StructType, T.ArrayType)) else c.cast("string")
+        shown.append(c.alias(f.name))
+    out = table.select(*shown).write.mode(mode)
+    (out.option("header", True).option("escape", '"') if to == "csv" else out.option("ignoreNullFields", False)).format(to).save(path)
+
+
 def names(spark: SparkSession) -> list[str]:
     """All names of the registry."""
     return sorted(evaluator(spark, S.Literal(None), {}, "sql", None).registry)

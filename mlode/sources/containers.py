@@ -6,7 +6,9 @@ import base64
 import io
 import re
 import struct
+import textwrap
 import zipfile
+from pathlib import Path
 from xml.etree import ElementTree
 
 from mlode.plans.errors import EvalError
@@ -47,3 +49,26 @@ def read_section(path: str) -> str:
                 if root.tag.endswith("DataMashup") and root.text:
                     return _section_of(_package_of(base64.b64decode(root.text)))
     raise EvalError(f"{path} stores no queries")
+
+
+#: A step's source in a model definition: the expression between triple backticks.
+_FENCED = re.compile(r"source\s*=\s*```[^\S\n]*\n(.*?)\n?[^\S\n]*```", re.S)
+
+
+def read_project(path: str) -> dict[str, str]:
+    """File (relative, by name order) -> query of a .pbip project or its folder: query files, and model definitions with exactly one fenced source."""
+    root = Path(path) if Path(path).is_dir() else Path(path).parent
+    found: dict[str, str] = {}
+    for file in sorted(root.rglob("*")):
+        if file.suffix.lower() not in (".pq", ".tmdl") or not file.is_file() or file.stat().st_size > MOST_BYTES:
+            continue
+        try:
+            text = file.read_text("utf-8-sig")
+        except (OSError, UnicodeDecodeError):
+            continue
+        sources = [text] if file.suffix.lower() == ".pq" else [textwrap.dedent(x) for x in _FENCED.findall(text)]
+        if len(sources) == 1:
+            found[str(file.relative_to(root))] = sources[0]
+    if not found:
+        raise EvalError(f"{path} stores no queries")
+    return found
