@@ -25,10 +25,8 @@ class Kit:
         self.ev, self.found = ev, {}
 
     def fail(self, ok: Column, value: Column, message: str, kind: str) -> Column:
-        """value where ok, else an error of the job (a null inside try)."""
-        if self.ev.ctx.tried:
-            return F.when(ok, value)
-        return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
+        """value where ok, else an error."""
+        return self.ev.fail(ok, value, message, kind)
 
     def fn(self, name: str, least: int, most: int, call: Callable[..., Any]) -> None:
         self.found[name] = Fn(name, call, least, most)
@@ -62,12 +60,14 @@ class Kit:
                 c = as_col(v)
                 if c.kind.name == "null":
                     return None
+                for k in kind.split("|"):
+                    c = self.ev.as_kind(c, Kind(k))
                 if kind != "any" and c.kind.name not in (*kind.split("|"), "any"):
                     raise EvalError(f"{name} needs a {kind}, not a {c.kind.name}")
                 free = free and c.free
                 value = c.c
                 if strict and self.ev.ctx.strict and not c.free:
-                    value = F.coalesce(value, F.raise_error(F.lit(f"{name}: null is not a {kind}")))
+                    value = self.fail(value.isNotNull(), value, f"{name}: null is not a {kind}", "void")
                 passed.append(value if kind != "any" else c)
             return Col(fn(*passed), out, free, whole)
 

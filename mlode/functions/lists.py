@@ -32,6 +32,7 @@ def register(kit: Kit) -> None:
 
     def source(v: Any, name: str) -> Any:
         """list, Col of an array, GroupColumn or TableColumn."""
+        v = ev.as_kind(v, Kind("list"))
         if isinstance(v, (GroupColumn, TableColumn)):
             return v
         if isinstance(v, Table):
@@ -101,6 +102,8 @@ def register(kit: Kit) -> None:
         """The value to aggregate; in strict mode a null of the group raises."""
         if not ev.ctx.strict:
             return g.value()
+        if ev.ctx.failures is not None:
+            kit.refuse("try around an aggregate in strict mode")
         v = F.coalesce(g.col.c, F.raise_error(F.lit("an aggregate met a null")))
         return v if g.group.cond is None else F.when(g.group.cond, v)
 
@@ -560,7 +563,8 @@ def register(kit: Kit) -> None:
     def insert_array(c: Col, at: Any, values: Any) -> Col:
         k, w = count_of(at, "List.InsertRange"), array(source(values, "List.InsertRange"))
         made = F.concat(F.slice(c.c, 1, k), w.c, F.slice(c.c, F.lit(k + 1), F.size(c.c)))
-        if ev.ctx.tried:
+        if ev.ctx.failures is not None:
+            ev.ctx.failures.append(F.size(c.c) < k)
             return Col(F.when(F.size(c.c) >= k, made), c.kind, c.free)
         return Col(F.when(F.size(c.c) >= k, made).otherwise(F.raise_error(F.lit("List.InsertRange: the index is out of range"))), c.kind, c.free)
 

@@ -36,7 +36,39 @@ def rounded(c: Column, digits: int, how: Any) -> Column:
 
 
 def half_even(c: Column, digits: int) -> Column:
-    return F.bround(c.cast("double"), digits)
+    """c rounded by its exact binary value, ties to even: 2.675 lies below the tie, so 2 digits make it 2.67."""
+    d = c.cast("double")
+    if digits == 0:
+        return F.rint(d)
+    if digits < 0:
+        unit = 10.0**-digits
+        rest = F.pmod(d, F.lit(unit))
+        below = (d - rest) / unit
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (F.pmod(below, F.lit(2.0)) == 1))
+        return (below + F.when(up, 1.0).otherwise(0.0)) * unit
+    if digits > 22:
+        return d
+    unit = 10.0**digits
+    scaled = d * unit
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * SPLIT - (x * SPLIT - x)
+        return high, x - high
+
+    # the part of the exact product that the double product lacks
+    (a, b), (u, v) = halves(d), (float(high_half(unit)), unit - float(high_half(unit)))
+    rest = ((a * u - scaled) + a * v + b * u) + b * v
+    tie = scaled - F.floor(scaled) == 0.5
+    whole = F.when(tie & (rest > 0), F.ceil(scaled).cast("double")).when(tie & (rest < 0), F.floor(scaled).cast("double")).otherwise(F.rint(scaled))
+    return F.when(F.abs(scaled) < float(1 << 52), whole / unit).otherwise(d)
+
+
+#: Splits a double into two halves whose products are exact.
+SPLIT = float((1 << 27) + 1)
+
+
+def high_half(x: float) -> float:
+    return x * SPLIT - (x * SPLIT - x)
 
 
 def register(kit: Kit) -> None:
@@ -49,6 +81,8 @@ def register(kit: Kit) -> None:
             return None
         c = as_col(v)
         k = c.kind.name
+        if k == "json":
+            return ev.json_convert(c, number_from, NUMBER, "double")
         if k == "logical":
             return Col(c.c.cast("long"), NUMBER, c.free, True)
         if k == "number":
@@ -69,6 +103,8 @@ def register(kit: Kit) -> None:
             return None
         c = as_col(v)
         k = c.kind.name
+        if k == "json":
+            return ev.json_convert(c, logical_from, LOGICAL, "boolean")
         if k == "logical":
             return c
         if k == "number":

@@ -6,8 +6,8 @@ from typing import Any
 
 from mlode.functions.kit import Kit
 from mlode.plans import values as V
-from mlode.plans.errors import EvalError
-from mlode.plans.values import Col, Enum, Rec, Table, as_rec
+from mlode.plans.errors import EvalError, UnsupportedError
+from mlode.plans.values import JSON, Col, Enum, Rec, Table, as_rec
 
 
 def register(kit: Kit) -> None:
@@ -16,6 +16,8 @@ def register(kit: Kit) -> None:
         kit.enum(f"MissingField.{name}", k)
 
     def rec(v: Any, name: str) -> Rec:
+        if isinstance(v, Col) and v.kind == JSON:
+            raise UnsupportedError(f"{name} of a JSON value whose fields depend on rows; name a field")
         r = as_rec(v)
         if r is None:
             raise EvalError(f"{name}: null is not a record")
@@ -32,7 +34,10 @@ def register(kit: Kit) -> None:
         return EvalError(f"The field '{name}' of the record wasn't found.")
 
     def field(r: Any, name: Any) -> Any:
-        r, name = rec(r, "Record.Field"), ev.text(name, "field name")
+        name = ev.text(name, "field name")
+        if isinstance(r, Col) and r.kind == JSON:
+            return ev.json_field(r, name)
+        r = rec(r, "Record.Field")
         if name not in r:
             raise lost(name)
         return r[name]
@@ -42,7 +47,10 @@ def register(kit: Kit) -> None:
     def field_or(r: Any, name: Any, default: Any = None) -> Any:
         if r is None:
             return None
-        return rec(r, "Record.FieldOrDefault").get(ev.text(name, "field name"), default)
+        name = ev.text(name, "field name")
+        if isinstance(r, Col) and r.kind == JSON and default is None:
+            return ev.json_field(r, name, True)
+        return rec(r, "Record.FieldOrDefault").get(name, default)
 
     fn("Record.FieldOrDefault", 2, 3, field_or)
     fn("Record.FieldNames", 1, 1, lambda r: list(rec(r, "Record.FieldNames")))

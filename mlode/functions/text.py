@@ -46,6 +46,8 @@ def register(kit: Kit) -> None:
             return None
         c = as_col(v)
         k = c.kind.name
+        if k == "json":
+            return ev.json_convert(c, text_from, TEXT, "string")
         if k == "logical":
             return Col(F.when(c.c, "TRUE").when(~c.c, "FALSE"), TEXT, c.free)
         if k == "number":

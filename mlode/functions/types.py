@@ -19,6 +19,7 @@ from mlode.plans.values import DATE, DATETIME, DATETIMEZONE, DURATION, LOGICAL,
 #: fixed values: ranges of whole-number types
 WHOLE = {"Byte": (0, 255), "Int8": (-128, 127), "Int16": (-(1 << 15), (1 << 15) - 1), "Int32": (-(1 << 31), (1 << 31) - 1), "Int64": (-(1 << 63), (1 << 63) - 1)}
 FACETS = ("Percentage", "Currency", "Double", "Single", "Decimal")
+JSON_TO = {"text": (TEXT, "string"), "number": (NUMBER, "double"), "logical": (LOGICAL, "boolean"), "date": (DATE, "date"), "datetime": (DATETIME, "timestamp_ntz"), "datetimezone": (DATETIMEZONE, "timestamp")}
 
 
 def iso_datetime(c: Column, kit: Kit) -> Column:
@@ -33,6 +34,12 @@ def convert(kit: Kit, c: Col, to: TypeValue) -> Col:
         return c
     if k == "null":
         return Col(F.lit(None), NULL, c.free)
+    if k == "json":
+        kind, sql = JSON_TO.get(to.name, (None, None))
+        if kind is None:
+            raise UnsupportedError(f"a conversion of a JSON value to {to.display}")
+        made = kit.ev.json_convert(c, lambda x: convert(kit, x, to), kind, "bigint" if to.facet in WHOLE else sql)
+        return Col(made.c, kind, c.free, to.facet in WHOLE)
 
     def parsed(pair: tuple[Column, Column], kind: str) -> Column:
         ok, value = pair

@@ -1,13 +1,17 @@
 """try ... otherwise over rows.
 
 Under ANSI rules a failing cell fails the job, so the attempt is compiled in a
-flavour whose failures are nulls: conversions by try_cast, division by
-try_divide, and our own checks without raise_error. A cell is taken as failed if
-that flavour gives null where no input of the expression is null.
+flavour whose failures are nulls, and every step that can fail adds the condition
+under which it does to the context: a conversion that doesn't convert, a check
+that isn't met, a division by zero, an item that isn't there. Conditions of a
+branch hold only where the branch is taken. A cell is failed if one of them holds;
+a null that no step failed to make is a value like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -18,23 +22,17 @@ from mlode.plans.values import Col, as_col
 
 
 def without_errors(ev: Any, node: S.Node, scope: Any, value: Col, other: Any) -> Col:
-    ev.ctx.tried += 1
+    outer, ev.ctx.failures = ev.ctx.failures, []
     try:
-        if any(isinstance(n, S.Item) for n in S.walk(node)):
-            raise UnsupportedError("try over item access in rows; use {i}?")
-        if isinstance(node, S.Binary) and node.op == "/":
-            a, b = as_col(ev.eval(node.left, scope)), as_col(ev.eval(node.right, scope))
-            got = F.try_divide(a.c.cast("double"), b.c.cast("double"))
-            failed = got.isNull() & ((a.c.isNotNull() & b.c.isNotNull()) | a.c.isNull() | b.c.isNull())
-        else:
-            soft = ev.eval(node, scope)
-            got, failed = soft.c, None
-            inputs = [ev.eval(n, scope) for n in S.walk(node) if isinstance(n, S.Field)]
-            some = [as_col(i).c.isNotNull() for i in inputs if isinstance(i, Col)]
-            failed = got.isNull()
-            for s in some:
-                failed = failed & s
+        soft = as_col(ev.eval(node, scope))
     finally:
-        ev.ctx.tried -= 1
-    o = as_col(other)
-    return Col(F.when(failed, o.c).otherwise(got), value.kind if value.kind.name != "null" else o.kind)
+        found, ev.ctx.failures = ev.ctx.failures, outer
+    for f in found:
+        if "namedlambdavariable" in str(f) and "lambdafunction" not in str(f):
+            raise UnsupportedError("try around a list function whose steps can fail")
+    if not found:
+        return value
+    failed = reduce(or_, [F.coalesce(f, F.lit(False)) for f in found])
+    o = as_col(ev.typed_like(other, soft))
+    soft = as_col(ev.typed_like(soft, o))
+    return Col(F.when(failed, o.c).otherwise(soft.c), soft.kind if soft.kind.name != "null" else o.kind)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from mlode.lang import syntax as S
 from mlode.plans import values as V
 from mlode.plans.errors import EvalError, UnsupportedError
-from mlode.plans.values import ANY, LOGICAL, NULL, NUMBER, TEXT, Col, Fn, Group, GroupColumn, Kind, Rec, Table, TableColumn, as_col, as_rec
+from mlode.plans.values import ANY, JSON, LOGICAL, NULL, NUMBER, TEXT, Col, Fn, Group, GroupColumn, Kind, Rec, Table, TableColumn, as_col, as_rec
 
 #: fixed values: sources that need a network or a driver; a binding takes their place
 CONNECTORS = frozenset("Web.Contents Sql.Database Excel.Workbook OData.Feed SharePoint.Files SharePoint.Tables Odbc.DataSource Oracle.Database PostgreSQL.Database MySQL.Database Folder.Files Folder.Contents".split())
@@ -30,7 +30,7 @@ class Context:
 
     def __init__(self, spark: SparkSession, bindings: dict[str, Any], nulls: str, ordered: bool, base: str | None):
         self.spark, self.bindings, self.strict, self.ordered, self.base, self.steps = spark, bindings, nulls == "strict", ordered, base, STEPS
-        self.tried = 0  # depth of column-level try
+        self.failures: list[Column] | None = None  # inside a column-level try: when its steps fail
 
     def tick(self, n: int = 1) -> None:
         self.steps -= n
@@ -96,7 +96,9 @@ class Evaluator:
             return run_const(self.ctx, v)
         if isinstance(v, TableColumn):
             df = v.table.df.orderBy(*v.table.order_by()) if v.table.order else v.table.df
-            return [to_python(r[0], v.col.kind) for r in df.select(V.quoted(v.name)).collect()]
+            rows = df.select(V.quoted(v.name)).limit(max(self.ctx.steps, 0) + 1).collect()
+            self.ctx.tick(len(rows))
+            return [to_python(r[0], v.col.kind) for r in rows]
         if isinstance(v, list):
             return [self.const(x, what) for x in v]
         if isinstance(v, Rec):
@@ -148,6 +150,16 @@ class Evaluator:
     def force(self, value: Any, name: str) -> Any:
         if not isinstance(value, Thunk):
             return value
+        if self.ctx.failures is not None and not value.busy and (not value.done or (isinstance(value.value, Col) and not value.value.free)):
+            # what rows decide is compiled once more, with its failures as nulls
+            value.busy = True
+            try:
+                made = self.eval(value.node, value.scope)
+            finally:
+                value.busy = False
+            if not isinstance(made, Col) or made.free:
+                value.value, value.done = made, True
+            return made
         if not value.done:
             if value.busy:
                 raise EvalError(f"'{name}' refers to itself")
@@ -176,15 +188,77 @@ class Evaluator:
             if not isinstance(test, bool):
                 raise EvalError("the condition of if must be logical")
             return self.eval(node.then if test else node.other, scope)
+        test = self.as_kind(test, LOGICAL)
         if test.kind not in (LOGICAL, ANY):
             raise EvalError("the condition of if must be logical")
-        return choose(self.guard(test), self.eval(node.then, scope), self.eval(node.other, scope))
+        holds = F.coalesce(test.c, F.lit(False))
+        a, b = self.where(holds, node.then, scope), self.where(~holds, node.other, scope)
+        return choose(self.guard(test), self.typed_like(a, b), self.typed_like(b, a))
+
+    def where(self, condition: Column, node: S.Node, scope: Scope) -> Any:
+        """A branch; inside try, its steps fail only where the condition holds."""
+        outer = self.ctx.failures
+        if outer is None:
+            return self.eval(node, scope)
+        self.ctx.failures = []
+        try:
+            return self.eval(node, scope)
+        finally:
+            outer += [condition & f for f in self.ctx.failures]
+            self.ctx.failures = outer
 
     def guard(self, test: Col) -> Column:
         """In strict mode a null condition raises."""
         if not self.ctx.strict:
             return test.c
-        return F.when(test.c.isNull(), F.raise_error(F.lit("a null is not a logical value")).cast("boolean")).otherwise(test.c)
+        return self.fail(test.c.isNotNull(), test.c, "a null is not a logical value", "boolean")
+
+    def fail(self, ok: Column, value: Column, message: str, kind: str) -> Column:
+        """value where ok, else an error of the job (inside try, a null and a failure of the cell)."""
+        if self.ctx.failures is not None:
+            self.ctx.failures.append(~F.coalesce(ok, F.lit(False)))
+            return F.when(ok, value)
+        return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
+
+    # -- JSON values: typed by their use
+    def as_kind(self, v: Any, kind: Kind) -> Any:
+        """A JSON value as a text, number, logical value or list, which it must be; anything else as it is."""
+        if not isinstance(v, Col) or v.kind != JSON or kind.name not in JSON_TYPES:
+            return v
+        pattern, sql = JSON_TYPES[kind.name]
+        ok = F.schema_of_variant(v.c).rlike(pattern)
+        value = self.fail(ok | json_null(v.c), F.when(ok, F.try_variant_get(v.c, "$", sql)), f"a JSON value isn't a {kind.name}", sql)
+        return Col(value, Kind("list", JSON) if kind.name == "list" else kind, v.free)
+
+    def typed_like(self, v: Any, other: Any) -> Any:
+        return self.as_kind(v, V.kind_of_value(other))
+
+    def json_part(self, v: Col, path: str, optional: bool, what: str) -> Col:
+        got = F.try_variant_get(v.c, path, "variant")
+        return Col(got if optional else self.fail(got.isNotNull() | v.c.isNull(), got, what, "variant"), JSON, v.free)
+
+    def json_field(self, v: Col, name: str, optional: bool = False) -> Col:
+        if "'" in name:
+            raise UnsupportedError("a JSON field with a quote in its name")
+        return self.json_part(v, f"$['{name}']", optional, f"The field '{name}' of the record wasn't found.")
+
+    def json_convert(self, v: Col, made: Any, kind: Kind, sql: str) -> Col:
+        """made (a conversion) of a JSON value by its own kind."""
+        t, out = F.schema_of_variant(v.c), F.when(json_null(v.c), F.lit(None).cast(sql))
+        for k in (TEXT, NUMBER, LOGICAL):
+            pattern, own = JSON_TYPES[k.name]
+            holds = F.coalesce(t.rlike(pattern), F.lit(False))
+            outer, self.ctx.failures = self.ctx.failures, None if self.ctx.failures is None else []
+            try:
+                out = out.when(holds, as_col(made(Col(F.when(holds, F.try_variant_get(v.c, "$", own)), k, v.free))).c.cast(sql))
+            except EvalError:  # a kind that doesn't convert
+                pass
+            finally:
+                if outer is not None:
+                    outer += [holds & f for f in self.ctx.failures]
+                self.ctx.failures = outer
+        scalar = json_null(v.c) | t.rlike("|".join(JSON_TYPES[k.name][0] for k in (TEXT, NUMBER, LOGICAL)))
+        return Col(self.fail(scalar, out, f"a JSON value doesn't convert to {kind.name}", sql), kind, v.free)
 
     def eval_recordlit(self, node: S.RecordLit, scope: Scope) -> Any:
         return Rec((name, self.eval(value, scope)) for name, value in node.fields)
@@ -205,19 +279,31 @@ class Evaluator:
                 raise EvalError(f"[{node.name}] outside of each")
         else:
             target = self.eval(node.target, scope)
+        if isinstance(target, Col) and target.kind == JSON:
+            return self.json_field(target, node.name, node.optional)
         return field_of(target, node.name, node.optional)
 
     def eval_item(self, node: S.Item, scope: Scope) -> Any:
         target, index = self.eval(node.target, scope), self.eval(node.index, scope)
         if isinstance(target, Group):
             raise UnsupportedError("row access in a group")
+        if isinstance(target, Col) and target.kind == JSON:
+            if isinstance(index, int) and not isinstance(index, bool) and index >= 0:
+                return self.json_part(target, f"$[{index}]", node.optional, "the index is out of range")
+            target = self.as_kind(target, Kind("list"))
+        if isinstance(target, list) and target and isinstance(index, Col) and not index.free:
+            target = as_col(target)
         if isinstance(target, (Col, GroupColumn)):
             a, i = as_col(target), as_col(index)
             kind = a.kind.elem or ANY
             place = (i.c + 1).cast("int")
-            # a negative index must not count from the end
-            got = F.get(a.c, place - 1) if node.optional else F.when(place < 1, F.raise_error(F.lit("a negative index")).cast("int")).otherwise(place)
-            return Col(got if node.optional else F.element_at(a.c, got), kind, a.free and i.free)
+            got = F.get(a.c, place - 1)
+            if not node.optional and self.ctx.failures is not None:
+                self.ctx.failures.append((place < 1) | (place > F.size(a.c)))
+            elif not node.optional:
+                # a negative index must not count from the end
+                got = F.element_at(a.c, F.when(place < 1, F.raise_error(F.lit("a negative index")).cast("int")).otherwise(place))
+            return Col(got, kind, a.free and i.free)
         k = self.whole(index, "index")
         if isinstance(target, Table):
             from mlode.operators.positional import rows_at
@@ -261,7 +347,7 @@ class Evaluator:
         return value
 
     def eval_unary(self, node: S.Unary, scope: Scope) -> Any:
-        v = self.eval(node.operand, scope)
+        v = self.as_kind(self.eval(node.operand, scope), LOGICAL if node.op == "not" else NUMBER)
         if node.op == "not":
             if isinstance(v, bool):
                 return not v
@@ -285,7 +371,7 @@ class Evaluator:
         return self.arithmetic(op, a, b)
 
     def logical(self, op: str, node: S.Binary, scope: Scope) -> Any:
-        a = self.eval(node.left, scope)
+        a = self.as_kind(self.eval(node.left, scope), LOGICAL)
         if isinstance(a, Col) and a.free:
             a = self.const(a)
         if not isinstance(a, Col):
@@ -297,8 +383,9 @@ class Evaluator:
             if not isinstance(b, (bool, Col)):
                 raise EvalError(f"'{op}' needs logical values")
             return b
-        b = self.eval(node.right, scope)
         need_kind(a, LOGICAL, op)
+        holds = F.coalesce(a.c, F.lit(False))
+        b = self.as_kind(self.where(holds if op == "and" else ~holds, node.right, scope), LOGICAL)
         if not isinstance(b, bool):
             need_kind(b, LOGICAL, op)
         right = as_col(b)
@@ -307,6 +394,9 @@ class Evaluator:
         return Col(F.when(a.c, F.lit(True)).otherwise(right.c) if raises(node.right) else a.c | right.c, LOGICAL)
 
     def relation(self, op: str, a: Any, b: Any) -> Any:
+        a, b = self.typed_like(a, b), self.typed_like(b, a)
+        if V.kind_of_value(a) == JSON:
+            raise UnsupportedError(f"'{op}' between JSON values of open kind; convert one")
         ka, kb = V.kind_of_value(a), V.kind_of_value(b)
         if NULL in (ka, kb) or (ANY not in (ka, kb) and (ka.name != kb.name or ka.name in ("logical", "list", "record", "binary"))):
             raise EvalError(f"'{op}' can't compare {ka.name} and {kb.name}")
@@ -321,11 +411,11 @@ class Evaluator:
     def strictly(self, a: Col, b: Col, op: str) -> tuple[Column, Column]:
         if not self.ctx.strict:
             return a.c, b.c
-        bad = F.raise_error(F.lit(f"'{op}' with a null"))
-        return tuple(x.c if x.free else F.coalesce(x.c, bad) for x in (a, b))
+        return tuple(x.c if x.free else self.fail(x.c.isNotNull(), x.c, f"'{op}' with a null", "void") for x in (a, b))
 
     def arithmetic(self, op: str, a: Any, b: Any) -> Any:
         kind = TEXT if op == "&" else NUMBER
+        a, b = self.as_kind(a, kind), self.as_kind(b, kind)
         for v in (a, b):
             k = V.kind_of_value(v)
             if k not in (kind, ANY) or v is None:
@@ -341,6 +431,11 @@ class Evaluator:
         p, q = self.strictly(x, y, op)
         if op == "&":
             return Col(F.concat(p, q), TEXT, free)
+        if self.ctx.failures is not None:
+            p, q = (p.cast("double"), q.cast("double")) if op == "/" else (p, q)
+            made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op](p, q)
+            self.ctx.failures.append(made.isNull() & p.isNotNull() & q.isNotNull())
+            return Col(made, NUMBER, free, x.whole and y.whole and op != "/")
         if op == "/":
             return Col(p.cast("double") / q.cast("double"), NUMBER, free)
         return Col({"+": lambda: p + q, "-": lambda: p - q, "*": lambda: p * q}[op](), NUMBER, free, x.whole and y.whole)
@@ -372,6 +467,8 @@ def equal(a: Any, b: Any) -> Any:
     x, y = as_col(a), as_col(b)
     kx, ky = x.kind.name, y.kind.name
     free = x.free and y.free
+    if "json" in (kx, ky):
+        return json_equal(x, y, free)
     if kx != ky and "any" not in (kx, ky):
         if kx == "null":
             return Col(y.c.isNull(), LOGICAL, free)
@@ -387,6 +484,27 @@ def equal(a: Any, b: Any) -> Any:
     return Col(same, LOGICAL, free)
 
 
+#: kind -> (what schema_of_variant says of its values, SQL type)
+JSON_TYPES = {"text": ("^STRING$", "string"), "number": ("^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "double"), "logical": ("^BOOLEAN$", "boolean"), "list": ("^ARRAY", "array<variant>")}
+
+
+def json_null(c: Column) -> Column:
+    return c.isNull() | F.is_variant_null(c)
+
+
+def json_equal(x: Col, y: Col, free: bool) -> Col:
+    if x.kind == y.kind:
+        raise UnsupportedError("equality of JSON values of open kind; convert one")
+    j, o = (x, y) if x.kind == JSON else (y, x)
+    if o.kind.name not in JSON_TYPES or o.kind.name == "list":
+        if o.kind.name in ("list", "record", "any"):
+            raise UnsupportedError(f"equality of a JSON value and a {o.kind.name}")
+        return Col(json_null(j.c) & o.c.isNull(), LOGICAL, free)
+    pattern, sql = JSON_TYPES[o.kind.name]
+    same = F.schema_of_variant(j.c).rlike(pattern) & (F.try_variant_get(j.c, "$", sql) == o.c)
+    return Col(F.coalesce(same, F.lit(False)) | (json_null(j.c) & o.c.isNull()), LOGICAL, free)
+
+
 def plain_equal(a: Any, b: Any) -> bool:
     if isinstance(a, list) and isinstance(b, list):
         return len(a) == len(b) and all(plain_equal(x, y) for x, y in zip(a, b, strict=True))

@@ -34,6 +34,8 @@ class Kind:
 
 
 ANY, NULL, TEXT, NUMBER, LOGICAL = (Kind(x) for x in ("any", "null", "text", "number", "logical"))
+#: a JSON value whose kind depends on the row: a VARIANT column, typed where it is used
+JSON = Kind("json")
 DATE, DATETIME, DATETIMEZONE, TIME, DURATION, BINARY = (Kind(x) for x in ("date", "datetime", "datetimezone", "time", "duration", "binary"))
 
 
@@ -44,7 +46,7 @@ def kind_of(t: T.DataType) -> Kind:
         if [f.name for f in t] == [TIME_FIELD]:
             return TIME
         return Kind("record", fields=tuple((f.name, kind_of(f.dataType)) for f in t))
-    for types, kind in (((T.StringType, T.VarcharType, T.CharType), TEXT), (T.BooleanType, LOGICAL), (T.DateType, DATE), (T.TimestampNTZType, DATETIME), (T.TimestampType, DATETIMEZONE), (T.DayTimeIntervalType, DURATION), (T.BinaryType, BINARY), (T.NullType, NULL), (T.NumericType, NUMBER)):
+    for types, kind in (((T.StringType, T.VarcharType, T.CharType), TEXT), (T.BooleanType, LOGICAL), (T.DateType, DATE), (T.TimestampNTZType, DATETIME), (T.TimestampType, DATETIMEZONE), (T.DayTimeIntervalType, DURATION), (T.BinaryType, BINARY), (T.NullType, NULL), (T.NumericType, NUMBER), (T.VariantType, JSON)):
         if isinstance(t, types):
             return kind
     return ANY

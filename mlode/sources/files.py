@@ -19,7 +19,7 @@ from mlode.functions.kit import Kit
 from mlode.operators.positional import ORDINAL
 from mlode.plans import values as V
 from mlode.plans.errors import EvalError
-from mlode.plans.values import BINARY, NUMBER, TEXT, Col, Enum, Rec, Table, as_col
+from mlode.plans.values import BINARY, JSON, NUMBER, TEXT, Col, Enum, Rec, Table, as_col
 from mlode.sources.literal import from_rows
 
 #: fixed values: code pages
@@ -211,7 +211,11 @@ def register(kit: Kit) -> None:
         c = as_col(v)
         if c.kind.name not in ("text", "any"):
             raise EvalError("Json.Document needs a text")
-        return JsonColumn(ev, c)
+        if ev.ctx.failures is None:
+            return Col(F.parse_json(c.c.cast("string")), JSON, c.free)
+        made = F.try_parse_json(c.c.cast("string"))
+        ev.ctx.failures.append(made.isNull() & c.c.isNotNull())
+        return Col(made, JSON, c.free)
 
     fn("Json.Document", 1, 2, document)
 
@@ -326,26 +330,6 @@ def register(kit: Kit) -> None:
     fn("Csv.Document", 1, 5, csv)
 
 
-class JsonColumn(Rec):
-    """A column of JSON texts: a field is read where it is named, as a text or number by its use."""
-
-    def __init__(self, ev: Any, col: Col):
-        super().__init__()
-        self.ev, self.col = ev, col
-
-    def __contains__(self, name: object) -> bool:
-        return True
-
-    def __getitem__(self, name: str) -> Col:
-        path = "$['" + name.replace("'", "\\'") + "']"
-        got = F.get_json_object(self.col.c, path)
-        # numbers are the usual case; a text that isn't one stays out of reach of arithmetic
-        return Col(got.try_cast("double"), NUMBER, self.col.free)
-
-    def __bool__(self) -> bool:
-        return True
-
-
 def bound(spark: Any, value: Any, ordered: bool) -> Any:
     """A binding: a DataFrame, a path to Parquet, CSV (header, all text) or JSON, rows as dicts, or a value."""
     from mlode.operators.positional import counted_ordinal, file_ordinal
