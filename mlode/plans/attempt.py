@@ -21,10 +21,10 @@ from mlode.plans.errors import UnsupportedError
 from mlode.plans.values import Col, as_col
 
 
-def without_errors(ev: Any, node: S.Node, scope: Any, value: Col, other: Any) -> Col:
+def without_errors(ev: Any, node: S.Try, scope: Any, value: Col) -> Col:
     outer, ev.ctx.failures = ev.ctx.failures, []
     try:
-        soft = as_col(ev.eval(node, scope))
+        soft = as_col(ev.eval(node.body, scope))
     finally:
         found, ev.ctx.failures = ev.ctx.failures, outer
     for f in found:
@@ -33,6 +33,6 @@ def without_errors(ev: Any, node: S.Node, scope: Any, value: Col, other: Any) ->
     if not found:
         return value
     failed = reduce(or_, [F.coalesce(f, F.lit(False)) for f in found])
-    o = as_col(ev.typed_like(other, soft))
+    o = as_col(ev.typed_like(ev.where(failed, node.otherwise, scope), soft))
     soft = as_col(ev.typed_like(soft, o))
     return Col(F.when(failed, o.c).otherwise(soft.c), soft.kind if soft.kind.name != "null" else o.kind)

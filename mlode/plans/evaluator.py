@@ -334,16 +334,22 @@ class Evaluator:
         return fn(*args)
 
     def eval_try(self, node: S.Try, scope: Scope) -> Any:
+        outer = self.ctx.failures
+        mark, failed, value = 0 if outer is None else len(outer), False, None
         try:
             value = self.eval(node.body, scope)
             if isinstance(value, Col) and value.free:
-                return self.const(value)
+                value = self.const(value)
         except EvalError:
+            failed = True
+        if outer is not None:  # what this try catches is no failure of one around it
+            del outer[mark:]
+        if failed:
             return self.eval(node.otherwise, scope)
         if isinstance(value, Col):
             from mlode.plans.attempt import without_errors
 
-            return without_errors(self, node.body, scope, value, self.eval(node.otherwise, scope))
+            return without_errors(self, node, scope, value)
         return value
 
     def eval_unary(self, node: S.Unary, scope: Scope) -> Any:

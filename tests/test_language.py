@@ -75,3 +75,18 @@ def test_lint_and_tools():
     assert rename("let a = 1, b = a + 1 in b", "a", "new name") == "let #\"new name\" = 1, b = #\"new name\" + 1 in b"
     once = format_source("let a=1,b=each [x y]+a in if a=1 then b else {1,[q=2]}")
     assert format_source(once) == once
+
+
+def test_tokens_and_analysis():
+    from mlode.lang.tokens import replace_source, tokens, view
+
+    text = 'let\n  #"a b" = 0x1F + 2.5, // note\n  c = each [x] & "q"\nin\n  Table.X(#"a b", c{0}?)'
+    found = tokens(text)
+    assert all(text[t["start"] : t["end"]] == t["text"] for t in found)
+    assert [t["kind"] for t in found[:7]] == ["KeywordLet", "Identifier", "Equal", "HexLiteral", "Plus", "NumericLiteral", "Comma"]
+    assert (found[1]["line"], found[1]["column"], found[1]["endColumn"]) == (2, 3, 9)
+    steps = view(text)["analysis"]
+    assert [(b["name"], b["line"]) for b in steps["bindings"]] == [("a b", 2), ("c", 3)] and {r["name"] for r in steps["resultReferences"]} == {"Table.X", "a b", "c"}
+    assert "analysis" not in view("section S; shared A = 1;") and replace_source("1", "let a = 2 in a") == "let a = 2 in a"
+    with pytest.raises(Exception):
+        replace_source("1", "let a =")

@@ -113,7 +113,7 @@ def test_oracles(spark, name):
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(norm(r[at[c]]) for c in cols) for r in got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["agg_mode_all", "expand_list_all", "reverse_rows_all", "join_inner_all", "join_leftouter_all", "join_rightouter_all", "join_fullouter_all"])
+@pytest.mark.parametrize("name", ["agg_mode", "expand_list", "reverse_rows", "index_after_reverse", "index_after_sort", "join_inner", "join_leftouter", "join_rightouter", "json_fields", "json_missing_and_wrong", "try_legitimate_nulls"])
 def test_whole_tables(spark, name):
     """Queries over whole tables against their SQL."""
     test_oracles(spark, name)
@@ -121,3 +121,22 @@ def test_whole_tables(spark, name):
 
     m, sql = CATALOG[name]
     assert " < " not in m + sql and "FirstN" not in m
+
+
+def test_write_and_projects(spark, tmp_path, capsys):
+    from mlode import cli
+
+    (tmp_path / "q.pq").write_text('let t = #table({"k", "d"}, {{1, #date(2024, 5, 6)}, {2, null}}) in t')
+    for to in ("parquet", "json", "csv"):
+        assert cli.main(["eval", str(tmp_path / "q.pq"), "--write", str(tmp_path / to), "--to", to]) == 0
+        back = spark.read.option("header", True).format(to).load(str(tmp_path / to))
+        assert sorted(str(r["k"]) for r in back.collect()) == ["1", "2"] and back.columns == (["d", "k"] if to == "json" else ["k", "d"])
+    assert cli.main(["parse", str(tmp_path / "q.pq")]) == 0 and '"KeywordLet"' in capsys.readouterr().out
+    project = tmp_path / "p"
+    (project / "m").mkdir(parents=True)
+    (project / "a.pq").write_text("1 + 1")
+    (project / "m" / "Sales.tmdl").write_text("table Sales\n\tpartition Sales = m\n\t\tsource =\n\t\t\t```\n\t\t\tlet x = 3 in x\n\t\t\t```\n")
+    (project / "m" / "Two.tmdl").write_text("source =\n```\n1\n```\nsource =\n```\n2\n```\n")
+    (project / "p.pbip").write_text("{}")
+    assert cli.main(["list", str(project / "p.pbip")]) == 0 and capsys.readouterr().out.split() == ["a.pq", "m/Sales.tmdl"]
+    assert cli.main(["eval", str(project), "--member", "m/Sales.tmdl"]) == 0 and capsys.readouterr().out.strip() == "3"

@@ -6,31 +6,45 @@ import pytest
 
 from mlode.plans.errors import EvalError, UnsupportedError
 
-LEFT = "#table({\"lid\", \"L\"}, {{1, \"a1\"}, {1, \"a2\"}, {2, \"b\"}, {null, \"n\"}})"
-RIGHT = "#table({\"rid\", \"R\"}, {{1, \"x1\"}, {1, \"x2\"}, {3, \"y\"}, {null, \"z\"}})"
-PAIRS = [(1, "a1", 1, "x1"), (1, "a1", 1, "x2"), (1, "a2", 1, "x1"), (1, "a2", 1, "x2")]
-LONE_LEFT = [(2, "b", None, None), (None, "n", None, None)]
-LONE_RIGHT = [(None, None, 3, "y"), (None, None, None, "z")]
+SHIPS = [(7, "Alba"), (9, "Bora"), (7, "Cala"), (None, "Dune"), (4, "Esk"), (9, "Fjord")]
+DOCKS = [(9, "north"), (7, "south"), (5, "east"), (None, "yard"), (9, "west"), (None, "slip")]
 
 
-@pytest.mark.parametrize("kind, rows", [("Inner", PAIRS), ("LeftOuter", PAIRS + LONE_LEFT), ("RightOuter", PAIRS + LONE_RIGHT), ("FullOuter", PAIRS + LONE_LEFT + LONE_RIGHT), ("LeftAnti", LONE_LEFT), ("RightAnti", LONE_RIGHT)])
-def test_join_kinds(m, kind, rows):
-    got = [tuple(r.values()) for r in m(f"Table.Join({LEFT}, \"lid\", {RIGHT}, \"rid\", JoinKind.{kind})")]
-    assert sorted(got, key=str) == sorted(rows, key=str)
+def m_table(names, rows):
+    """#table(...) of plain rows."""
+    cell = lambda v: "null" if v is None else f'"{v}"' if isinstance(v, str) else str(v)
+    return "#table({" + ", ".join(f'"{n}"' for n in names) + "}, {" + ", ".join("{" + ", ".join(map(cell, r)) + "}" for r in rows) + "})"
+
+
+LEFT, RIGHT = m_table(("port", "ship"), SHIPS), m_table(("harbour", "dock"), DOCKS)
+
+
+def joined(kind):
+    """The join by definition: every pair of equal keys that aren't null, then the lone rows that the kind keeps."""
+    pairs = [(*a, *b) for a in SHIPS for b in DOCKS if a[0] is not None and a[0] == b[0]]
+    left = [(*a, None, None) for a in SHIPS if not any(p[:2] == a for p in pairs)]
+    right = [(None, None, *b) for b in DOCKS if not any(p[2:] == b for p in pairs)]
+    return {"Inner": pairs, "LeftOuter": pairs + left, "RightOuter": pairs + right, "FullOuter": pairs + left + right, "LeftAnti": left, "RightAnti": right}[kind]
+
+
+@pytest.mark.parametrize("kind", ["Inner", "LeftOuter", "RightOuter", "FullOuter", "LeftAnti", "RightAnti"])
+def test_join_kinds(m, kind):
+    got = [tuple(r.values()) for r in m(f'Table.Join({LEFT}, "port", {RIGHT}, "harbour", JoinKind.{kind})')]
+    assert sorted(got, key=str) == sorted(joined(kind), key=str)
 
 
 def test_nested_join_equals_join(m):
-    nested = m(f"Table.ExpandTableColumn(Table.NestedJoin({LEFT}, \"lid\", {RIGHT}, \"rid\", \"n\", JoinKind.LeftOuter), \"n\", {{\"rid\", \"R\"}})")
-    assert sorted(map(str, nested)) == sorted(map(str, m(f"Table.Join({LEFT}, \"lid\", {RIGHT}, \"rid\", JoinKind.LeftOuter)")))
-    sizes = m(f"Table.RemoveColumns(Table.AddColumn(Table.NestedJoin({LEFT}, \"lid\", {RIGHT}, \"rid\", \"n\", JoinKind.LeftOuter), \"k\", each Table.RowCount([n])), {{\"n\"}})")
-    assert {(r["L"], r["k"]) for r in sizes} == {("a1", 2), ("a2", 2), ("b", 0), ("n", 0)}
-    full = m(f"Table.AddColumn(Table.NestedJoin({LEFT}, \"lid\", {RIGHT}, \"rid\", \"n\", JoinKind.FullOuter), \"k\", each Table.RowCount([n]))")
-    assert sorted(r["k"] for r in full) == [0, 0, 2, 2, 2]
+    nest = lambda kind: f'Table.NestedJoin({LEFT}, "port", {RIGHT}, "harbour", "docks", JoinKind.{kind})'
+    flat = m(f'Table.ExpandTableColumn({nest("LeftOuter")}, "docks", {{"harbour", "dock"}})')
+    assert sorted((tuple(r.values()) for r in flat), key=str) == sorted(joined("LeftOuter"), key=str)
+    counted = lambda kind: m(f'Table.RemoveColumns(Table.AddColumn({nest(kind)}, "k", each Table.RowCount([docks])), {{"docks"}})')
+    assert {r["ship"]: r["k"] for r in counted("LeftOuter")} == {"Alba": 1, "Bora": 2, "Cala": 1, "Dune": 0, "Esk": 0, "Fjord": 2}
+    assert sorted(((r["ship"], r["k"]) for r in counted("FullOuter")), key=str) == sorted([("Alba", 1), ("Bora", 2), ("Cala", 1), ("Dune", 0), ("Esk", 0), ("Fjord", 2), (None, 3)], key=str)
 
 
 def test_join_collisions(m):
-    got = m("let t = #table({\"k\", \"v\"}, {{1, 2}}) in Table.Join(t, \"k\", t, \"k\")")
-    assert got == [{"k": 1, "v": 2, "k.1": 1, "v.1": 2}]
+    t = m_table(("code", "rate"), [(31, 0.5)])
+    assert m(f'let t = {t} in Table.Join(t, "code", t, "code")') == [{"code": 31, "rate": 0.5, "code.1": 31, "rate.1": 0.5}]
 
 
 RUNS = "#table({\"k\", \"v\"}, {{\"B\", 1}, {\"A\", 2}, {\"B\", 3}, {\"A\", 4}})"
@@ -84,9 +98,9 @@ def test_pivot_and_unpivot(m):
 
 
 def test_transpose_split_headers(m):
-    assert m("Table.Transpose(#table({\"Name\", \"Value\"}, {{\"Full Name\", \"Fred\"}, {\"Age\", \"42\"}}))") == [{"Column1": "Full Name", "Column2": "Age"}, {"Column1": "Fred", "Column2": "42"}]
-    got = m("Table.SplitColumn(#table({\"n\"}, {{\"Bob White\"}, {\"Ann\"}, {null}}), \"n\", Splitter.SplitTextByDelimiter(\" \"), 2)")
-    assert [(r["n.1"], r["n.2"]) for r in got] == [("Bob", "White"), ("Ann", None), (None, None)]
+    assert m("Table.Transpose(#table({\"Name\", \"Value\"}, {{\"width\", \"18 m\"}, {\"depth\", \"6 m\"}, {\"draft\", null}}))") == [{"Column1": "width", "Column2": "depth", "Column3": "draft"}, {"Column1": "18 m", "Column2": "6 m", "Column3": None}]
+    got = m("Table.SplitColumn(#table({\"crew\"}, {{\"mate:deck:2\"}, {null}, {\"cook\"}, {\"pilot:bridge\"}}), \"crew\", Splitter.SplitTextByDelimiter(\":\"), 2)")
+    assert [(r["crew.1"], r["crew.2"]) for r in got] == [("mate", "deck"), (None, None), ("cook", None), ("pilot", "bridge")]
     assert m("Table.PromoteHeaders(#table(null, {{\"a\", \"a\", null}, {\"1\", \"2\", \"3\"}}))") == [{"a": "1", "a.1": "2", "Column3": "3"}]
     assert m("Splitter.SplitTextByEachDelimiter({\",\", \";\"})(\"a,b;c;d\")") == ["a", "b", "c;d"]
     assert m("Splitter.SplitTextByDelimiter(\",\")(\"a,\"\"b,c\"\",d\")") == ["a", "b,c", "d"]
@@ -165,3 +179,116 @@ def test_mode_of_groups(spark):
     runs = run(spark, "Table.Group(Table.Sort(t, {\"id\"}), {\"g\"}, {{\"m\", each List.Mode([v])}}, GroupKind.Local)", {"t": df})
     assert runs.count() == 1 + sum(a[1] != b[1] for a, b in zip(rows, rows[1:]))
     assert [x["m"] for x in run(spark, "Table.Group(Table.Sort(t, {\"id\"}), {}, {{\"m\", each List.Mode([v])}})", {"t": df}).collect()] == [mode([x[2] for x in rows])]
+
+
+JSON_ROWS = [(1, '{"a": "x", "n": 1.5, "t": true, "z": null, "o": {"h": [1, "q"]}}'), (2, '{"a": "7", "n": 7, "t": false, "o": {"h": []}}'), (3, None), (4, '{"a": 7}')]
+
+
+def test_json_columns_keep_the_kind_of_values(spark):
+    from mlode.api import run
+
+    df = spark.createDataFrame(JSON_ROWS, "id long, j string")
+    read = 'let d = Table.AddColumn(t, "v", each Json.Document([j])) in '
+
+    def got(body, name="y"):
+        return {r["id"]: r[name] for r in run(spark, read + body, {"t": df}).collect()}
+
+    assert set(got('Table.SelectRows(d, each [v][a] = "x")', "id")) == {1}
+    assert set(got("Table.SelectRows(d, each [v][a] = 7)", "id")) == {4}
+    assert got('Table.AddColumn(d, "y", each [v][a]?, type text)') == {1: "x", 2: "7", 3: None, 4: "7"}
+    assert got('Table.AddColumn(d, "y", each [v][z]? = null)') == {1: True, 2: True, 3: True, 4: True}
+    assert got('Table.AddColumn(d, "y", each try Text.Upper([v][a]) otherwise "no text")') == {1: "X", 2: "7", 3: None, 4: "no text"}
+    assert got('Table.AddColumn(d, "y", each try [v][n] + 1 otherwise -1)') == {1: 2.5, 2: 8.0, 3: None, 4: -1.0}
+    assert got('Table.AddColumn(d, "y", each try (if [v][t] then "yes" else "no") otherwise "?")') == {1: "yes", 2: "no", 3: "no", 4: "?"}
+    assert got('Table.AddColumn(d, "y", each try [v][o][h]{1} & "!" otherwise "none")') == {1: "q!", 2: "none", 3: None, 4: "none"}
+    for body in ('Table.AddColumn(d, "y", each [v][none], type text)', "Table.SelectRows(d, each [v][a] > 3)", 'Table.AddColumn(d, "y", each Text.Upper([v][a]))'):
+        with pytest.raises(Exception):
+            run(spark, read + body, {"t": df}).collect()
+    with pytest.raises(UnsupportedError):
+        run(spark, read + "Table.SelectRows(d, each [v][a] = [v][n])", {"t": df})
+
+
+def test_try_catches_failures_not_nulls(m):
+    t = m_table(("a", "s"), [(1, "5"), (0, "x"), (None, None), (2, "")])
+    col = lambda body: [r["y"] for r in m(f'Table.AddColumn({t}, "y", each {body})')]
+    assert col('try Text.At([s], 0) otherwise "none"') == ["5", "x", None, None]
+    assert col("try Number.From([s]) otherwise -1") == [5.0, -1.0, None, -1.0]
+    assert col("try 6 / [a] otherwise -1") == [6.0, -1.0, None, 3.0]
+    assert col("let q = 6 / [a] in try q otherwise -1") == [6.0, -1.0, None, 3.0]
+    assert col("if [a] = 0 then 9 else try 6 / [a] otherwise -1") == [6.0, 9.0, None, 3.0]
+    assert col("try (if [a] = 0 then 9 else 6 / [a]) otherwise -1") == [6.0, 9.0, None, 3.0]
+    assert col("try ([a] = 0 or 6 / [a] > 3) otherwise false") == [True, True, None, False]
+    assert col("try {10, 20}{[a]} otherwise -1") == [20, 10, None, -1]
+    assert col("try (try 6 / [a] otherwise Number.From([s])) otherwise -1") == [6.0, -1.0, None, 3.0]
+
+
+@pytest.mark.parametrize("text, value", [("Number.Round(2.675, 2)", 2.67), ("Number.Round(-2.675, 2)", -2.67), ("Number.Round(0.125, 2)", 0.12), ("Number.Round(1.005, 2)", 1.0), ("Number.Round(25, -1)", 20), ("Number.Round(35, -1)", 40), ("Number.Round(1e300, 3)", 1e300)])
+def test_round_takes_the_binary_value(m, text, value):
+    assert m(text) == value
+
+
+def test_positions_by_any_order(spark):
+    """Dense numbers, fills and runs over several buckets: reversed files, sorts with a hot leading key, nulls and both directions."""
+    import random
+
+    from mlode.api import run
+    from mlode.operators import positional as P
+
+    r = random.Random(3)
+    rows = [(k, r.choice(["hot", "hot", "hot", "a", None]), r.choice([None, None, 1, 2])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, v long").repartition(4)
+    low = lambda x: (x is not None, x)
+    orders = {
+        '{"id"}': sorted(rows), '{"g", "id"}': sorted(rows, key=lambda x: (low(x[1]), x[0])),
+        '{{"g", Order.Descending}, {"id", Order.Ascending}}': sorted(sorted(rows), key=lambda x: low(x[1]), reverse=True),
+    }
+    orders['{{"g", Order.Descending}, {"id", Order.Ascending}}'] = [x for g in ("hot", "a", None) for x in sorted(rows) if x[1] == g]
+    before, P.BUCKET_ROWS = P.BUCKET_ROWS, 256
+    try:
+        for keys, want in orders.items():
+            for back in (False, True):
+                t = f"Table.Sort(t, {keys})"
+                t, seq = (f"Table.ReverseRows({t})", want[::-1]) if back else (t, want)
+                got = run(spark, f'Table.AddIndexColumn({t}, "i")', {"t": df})
+                assert f"hashpartitioning({P.BUCKET}" in got._jdf.queryExecution().executedPlan().toString()
+                assert {x["id"]: x["i"] for x in got.collect()} == {x[0]: k for k, x in enumerate(seq)}
+                last, filled = None, {}
+                for x in seq:
+                    last = x[2] if x[2] is not None else last
+                    filled[x[0]] = last
+                assert {x["id"]: x["v"] for x in run(spark, f'Table.FillDown({t}, {{"v"}})', {"t": df}).collect()} == filled
+                runs = 1 + sum(a[1] != b[1] for a, b in zip(seq, seq[1:]))
+                sizes = run(spark, f'Table.Group({t}, {{"g"}}, {{{{"n", each Table.RowCount(_)}}}}, GroupKind.Local)', {"t": df}).collect()
+                assert len(sizes) == runs and sum(x["n"] for x in sizes) == len(rows)
+    finally:
+        P.BUCKET_ROWS = before
+
+
+def test_positions_of_files_in_both_directions(spark, tmp_path):
+    from mlode.api import run
+    from mlode.operators import positional as P
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(5000).selectExpr("id", "id div 700 as g").coalesce(1).write.parquet(path)
+    before, P.BUCKET_ROWS = P.BUCKET_ROWS, 512
+    try:
+        up = run(spark, 'Table.AddIndexColumn(t, "i")', {"t": path}).collect()
+        down = run(spark, 'Table.AddIndexColumn(Table.ReverseRows(t), "i")', {"t": path}).collect()
+        kept = run(spark, 'Table.AddIndexColumn(Table.SelectRows(t, each Number.Mod([id], 3) = 0), "i")', {"t": path}).collect()
+        local = run(spark, 'Table.Group(Table.ReverseRows(t), {"g"}, {{"n", each Table.RowCount(_)}}, GroupKind.Local)', {"t": path}).collect()
+    finally:
+        P.BUCKET_ROWS = before
+    assert all(x["i"] == x["id"] for x in up) and all(x["i"] == 4999 - x["id"] for x in down) and all(3 * x["i"] == x["id"] for x in kept)
+    assert {x["g"]: x["n"] for x in local} == {g: min(700, 5000 - 700 * g) for g in range(8)}
+
+
+def test_a_column_used_as_a_list_is_bounded(spark):
+    from mlode.api import evaluate
+    from mlode.plans import evaluator as E
+
+    before, E.STEPS = E.STEPS, 100
+    try:
+        with pytest.raises(UnsupportedError):
+            evaluate(spark, 'List.FirstN(t[id], each _ < 5)', {"t": spark.range(1000)})
+    finally:
+        E.STEPS = before
