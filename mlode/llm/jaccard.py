@@ -241,6 +241,8 @@ class _Heads:
         self.new, self.waiting = [], 0
 
 
+#: Rows of groups that a partition gathers before it merges them.
+MERGED_ROWS = 500_000
 GROUPS = "head long, name long, size long, n long"
 NEVER_SMALLER = (1 << 32) - 1
 
@@ -277,19 +279,29 @@ def _group(percent: int):
         if not len(keys):
             return
         first, last = np.full(len(keys), (1 << 63) - 1), np.full(len(keys), -(1 << 63))
-        for at, name, _ in rows_of(held, keys, leasts):
+        for at, name, _ in rows_of(held, keys, leasts):  # the smallest and the largest tell whether there are several
             np.minimum.at(first, at, name)
             np.maximum.at(last, at, name)
         several = first < last
+        found: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for at, name, size in rows_of(held, keys, leasts):
             some = several[at]
-            head, name, size = names[at[some]], name[some], size[some]
-            if not len(head):
-                continue
-            order = np.lexsort((name, head))
-            head, name, size = head[order], name[order], size[order]
-            edge = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (name[1:] != name[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(head[edge]), pa.array(name[edge]), pa.array(size[edge]), pa.array(np.diff(np.append(edge, len(head))).astype(np.int64))], ["head", "name", "size", "n"])
+            found.append((names[at[some]], name[some], size[some], np.ones(int(some.sum()), np.int64)))
+            waiting += len(found[-1][0])
+            if waiting > MERGED_ROWS + len(found[0][0]):
+                found = [merged(found)]
+                waiting = len(found[0][0])
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged(found)], ["head", "name", "size", "n"])
+
+    def merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """One row for each head and name, with all its columns of the partition."""
+        head, name, size, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((name, head))
+        head, name, size, n = head[order], name[order], size[order], n[order]
+        edge = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (name[1:] != name[:-1])]))
+        return head[edge], name[edge], size[edge], np.add.reduceat(n, edge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, heads, held = None, _Heads(), _Held()
