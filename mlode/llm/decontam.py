@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlode.llm.common import table
+from mlode.llm.common import table, written
 
 N = 5
 THRESHOLD = 0.75
@@ -35,6 +35,8 @@ THRESHOLD = 0.75
 SPARE = 3
 #: Sketch hashes that are sent to every task as a set; with more, the lookup is a join on the hash.
 MOST_SENT = 100_000
+#: Candidates (a few numbers each) that are sent to every task to be verified; more are joined.
+MOST_CANDIDATES = 200_000
 
 
 def normal_words(text: Column) -> Column:
@@ -89,20 +91,24 @@ def find_contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     if not total:
         return spark.createDataFrame([], f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, n_item_shingles int, n_shared int, containment double")
     small = total <= MOST_SENT
-    words = docs.select(F.col(doc_id).alias("_doc"), normal_words(F.col(text)).alias("_w")).filter(F.size("_w") >= sizes[0])
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    words = texts.select("_doc", F.xxhash64("_text").alias("_row"), normal_words(F.col("_text")).alias("_w"))
     probes = shingle_hashes(F.col("_w"), sizes)
     if small:
         wanted = [r[0] for r in sketches.select(F.explode("_sketch")).distinct().collect()]
         probes = F.filter(probes, lambda x: x.isin(wanted))
-    # a row's key is its id, which can be null, and the hash of its words or set, which can't
-    hits = words.select(F.col("_doc").alias("_d"), F.xxhash64("_w").alias("_words"), F.size("_w").alias("_len"), F.array_distinct(probes).alias("_found"))
+    # a row's key is its id, which can be null, and the hash of its text or set, which can't
+    hits = words.select(F.col("_doc").alias("_d"), "_row", F.size("_w").alias("_len"), F.array_distinct(probes).alias("_found"))
     # explode_outer: of explode() the optimizer would infer a filter that computes the hits a second time
-    hits = hits.select("_d", "_words", "_len", F.explode_outer("_found").alias("_hash"))
+    hits = hits.select("_d", "_row", "_len", F.explode_outer("_found").alias("_hash"))
     wide = sketches.select(F.explode("_sketch").alias("_hash"), F.col("_item").alias("_i"), "_set", "_n", "_hits", "_least")
     met = hits.join(F.broadcast(wide) if small else wide, "_hash").filter(F.col("_len") - F.col("_n") + 1 >= F.col("_least"))
     # rows of one id and text count once
-    met = met.groupBy("_d", "_words", "_i", "_set").agg(F.count_distinct("_hash").alias("_k"), F.max("_hits").alias("_hits")).filter("_k >= _hits").drop("_k", "_hits")
-    pairs = words.withColumn("_words", F.xxhash64("_w")).join(met, F.col("_d").eqNullSafe(F.col("_doc")) & (met["_words"] == F.xxhash64("_w"))).select("_doc", "_w", "_i", "_set")
+    met = written(met.groupBy("_d", "_row", "_i", "_set").agg(F.count_distinct("_hash").alias("_k"), F.max("_hits").alias("_hits")).filter("_k >= _hits").drop("_k", "_hits"), "candidates")
+    found_few = met.count() <= MOST_CANDIDATES
+    met = met.withColumnRenamed("_row", "_r")
+    pairs = texts.join(F.broadcast(met) if found_few else met, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_r") == F.xxhash64("_text")))
+    pairs = pairs.select("_doc", normal_words(F.col("_text")).alias("_w"), "_i", "_set")
     own = sketches.select("_item", "_n", "_s", "_texts", F.col("_set").alias("_same"))
     pairs = pairs.join(own, F.col("_i").eqNullSafe(F.col("_item")) & (F.col("_set") == F.col("_same")))
     there = F.coalesce(*[F.when(F.col("_n") == k, shingle_texts(F.col("_w"), k)) for k in sizes])
