@@ -1,20 +1,28 @@
 """Operator 3: main text by site style trees.
 
 The pages of a host are merged into one tree of presentation nodes (paths of tag
-and class from the body down). A node has two entropies over the pages: of its
-child sequences (presentation) and of the texts below it (content), each divided
-by its largest possible value, the log of the number of instances. Its importance
-is (1 - GAMMA**l) * presentation + GAMMA**l * content for l children on average.
-Text that every page repeats and layout that never changes score near 0, articles
-near 1. Blocks whose node is below ``LEAST`` (``LEAST_INSIDE`` within an article
-element) and branches below ``LEAST_INSIDE`` are removed from each page. Hosts of fewer than ``FEW_PAGES`` pages are judged by the
-tree of all pages instead, and a node with fewer than ``FEW_PAGES`` instances
-there is kept. Fixed priors go first: elements that never hold an article
-(scripts, forms, navigation, ...) and classes that name boilerplate are removed,
-and where a page has article or main elements, its text is what they hold.
+and class words from the body down) with a content node for the text of each.
+A content node's importance is the entropy of its texts over its instances; a
+presentation node's is (1 - GAMMA**l) times the entropy of its child sequences plus
+GAMMA**l times the mean importance of its l children (averaged over instances):
+both entropies are divided by their largest possible value, the logarithm of the
+number of instances. Text that every page repeats and layout that never changes
+score near 0, articles near 1. A node with fewer than ``FEW_PAGES`` instances isn't
+judged. A branch's score is the largest importance of its judged nodes: branches
+that score below ``LEAST`` (``LEAST_INSIDE`` within an article) are removed from each
+page. Hosts of fewer than ``FEW_PAGES`` pages are judged by the tree of all pages.
+
+Fixed priors go first. Elements that never hold an article (scripts, forms,
+navigation, ...) are cut. So are branches with a class, id or role word that names
+boilerplate: the whole word, or the first or last part of a word with hyphens, but
+no word that tells a state (``has-sidebar``, ``comments-open``, ``no-ad``). Such a
+branch stays if it holds the page's only article or, where nothing else is left, its
+only h1. Where articles (article, main, role=main) hold at least ``MOST_INSIDE`` of
+the characters that are left, the text is what they hold.
 
 Character references are decoded; white space within a block becomes one space;
-blocks are joined in page order by one space.
+blocks are joined in page order by one space. A path has ``DEEPEST`` elements at
+most: deeper elements count as parts of the last one, with all their text.
 
 Nulls: a null html gives the empty text; a null url is a host of its own; a null
 page_id passes through. Repeated rows are pages of their own. Malformed markup is
@@ -44,6 +52,9 @@ FEW_PAGES = 30
 MOST_SENT = 200_000
 SALTS = 32
 ALL_SITES = 0
+#: The share of characters that articles must hold for the rest to go.
+MOST_INSIDE = 1 / 3
+DEEPEST = 48
 
 # fixed values: elements and class words
 NEVER = frozenset("nav footer aside form button select option textarea input label fieldset dialog menu svg canvas iframe object embed audio video map head title meta link base".split())
@@ -53,19 +64,30 @@ BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol
 CLOSES_P = BLOCK - {"html", "body"}
 CORE = frozenset(("article", "main"))
 BOILER = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social widget widgets pagination pager toolbar skip copyright disclaimer".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social widget widgets pagination pager toolbar skip copyright disclaimer contentinfo complementary search".split()
 )
 OUTER_ONLY = frozenset(("header", "top"))
+STATE = frozenset("no not non has have is with without hide show open opened closed on off free enabled disabled allowed visible hidden active".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]{{0,4000}}+\"|'[^']{{0,4000}}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S | re.I,
 )
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_CLASS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PARTS = re.compile(r"[-_:]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+#: Where markup begins that no > ends.
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+_CLOSED = re.compile(r"</[a-z]+\s*>\Z", re.I)
+
+
+def _open(m: re.Match) -> bool:
+    """Whether a token is a comment or raw element that nothing closes."""
+    return (m[0].startswith("<!--") and not m[0].endswith("-->")) or (m[1] is not None and not _CLOSED.search(m[0]))
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -76,23 +98,45 @@ def site_of(url: str | None) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "key", "inside", "cut", "kids", "core", "up")
+    __slots__ = ("tag", "path", "key", "leaf", "depth", "cut", "flag", "kids", "core", "up")
 
-    def __init__(self, tag: str, path: str, up: "_Node | None", cut: bool, core: bool):
-        self.tag, self.path, self.up, self.cut, self.core, self.kids = tag, path, up, cut, core, []
-        self.key = _KEYS.get(path)
-        if self.key is None:
+    def __init__(self, tag: str, path: str, up: "_Node | None", cut: bool, flag: bool, core: bool, depth: int):
+        self.tag, self.path, self.up, self.cut, self.flag, self.core, self.depth, self.kids = tag, path, up, cut, flag, core, depth, []
+        found = _KEYS.get(path)
+        if found is None:
             if len(_KEYS) > 200_000:
                 _KEYS.clear()
-            self.key = _KEYS[path] = _hash(path)
+            found = _KEYS[path] = (_hash(path), _hash(path + ">#text"))
+        self.key, self.leaf = found
+
+    def block(self) -> "_Node":
+        node = self
+        while node.tag not in BLOCK and node.up is not None:
+            node = node.up
+        return node
+
+    def above(self) -> "Iterator[_Node]":
+        node = self
+        while node is not None:
+            yield node
+            node = node.up
 
 
-_KEYS: dict[str, int] = {}
+_KEYS: dict[str, tuple[int, int]] = {}
+
+
+def named(words: list[str], of: frozenset) -> bool:
+    """Whether a word, or the first or last part of one that tells no state, is among those."""
+    for w in words:
+        parts = [x for x in _PARTS.split(w) if x]
+        if w in of or (len(parts) > 1 and STATE.isdisjoint(parts) and (parts[0] in of or parts[-1] in of)):
+            return True
+    return False
 
 
 def blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
-    """(block element, normal text) of each block with text, in page order, and all block elements. Cut ones are left out of both."""
-    root = _Node("body", "body", None, False, False)
+    """(block element, normal text) of each block with text, in page order, and all block elements with their children's names. What the priors cut is left out of both."""
+    root = _Node("body", "body", None, False, False, False, 0)
     stack, found, nodes, parts, at = [root], [], [root], [], 0
 
     def flush() -> None:
@@ -101,12 +145,10 @@ def blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
             parts.clear()
             text = " ".join((html_lib.unescape(text) if "&" in text else text).split())
             if text:
-                block = stack[-1]
-                while block.tag not in BLOCK and block.up is not None:
-                    block = block.up
-                found.append((block, text))
+                found.append((stack[-1].block(), text))
 
-    for m in _TOKEN.finditer(page):
+    m, end = None, page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, end):
         if m.start() > at and not stack[-1].cut:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -144,102 +186,136 @@ def blocks(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
             continue
         attrs = m[4] or m[7] or ""
         words: list[str] = []
+        main = name in CORE
         if "=" in attrs:
-            for a in _CLASS.findall(attrs):
-                words += _WORD.findall("".join(a).lower())
+            for kind, *value in _CLASS.findall(attrs):
+                words += "".join(value).lower().split()
+                main = main or (kind.lower() == "role" and "".join(value).lower() == "main")
         up = stack[-1]
-        core = up.core or name in CORE
-        cut = up.cut or name in NEVER or (not BOILER.isdisjoint(words)) or (not core and (name == "header" or not OUTER_ONLY.isdisjoint(words)))
-        node = _Node(name, up.path + ">" + name + ("." + ".".join(words) if words else "") if name in BLOCK else up.path, up, cut, core)
-        if name in BLOCK and not cut:
+        flag = named(words, BOILER) or (not up.core and not main and (name == "header" or named(words, OUTER_ONLY)))
+        deep = name in BLOCK and up.depth < DEEPEST
+        path = up.path + ">" + name + ("." + ".".join(words) if words else "") if deep else up.path
+        node = _Node(name, path, up, up.cut or name in NEVER, flag, up.core or main, up.depth + deep)
+        if name in BLOCK and not node.cut:
             nodes.append(node)
-            block = up
-            while block.tag not in BLOCK and block.up is not None:
-                block = block.up
-            block.kids.append(node.path[node.path.rindex(">") :])
         if not attrs.endswith("/") or name in BLOCK:
             stack.append(node)
-    if at < len(page) and not stack[-1].cut:
-        parts.append(page[at:])
+    if not stack[-1].cut and not (m and at == end and _open(m)):
+        parts.append(_MARKUP.split(page[at:], maxsplit=1)[0])
     flush()
-    return found, nodes
+
+    flagged = lambda node: any(n.flag for n in node.above())
+    cores = [n for n in nodes if n.core and not n.flag and not (n.up and n.up.core)]
+    keep = cores if cores and all(map(flagged, cores)) else []
+    if not keep and all(flagged(b) for b, _ in found):
+        keep = [n for n in nodes if n.tag == "h1"]
+    for n in keep:
+        for x in n.above():
+            x.flag = False
+    live = {id(n): not flagged(n) for n in nodes}
+    live[id(root)] = True
+    nodes = [n for n in nodes if live[id(n)]]
+    for n in nodes[1:]:
+        n.up.block().kids.append(n)
+    return [x for x in found if live[id(x[0])]], nodes
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """(site, node, kind, feature, n, kids): how often a node had a child sequence (kind 0) or a text below it (kind 1)."""
+    """(site, node, depth, kind, feature, n, kids, share): how often a node had a child sequence (kind 0, with the number of children) or a content node a text (kind 1), and the share of a child in a node's children, summed over instances (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        kids: Counter = Counter()
+        seen: dict[tuple, list] = {}
+
+        def add(key: tuple, kids: int = 0, share: float = 0.0) -> None:
+            have = seen.setdefault(key, [0, 0, 0.0])
+            have[0] += 1
+            have[1] += kids
+            have[2] += share
 
         def out() -> pa.RecordBatch:
-            rows = list(seen.items())
-            cols = list(zip(*(k for k, _ in rows), strict=True)) or [()] * 4
-            batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([n for _, n in rows], pa.int64()), pa.array([kids[k] for k, _ in rows], pa.int64())], ["site", "node", "kind", "feature", "n", "kids"])
+            cols = list(zip(*seen, strict=True)) or [()] * 5
+            sums = list(zip(*seen.values(), strict=True)) or [()] * 3
             seen.clear()
-            kids.clear()
-            return batch
+            kinds = (pa.int64(),) * 7 + (pa.float64(),)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, *sums], kinds, strict=True)], ["site", "node", "depth", "kind", "feature", "n", "kids", "share"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 site = site_of(batch.column(0)[i].as_py())
                 found, nodes = blocks(batch.column(1)[i].as_py() or "")
-                for node in nodes:
-                    k = (site, node.key, 0, _hash("".join(node.kids)))
-                    seen[k] += 1
-                    kids[k] += len(node.kids)
+                texts: dict[int, list[str]] = {}
                 for block, text in found:
-                    feature, node = _hash(text), block
-                    while node is not None:
-                        if node.tag in BLOCK:
-                            seen[(site, node.key, 1, feature)] += 1
-                        node = node.up
+                    texts.setdefault(id(block), []).append(text)
+                for node in nodes:
+                    mine = texts.get(id(node), [])
+                    below = [(k.key) for k in node.kids] + [node.leaf] * len(mine)
+                    add((site, node.key, node.depth, 0, _hash("".join(k.path[k.path.rindex(">") :] for k in node.kids))), len(below))
+                    for text in mine:
+                        add((site, node.leaf, node.depth + 1, 1, _hash(text)))
+                    for key, k in Counter(x for x in below if x != node.key).items():
+                        add((site, node.key, node.depth, 2, key), 0, k / len(below))
                 if len(seen) > 200_000:
                     yield out()
         if seen:
             yield out()
 
-    return pages.select("url", "html").mapInArrow(run, "site long, node long, kind long, feature long, n long, kids long")
+    return pages.select("url", "html").mapInArrow(run, "site long, node long, depth long, kind long, feature long, n long, kids long, share double")
 
 
-def _entropies(counts: DataFrame) -> DataFrame:
-    """importance and instances of each (site, node); counts: one row for each feature."""
+def importances(counts: DataFrame, few: int) -> DataFrame:
+    """site, node, instances, importance and score (the largest importance of the judged nodes of the branch; null if none is judged).
+
+    From the deepest nodes up, one join a depth; the trees have DEEPEST + 1 depths at most."""
     n = F.col("n").cast("double")
-    per = counts.groupBy("site", "node", "kind").agg(F.sum("n").alias("all"), F.sum(n * F.log(n)).alias("nlogn"), F.sum("kids").alias("kids"))
-    share = F.when(F.col("all") > 1, (F.log(F.col("all").cast("double")) - F.col("nlogn") / F.col("all")) / F.log(F.col("all").cast("double"))).otherwise(1.0)
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
-    both = per.groupBy("site", "node").agg(of(0, share).alias("look"), of(1, share).alias("content"), of(0, F.col("kids") / F.col("all")).alias("l"), of(0, F.col("all")).alias("instances"))
-    weight = F.pow(F.lit(GAMMA), F.coalesce("l", F.lit(0.0)))
-    return both.select("site", "node", "instances", ((1 - weight) * F.coalesce("look", F.lit(0.0)) + weight * F.coalesce("content", F.lit(0.0))).alias("importance"))
+    own = counts.filter("kind < 2").groupBy("site", "node", "depth", "kind").agg(F.sum("n").alias("instances"), F.sum(n * F.log(n)).alias("nlogn"), F.sum("kids").alias("kids"))
+    most = F.log(F.col("instances").cast("double"))
+    entropy = F.when(F.col("instances") > 1, (most - F.col("nlogn") / F.col("instances")) / most).otherwise(1.0)
+    own = C.Kept(own.select("site", "node", "depth", "kind", "instances", entropy.alias("entropy"), F.pow(F.lit(GAMMA), F.col("kids") / F.col("instances")).alias("weight")), "style-entropies")
+    shares = counts.filter("kind = 2").select("site", "node", "depth", F.col("feature").alias("child"), "share")
+    judged = lambda v: F.when(F.col("instances") >= few, v)
+    deepest = own.df.agg(F.max("depth").alias("d")).first()["d"]
+    done, below = None, None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        here = own.df.filter(F.col("depth") == depth)
+        leaves = here.filter("kind = 1").select("site", "node", "instances", F.col("entropy").alias("importance"), judged(F.col("entropy")).alias("score"))
+        inner = here.filter("kind = 0")
+        if below is None:
+            inner = inner.withColumn("content", F.lit(0.0)).withColumn("best", F.lit(None).cast("double"))
+        else:
+            children = below.df.select("site", F.col("node").alias("child"), "importance", "score")
+            composed = shares.filter(F.col("depth") == depth).join(children, ["site", "child"]).groupBy("site", "node").agg(F.sum(F.col("share") * F.col("importance")).alias("sum"), F.max("score").alias("best"))
+            inner = inner.join(composed, ["site", "node"], "left").withColumn("content", F.coalesce(F.col("sum") / F.col("instances"), F.lit(0.0)))
+        value = (1 - F.col("weight")) * F.col("entropy") + F.col("weight") * F.col("content")
+        inner = inner.select("site", "node", "instances", value.alias("importance"), "best").select("site", "node", "instances", "importance", F.greatest(judged(F.col("importance")), "best").alias("score"))
+        below = C.Kept(leaves.unionByName(inner), "style-importances")
+        done = below.df if done is None else done.unionByName(below.df)
+    own.drop()
+    if done is None:
+        return counts.sparkSession.createDataFrame([], "site long, node long, instances long, importance double, score double")
+    return done
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
-    """(site, node, importance) of nodes below LEAST: of each host, and of all pages with site ALL_SITES; a host with a tree of its own has a row with node 0."""
-    counts = features(pages).groupBy("site", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("kids").alias("kids"))
-    counts = C.written(counts, "style-trees")
-    everywhere = counts.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("kids").alias("kids")).withColumn("site", F.lit(ALL_SITES).cast("long"))
-    own = _entropies(counts)
+    """(site, node, score) of branches below LEAST: of each host, and of all pages with site ALL_SITES; a host with a tree of its own has a row with node 0."""
+    counts = C.written(features(pages).groupBy("site", "node", "depth", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("kids").alias("kids"), F.sum("share").alias("share")), "style-trees")
+    everywhere = counts.groupBy("node", "depth", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("kids").alias("kids"), F.sum("share").alias("share")).withColumn("site", F.lit(ALL_SITES).cast("long"))
+    found = importances(counts.unionByName(everywhere), FEW_PAGES)
+    own = found.filter(F.col("site") != ALL_SITES)
     large = own.filter((F.col("node") == _hash("body")) & (F.col("instances") >= FEW_PAGES)).select("site")
-    per_host = own.join(large, "site", "left_semi").filter((F.col("importance") < LEAST) & (F.col("instances") >= FEW_PAGES)).select("site", "node", "importance")
-    per_all = _entropies(everywhere).filter((F.col("importance") < LEAST) & (F.col("instances") >= FEW_PAGES)).select("site", "node", "importance")
-    return per_host.unionByName(per_all).unionByName(large.select("site", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("importance")))
+    low = F.col("score") < LEAST
+    per_host = own.filter(low).join(large, "site", "left_semi").select("site", "node", "score")
+    return per_host.unionByName(found.filter(F.col("site") == ALL_SITES).filter(low).select("site", "node", "score")).unionByName(large.select("site", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("score")))
 
 
 def main_text(page: str, low: dict[int, float]) -> str:
     found, _ = blocks(page)
-    if any(b.core for b, _ in found):
-        found = [x for x in found if x[0].core]
+    inside = [x for x in found if x[0].core]
+    if inside and sum(len(t) for _, t in inside) >= MOST_INSIDE * sum(len(t) for _, t in found):
+        found = inside
 
     def kept(block: _Node) -> bool:
-        if low.get(block.key, 1.0) < (LEAST_INSIDE if block.core else LEAST):
-            return False
-        node = block.up
-        while node is not None and node.up is not None:
-            # a branch with an important part can be of middling importance as a whole
-            if low.get(node.key, 1.0) < LEAST_INSIDE:
-                return False
-            node = node.up
-        return True
+        least = LEAST_INSIDE if block.core else LEAST
+        return low.get(block.leaf, 1.0) >= least and all(low.get(n.key, 1.0) >= (LEAST_INSIDE if n.core else least) for n in block.above())
 
     verdict: dict[int, bool] = {}
     out = []
@@ -267,8 +343,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     trees: dict[int, dict[int, float]] = {}
     for r in [] if many_hosts else hosts.collect():
-        trees.setdefault(r["site"], {})[r["node"]] = r["importance"]
-    sent = spark.sparkContext.broadcast(({} if many_general else {r["node"]: r["importance"] for r in everywhere.collect()}, trees))
+        trees.setdefault(r["site"], {})[r["node"]] = r["score"]
+    sent = spark.sparkContext.broadcast(({} if many_general else {r["node"]: r["score"] for r in everywhere.collect()}, trees))
     given = [c for c, many in (("_own", many_hosts), ("_general", many_general)) if many]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +370,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     joined = base.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    per_site = hosts.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("_own")).withColumn("_salt", salts)
+    per_site = hosts.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("node", "score"))).alias("_own")).withColumn("_salt", salts)
     if many_general:
         # the nodes of a page depend on its html alone
         joined = joined.withColumn("_doc", F.md5(F.coalesce("html", F.lit(""))))
@@ -306,15 +382,15 @@ def extract(pages: DataFrame) -> DataFrame:
                     rows = []
                     for url, page, doc, salt in zip(*(batch.column(c)[k : k + 256].to_pylist() for c in range(4)), strict=True):
                         if (at := site_of(url)) not in own:
-                            rows += [(at, doc, salt, key) for key in {node.key for node in blocks(page or "")[1]}]
+                            rows += [(at, doc, salt, key) for key in {x for node in blocks(page or "")[1] for x in (node.key, node.leaf)}]
                     cols = list(zip(*rows, strict=True)) or [()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["site", "_doc", "_salt", "node"])
 
         there = joined.select("url", "html", "_doc", "_salt").mapInArrow(keys, "site long, _doc string, _salt int, node long")
-        there = there.join(everywhere.select("node", "importance", salts.alias("_salt")), ["node", "_salt"])
+        there = there.join(everywhere.select("node", "score", salts.alias("_salt")), ["node", "_salt"])
         if many_hosts:
             there = there.join(per_site.select("site", "_salt"), ["site", "_salt"], "left_anti")
-        per_page = there.groupBy("_doc", "_salt").agg(F.map_from_entries(F.collect_set(F.struct("node", "importance"))).alias("_general"))
+        per_page = there.groupBy("_doc", "_salt").agg(F.map_from_entries(F.collect_set(F.struct("node", "score"))).alias("_general"))
     if many_hosts:
         joined = joined.withColumn("site", site("url")).join(per_site, ["site", "_salt"], "left")
     if many_general:
