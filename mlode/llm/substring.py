@@ -20,7 +20,8 @@ memory. The text is shuffled once (both later steps use the same exchange).
 
 Nulls: null text has no words; a null id counts as larger than any other id and
 stays null in the result. Rows with equal ids don't affect each other. Empty
-tables give no rows. Other columns are not read.
+tables give no rows. Other columns are not read. Ids are whole numbers (what a
+cast to long refuses is an error).
 """
 
 from __future__ import annotations
@@ -40,10 +41,17 @@ LAST_ID = (1 << 63) - 1
 OWNERS, PROBES = 0, 1
 #: Blocks of a partition that are held in memory until all its probes are known; beyond it they wait in a temporary file.
 HELD_BYTES = 64 << 20
+#: Text bytes of a bucket of documents, which a task holds at once: more text makes more buckets.
+BUCKET_BYTES = 64 << 20
+
+
+MOST_KEYS = 4096
 
 
 def partition_keys(spark: SparkSession, n: int) -> list[int]:
-    """An int for each of n hash partitions that Spark deals to that partition."""
+    """An int for each of n hash partitions that Spark deals to that partition (plain numbers, dealt less evenly, where there are many)."""
+    if n > MOST_KEYS:
+        return list(range(n))
     rows = spark.range(0, 40 * n + 200).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect()
     found = {r["p"]: r["k"] for r in rows}
     spare = iter(range(1 << 30, 1 << 31))
@@ -432,11 +440,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """doc_id, n_words, n_removed and kept_text (the kept words joined by one space), or kept_sha256 in its place."""
     spark = docs.sparkSession
     block = (window + 1) // 2
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = partition_keys(spark, n)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(parts, -(-C.input_bytes(docs.select(doc_id, text)) // BUCKET_BYTES))
+    keys = partition_keys(spark, n) if n == parts else list(range(n))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), F.col(text).alias("text"))
-    rows = rows.withColumn("bucket", F.element_at(F.array(*[F.lit(k) for k in keys]), bucket_column(n) + 1))
+    # as many buckets as partitions: one each; more: several in a partition, one after the other
+    rows = rows.withColumn("bucket", F.element_at(F.array(*[F.lit(k) for k in keys]), bucket_column(n) + 1) if n == parts else bucket_column(n))
     routed = rows.select("id", "mark", "text").mapInArrow(_emit_anchors(keys, block, window), ROUTED).repartition(n, "part").sortWithinPartitions("part", "kind")
     hits = routed.mapInArrow(_answer_anchors(keys), HITS)
     # the same exchange of the text serves both meetings with answers, so both take the same columns; a bucket is a partition
