@@ -12,10 +12,11 @@ under each language, and the smallest wins (ties: the first in name order). The
 score is the winner's posterior under equal priors, with code lengths scaled to
 ``EVIDENCE`` bytes at most so that long texts don't all score 1.
 
-Training takes a bounded sample: for each language the ``DOCS_PER_LANG``
-documents (of at most ``LONGEST`` characters) with the smallest id hashes among
-those whose crc32(id as text) mod 4 is not ``HELD_OUT`` and whose language is
-not null. The model (dense tables for the two lower orders, a key table for the
+Training takes a bounded sample: for each of the ``MOST_LANGS`` most frequent
+languages the ``DOCS_PER_LANG`` documents (of at most ``LONGEST`` characters; where
+there are too few, up to ``LONGEST_ANY``) with the smallest id hashes among those
+whose crc32(id as text) mod 4 is not ``HELD_OUT`` and whose language is not null.
+Of rows with one id and language the smallest text counts. The model (dense tables for the two lower orders, a key table for the
 seen strings of the highest) is some MB a language and is broadcast.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; a null id
@@ -25,7 +26,6 @@ Repeated rows are judged alike; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -39,11 +39,11 @@ from mlode.llm import common as C
 DEPTH = 3
 SYMBOLS = 64
 DOCS_PER_LANG = 400
-LONGEST = 20_000
+LONGEST, LONGEST_ANY = 20_000, 1_000_000
+MOST_LANGS = 64
 HELD_OUT = 2
 EVIDENCE = 40
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -137,20 +137,20 @@ class Model:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, longest: int = LONGEST) -> Model | None:
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter((F.crc32(key) % 4 != HELD_OUT) & F.col("_lang").isNotNull() & F.col("_id").isNotNull())
-    usable = rows.filter((F.length("_text") <= longest) & (F.length("_text") > 0))
-    # only rows whose hash share can be among the smallest (four times as many as are wanted) are ranked
+    usable = rows.filter((F.length("_text") <= LONGEST_ANY) & (F.length("_text") > 0)).withColumn("_long", F.length("_text") > longest)
+    # at most MOST_LANGS rows of counts; only rows whose hash share can be among the smallest (four times as many as are wanted) are ranked
     share = F.col("_hash") / float(1 << 64) + 0.5
-    thin = usable.select("_id", "_lang", F.xxhash64("_id").alias("_hash"))
-    few = thin.join(thin.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")), "_lang").filter(share * F.col("_n") <= 4.0 * docs_per_lang)
-    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id")))
-    chosen = ranked.filter(F.col("_rank") <= docs_per_lang).select("_id", "_lang").distinct()
-    # docs_per_lang rows a language of `longest` characters at most: a fixed bound for the driver
-    sample = usable.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi").orderBy("_lang", F.xxhash64("_id"), "_id", "_text").collect()
+    thin = usable.select("_id", "_lang", "_long", F.xxhash64("_id").alias("_hash"))
+    langs = thin.groupBy("_lang").agg(F.count_if(~F.col("_long")).alias("_n"), F.count(F.lit(1)).alias("_all")).orderBy(F.desc("_all"), "_lang").limit(MOST_LANGS)
+    few = thin.join(F.broadcast(langs), "_lang").filter(F.when(F.col("_n") >= docs_per_lang, ~F.col("_long") & (share * F.col("_n") <= 4.0 * docs_per_lang)).otherwise(share * F.col("_all") <= 4.0 * docs_per_lang))
+    once = few.groupBy("_lang", "_id", "_hash").agg(F.min("_long").alias("_long"))
+    ranked = once.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_long", "_hash", "_id")))
+    chosen = ranked.filter(F.col("_rank") <= docs_per_lang).select("_id", "_lang", "_long")
+    # a row for each chosen id: a fixed bound for the driver
+    sample = usable.join(F.broadcast(chosen), ["_id", "_lang", "_long"]).groupBy("_lang", "_id").agg(F.min("_text").alias("_text")).orderBy("_lang", F.xxhash64("_id"), "_id").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sample:
-        mine = texts.setdefault(r["_lang"], [])
-        if len(mine) < docs_per_lang:
-            mine.append(r["_text"].encode())
+        texts.setdefault(r["_lang"], []).append(r["_text"].encode())
     return Model(sorted(texts), texts) if texts else None
 
 
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", tex
                 score = 1 / np.exp2(-gap).sum(1)
                 lettered = C.row_sums(_ASCII_LETTER[data], offsets) > 0
                 for k in np.flatnonzero(~lettered):
-                    lettered[k] = bool(_LETTER.search(texts[i + int(k)].as_py() or ""))
+                    lettered[k] = any(c.isalpha() for c in texts[i + int(k)].as_py() or "")
                 pick = np.where(lettered, best, len(m.langs)).astype(np.int32)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names.take(pa.array(pick)), pa.array(np.where(lettered, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
