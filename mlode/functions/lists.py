@@ -169,7 +169,22 @@ def register(kit: Kit) -> None:
         a, b = F.get(some, lo).cast("double"), F.get(some, F.least(lo + 1, F.size(some) - 1)).cast("double")
         return a + (b - a) * (at - lo)
 
-    both("List.Median", 1, 1, lambda v: percentile(v, 0.5) if v else None, lambda c: Col(F.when(F.size(c.c) > 0, array_percentile(c.c, 0.5)), NUMBER, c.free), agg("List.Median", F.median, NUMBER))
+    def counted(g: GroupColumn, shares: list[float] | float | None) -> Column:
+        """What Table.Group takes from the counts of the group's values: the mode, a percentile or several."""
+        modes = g.group.modes
+        made = F.first(F.col(f"{V.HIDDEN}mode{len(modes)}"))
+        modes.append((g.col.c, g.group.cond, made, shares))
+        return made
+
+    def group_shares(g: GroupColumn, name: str, shares: list[float], listed: bool) -> Col:
+        if g.col.kind.name not in ("number", "any", "null"):
+            raise EvalError(f"{name} needs number values")
+        if g.group.modes is None or ev.ctx.strict:
+            got = [F.percentile(guard(g), F.lit(x)) for x in shares]
+            return Col(F.array(*got), Kind("list", NUMBER)) if listed else Col(got[0], NUMBER)
+        return Col(counted(g, shares if listed else shares[0]), Kind("list", NUMBER) if listed else NUMBER)
+
+    both("List.Median", 1, 1, lambda v: percentile(v, 0.5) if v else None, lambda c: Col(F.when(F.size(c.c) > 0, array_percentile(c.c, 0.5)), NUMBER, c.free), lambda g: group_shares(g, "List.Median", [0.5], False))
 
     def shares(p: Any) -> tuple[list[float], bool]:
         p = ev.const(p, "percentile")
@@ -198,9 +213,7 @@ def register(kit: Kit) -> None:
 
     def percentile_group(g: GroupColumn, p: Any, *rest: Any) -> Col:
         options(rest)
-        many, listed = shares(p)
-        made = [F.percentile(guard(g), F.lit(x)) for x in many]
-        return Col(F.array(*made), Kind("list", NUMBER)) if listed else Col(made[0], NUMBER)
+        return group_shares(g, "List.Percentile", *shares(p))
 
     both("List.Percentile", 2, 3, percentile_list, percentile_array, percentile_group)
 
@@ -237,9 +250,7 @@ def register(kit: Kit) -> None:
         modes = g.group.modes
         if criteria is not None or modes is None or not all(up for _, up in g.group.order):
             return NotImplemented
-        made = F.first(F.col(f"{V.HIDDEN}mode{len(modes)}"))
-        modes.append((g.col.c, g.group.cond, made))
-        return Col(made, g.col.kind)
+        return Col(counted(g, None), g.col.kind)
 
     both("List.Mode", 1, 2, mode, array_mode, group_mode)
 

@@ -260,7 +260,7 @@ def register(kit: Kit) -> None:
         same = [quoted(run)] if local else by
         values = {n: aggregate(f, g) for n, f, _ in wanted}
         counted = modes(t, same, g)
-        alone = {k: n for n, c in values.items() for k, (_, _, made) in enumerate(g.modes or []) if c is made}
+        alone = {k: n for n, c in values.items() for k, (_, _, made, _) in enumerate(g.modes or []) if c is made}
         for k, best in enumerate(counted):
             if k not in alone:  # part of an expression with other aggregates: each row gets it
                 t = Table(beside(t.df, same, best), t.cols, t.order, t.explicit)
@@ -291,13 +291,31 @@ def register(kit: Kit) -> None:
         """A row for each group and List.Mode: counts and first positions of the values, then the best one. Ties: the latest first position."""
         v, n, at = (V.HIDDEN + x for x in ("value", "times", "at"))
         out = []
-        for k, (value, cond, _) in enumerate(g.modes or []):
+        for k, (value, cond, _, shares) in enumerate(g.modes or []):
             rows, keys = t.df if cond is None else t.df.filter(cond), [f"{V.HIDDEN}key{k}_{i}" for i in range(len(same))]
+            if shares is not None:
+                out.append(percentiles(rows.select(*[c.alias(key) for c, key in zip(same, keys, strict=True)], value.alias(v)), keys, v, shares).withColumnRenamed(v, f"{V.HIDDEN}mode{k}"))
+                continue
             place = [F.min(F.struct(*[quoted(x).alias(x) for x, _ in t.order])).alias(at)] if t.order else []
             per = rows.groupBy(*[c.alias(key) for c, key in zip(same, keys, strict=True)], value.alias(v)).agg(F.count(F.lit(1)).alias(n), *place)
             out.append(per.groupBy(*keys).agg(F.max_by(v, F.struct(n, *([at] if place else []), v)).alias(f"{V.HIDDEN}mode{k}")))
         return out
 
+    def percentiles(rows: DataFrame, keys: list[str], v: str, shares: list[float] | float) -> DataFrame:
+        """keys and a percentile, or an array of them, from the counts of distinct values: no task holds the values of a group."""
+        n, upto, total = (V.HIDDEN + x for x in ("times", "upto", "total"))
+        per = rows.filter(F.col(v).isNotNull()).groupBy(*keys, F.col(v).cast("double").alias(v)).agg(F.count(F.lit(1)).alias(n))
+        w = Window.partitionBy(*keys)
+        per = per.withColumn(upto, F.sum(n).over(w.orderBy(v).rowsBetween(Window.unboundedPreceding, 0))).withColumn(total, F.sum(n).over(w))
+        made = []
+        for p in shares if isinstance(shares, list) else [shares]:
+            at = F.lit(p) * (F.col(total) - 1)
+            low, high = F.floor(at), F.ceil(at)
+            value = lambda i: F.max(F.when((F.col(upto) > i) & (F.col(upto) - F.col(n) <= i), F.col(v)))
+            share = F.max(at - low)
+            made.append(F.when(share == 0, value(low)).otherwise((1 - share) * value(low) + share * value(high)))
+        return per.groupBy(*keys).agg((F.array(*made) if isinstance(shares, list) else made[0]).alias(v))
+
     def beside(df: DataFrame, same: list[Column], best: DataFrame) -> DataFrame:
         """df with the values of its groups; keys can be null."""
         keys = best.columns[:-1]

@@ -169,7 +169,7 @@ class TableColumn:
 class Group:
     """The sub-table inside a grouping: row expressions under a condition, to be aggregated.
 
-    modes: (value, condition, the aggregate that stands for it) of each List.Mode, which Table.Group counts on its own; None elsewhere.
+    modes: (value, condition, the aggregate that stands for it, shares or None) of each List.Mode, List.Median and List.Percentile, which Table.Group counts on its own; None elsewhere.
     """
 
     def __init__(self, row: Rec, cond: Column | None, order: list[tuple[str, bool]], nested: bool = False, modes: list | None = None):

@@ -292,3 +292,29 @@ def test_a_column_used_as_a_list_is_bounded(spark):
             evaluate(spark, 'List.FirstN(t[id], each _ < 5)', {"t": spark.range(1000)})
     finally:
         E.STEPS = before
+
+
+def test_percentiles_of_groups_come_from_counts(spark):
+    import random
+
+    from mlode.api import run
+
+    r = random.Random(9)
+    rows = [(r.choice([None, "a", "b"]), r.choice([None, *range(20)])) for _ in range(300)] + [("lone", 4), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    body = """{{"m", each List.Median([v])}, {"p", each List.Percentile([v], {0, 0.3, 1})}, {"x", each List.Percentile([v], 0.9) + Table.RowCount(_)}}"""
+    out = run(spark, 'Table.Group(t, {"g"}, ' + body + ")", {"t": df})
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+    def share(v, p):
+        at = p * (len(v) - 1)
+        low = int(at)
+        return v[low] + (v[min(low + 1, len(v) - 1)] - v[low]) * (at - low)
+
+    for x in out.collect():
+        v = sorted(b for a, b in rows if a == x["g"] and b is not None)
+        n = sum(a == x["g"] for a, _ in rows)
+        if v:
+            assert abs(x["m"] - share(v, 0.5)) < 1e-9 and all(abs(a - share(v, p)) < 1e-9 for a, p in zip(x["p"], (0, 0.3, 1))) and abs(x["x"] - share(v, 0.9) - n) < 1e-9
+        else:
+            assert x["m"] is None and x["x"] is None
