@@ -9,7 +9,8 @@ nulls first.
 A dialogue of any length is rendered in blocks of ``BLOCK_TURNS`` turn numbers,
 one row each, so that no task gathers an unbounded dialogue; a dialogue's blocks
 joined in order of ``block`` are its whole rendering, and spans count from the
-start of their block.
+start of their block. Dialogues of more than ``HOT_TURNS`` turns meet their
+participants in as many salted partitions as they need.
 
 Nulls: a null text is rendered as empty; a null speaker is the participant
 ``unknown``; a null turn number belongs to block -1; rows with a null dialogue
@@ -23,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlode.llm.common import table
+from mlode.llm.common import table, written
 
 SYSTEM = "system"
 UNKNOWN = "unknown"
 BLOCK_TURNS = 256
+HOT_TURNS = 100_000
+#: Long dialogues (an id and a number each) that are sent to every task; more are joined.
+MOST_SENT = 100_000
 
 
 def _head(speaker: Column, perspective: Column) -> Column:
@@ -47,8 +51,18 @@ def rotate(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", sp
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit(UNKNOWN)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.coalesce(F.floor(F.col(turn) / BLOCK_TURNS), F.lit(-1)).cast("long").alias("block"),
     )
-    talk = rows.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).filter(F.col("conv_id").isNotNull()).distinct()
-    known = rows.join(talk, "conv_id")
+    turns_of = rows.filter(F.col("conv_id").isNotNull()).groupBy("conv_id", "speaker").agg(F.count(F.lit(1)).alias("_n"))
+    talk = turns_of.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective"))
+    hot = written(turns_of.groupBy("conv_id").agg(F.ceil(F.sum("_n") / HOT_TURNS).cast("int").alias("_salts")).filter("_salts > 1"), "long-dialogues")
+    many = hot.count()
+    if many:
+        if many <= MOST_SENT:
+            hot = F.broadcast(hot)
+        talk = talk.join(hot, "conv_id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        salted = rows.join(hot, "conv_id", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("turn", "speaker", "text"), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+        known = salted.join(talk, ["conv_id", "_salt"]).drop("_salt")
+    else:
+        known = rows.join(talk, "conv_id")
     alone = rows.filter(F.col("conv_id").isNull() & (F.col("speaker") != SYSTEM)).withColumn("perspective", F.col("speaker"))
     both = known.unionByName(alone)
     return both.withColumn("head", _head(F.col("speaker"), F.col("perspective"))).withColumn("is_target", F.col("speaker") == F.col("perspective"))
