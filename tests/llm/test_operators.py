@@ -402,6 +402,14 @@ def test_chat(spark):
     (a, b), = [map(int, x.split(":")) for x in r["mask"].split(",")]
     assert r["rendered"][a:b] == "hi"
     assert got[2, "unknown", 0]["n_target_turns"] == 2
+    for hot, sent in ((2, 100), (2, 0)):  # long dialogues are salted, by a list that is sent or joined
+        before = chat.HOT_TURNS, chat.MOST_SENT
+        chat.HOT_TURNS, chat.MOST_SENT = hot, sent
+        try:
+            again = {(x["conv_id"], x["perspective"], x["block"]): x for x in chat.assemble(chat.rotate(df)).collect()}
+        finally:
+            chat.HOT_TURNS, chat.MOST_SENT = before
+        assert again == got
     assert chat.assemble(chat.rotate(df.limit(0))).count() == 0
 
 
@@ -564,15 +572,112 @@ def test_site_tree_beyond_what_is_sent(spark):
         assert all(text == f"Text {k} of {k * 7}" for k, _, text, _ in got[1] if k is not None and k not in (98, 99))
 
 
-def test_pipeline(spark, docs, none, tmp_path):
+def brute_quality(rows, good):
+    """The rows that the quality rules keep: n-gram counts in dictionaries, scores as sums."""
+
+    def grams(text):
+        out = []
+        for _, _, data, offsets in common.text_chunks(pa.array([text or ""])):
+            starts, ends, _ = common.words(data, offsets)
+            h = common.span_hashes(data, starts, ends)
+            out = [int(x) % quality.BUCKETS for x in h] + [int(x) % quality.BUCKETS for x in common.gram_hashes(h, 2)]
+        return out
+
+    raw, target = {}, {}
+    for d, t, *_ in rows:
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (d in good)
+    share = sum(target.values()) / sum(raw.values())
+    kept = []
+    for row in rows:
+        w, gs = words(row[1]), grams(row[1])
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        seen = {}
+        for g in windows:
+            seen[g] = seen.get(g, 0) + 1
+        cover = {k + i for k, g in enumerate(windows) if seen[g] > 1 for i in range(5)}
+        score = sum(np.log((target[g] + quality.PRIOR) / (raw[g] * share + quality.PRIOR)) for g in gs) / max(1, len(gs))
+        if len(w) >= 10 and 100 * len(cover) <= 20 * len(w) and score >= quality.THRESHOLD:
+            kept.append(row)
+    return kept
+
+
+def brute_one_of_each(rows):
+    """The rows whose id is the smallest of its near-duplicate group."""
+    sets = {}
+    for d, t, *_ in rows:
+        w = words((t or "").lower()) if (t or "").isascii() else words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets.setdefault(d, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    ids = sorted(d for d in sets if d is not None)
+    comp = {d: d for d in ids}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = {k: low if v == high else v for k, v in comp.items()}
+    return [r for r in rows if r[0] is None or comp[r[0]] == r[0]]
+
+
+def brute_clean(rows, items):
+    def shingles(text, n):
+        w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}, len(w)
+
+    def leaks(text):
+        for _, s in items:
+            n = min(5, shingles(s, 1)[1])
+            if n and 4 * len(shingles(s, n)[0] & shingles(text, n)[0]) >= 3 * len(shingles(s, n)[0]):
+                return True
+        return False
+
+    gone = {r[0] for r in rows if leaks(r[1])}
+    return [r for r in rows if r[0] is None or r[0] not in gone]
+
+
+def brute_mix(rows):
+    n = {}
+    for r in rows:
+        n[r[3]] = n.get(r[3], 0) + 1
+    total = sum(v**mixing.TEMPERATURE for v in n.values())
+    out = []
+    for r in rows:
+        rate = n[r[3]] ** mixing.TEMPERATURE / total * len(rows) / n[r[3]]
+        u = (int(hashlib.md5(f"{mixing.SEED}:{'null' if r[0] is None else r[0]}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, p = 0, np.exp(-rate)
+        f = p
+        while f < u:
+            k += 1
+            p *= rate / k
+            f += p
+        out += [r] * k
+    return out
+
+
+def test_pipeline(spark, docs, rows, none, tmp_path):
+    """Every stage's rows, and the last one's table, against brute force."""
     import corpus_pipeline as P
 
-    docs.drop("copy", "Quality").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    long = [t for _, t, *_ in rows if t and len(t.split()) > 100]
+    items = [(1, " ".join(long[0].split()[20:60])), (2, "none of these words is there at all"), (3, None)]
+    mine = docs.select(names).coalesce(1)
+    mine.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = P.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 10
-    for name, stage in P.STAGES[:-1]:
-        kept = stage(spark, docs, str(tmp_path))
-        assert kept.columns == docs.columns, name
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    steps = [lambda x: brute_quality(x, set(range(40))), brute_one_of_each, lambda x: brute_clean(x, items), brute_mix]
+    want, df = [r[:5] for r in rows], mine
+    for (name, stage), brute in zip(P.STAGES[:-1], steps, strict=True):
+        before, want = len(want), brute(want)
+        df = common.written(stage(spark, df, str(tmp_path)), name)
+        assert df.columns == names and sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str), name
+        assert 10 < len(want) != before, name
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+    tokenizer = token_files.encoder(token_files.default_tokenizer()).tokenizer
+    at, table = 0, []
+    for d, t, *_ in sorted(want, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        table.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4"))))
+        at += len(ids)
+    out = P.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and sorted(map(tuple, out.collect()), key=lambda r: r[1]) == table
