@@ -247,10 +247,10 @@ def test_quality_model_is_the_ratio(spark):
 
 def test_language_model_code_lengths():
     """Exact PPM code lengths, recomputed from counts."""
-    texts = {"aa": [b"abab abba", b"ba"], "bb": [b"zzzz yz"]}
-    model = langid.Model(["aa", "bb"], texts)
-    for probe in (b"abz q", b"b", b""):
-        out = model.bits(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]), model.index())[0]
+    texts = {"aa": [b"abab abba", b"ba"], "bb": [b"zzzz yz", "ÿüÿ 5".encode()], "cc": [bytes(range(256)) * 3]}
+    model = langid.Model(["aa", "bb", "cc"], texts)
+    for probe in (b"abz q", b"b", b"", "ÿüÿÿ 9Z".encode(), bytes(range(255, -1, -1))):
+        out = model.bits(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))[0]
         for i, lang in enumerate(model.langs):
             counts = {}
             for t in texts[lang]:
@@ -275,6 +275,15 @@ def test_language_model_code_lengths():
             assert abs(bits - out[i]) < 1e-3 * max(1, bits)
 
 
+def test_places_of_keys():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 50, 40_000):
+        keys = np.unique(r.integers(0, 1 << 32, n, np.uint64)).astype(np.uint32)
+        sought = np.concatenate([keys, r.integers(0, 1 << 32, 1000, np.uint64).astype(np.uint32)])
+        place = {int(k): i for i, k in enumerate(keys)}
+        assert langid.Keys(keys).find(sought).tolist() == [place.get(int(k), -1) for k in sought]
+
+
 def test_language_queries(spark, docs, rows, none):
     got = langid.predict(docs, langid.fit(docs)).collect()
     assert len(got) == len(rows)
