@@ -25,6 +25,7 @@ from mlode.sources.literal import from_rows
 #: fixed values: code pages
 CODE_PAGES = {1200: "utf-16-le", 1201: "utf-16-be", 1252: "cp1252", 10000: "mac_roman", 20127: "ascii", 28591: "latin-1", 65000: "utf-7", 65001: "utf-8"}
 SPARK_NAMES = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "ascii": "US-ASCII", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}
+ONE_BYTE = ("cp1252", "mac_roman")
 CORRUPT = V.HIDDEN + "bad"
 
 
@@ -261,6 +262,9 @@ def register(kit: Kit) -> None:
         encoding = encoding_of(page, "Csv.Document")
         if isinstance(source, FileRef) and encoding in SPARK_NAMES:
             return scan(source.path, columns, delimiter, style, SPARK_NAMES[encoding], newlines)
+        if isinstance(source, FileRef) and encoding in ONE_BYTE and delimiter.isascii():
+            # read byte by byte, then every cell is translated
+            return recoded(scan(source.path, columns, delimiter, style, SPARK_NAMES["latin-1"], newlines), encoding)
         if isinstance(source, FileRef):
             source = raw_bytes(source)
         if isinstance(source, bytes):
@@ -272,6 +276,20 @@ def register(kit: Kit) -> None:
             raise EvalError("Csv.Document: a row has more values than columns")
         return from_rows(ev, names, [[r[k] if k < len(r) else None for k in range(len(names))] for r in rows])
 
+    def recoded(t: Table, encoding: str) -> Table:
+        """Texts that were read as ISO-8859-1, in another code page of one byte a character."""
+        known, lost = {}, ""
+        for b in range(128, 256):
+            try:
+                known[chr(b)] = bytes([b]).decode(encoding)
+            except UnicodeDecodeError:
+                lost += chr(b)
+        made = []
+        for n in t.cols:
+            c = F.translate(V.quoted(n), "".join(known), "".join(known.values()))
+            made.append((n, F.when(V.quoted(n).rlike(f"[{lost}]"), F.raise_error(F.lit(f"Csv.Document: a byte that {encoding} lacks")).cast("string")).otherwise(c) if lost else c))
+        return t.select(made)
+
     def cut(text: str, delimiter: str, newlines: bool) -> list[list[str]]:
         """Rows of a small text: a token is a quoted stretch, a delimiter, a line end, or a character."""
         body = '(?:[^"]|"")*' if newlines else '(?:[^"\r\n]|"")*'

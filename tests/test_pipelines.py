@@ -32,6 +32,12 @@ def test_csv_edges(m, tmp_path):
     assert len(m(f"Csv.Document(File.Contents(\"{tmp_path}/long.csv\"), null, \",\", ExtraValues.Ignore)")) == 2
     (tmp_path / "w.csv").write_bytes("name\ncafé\n".encode("cp1252"))
     assert [r["Column1"] for r in m(f"Csv.Document(File.Contents(\"{tmp_path}/w.csv\"), [Encoding = 1252])")] == ["name", "café"]
+    (tmp_path / "e.csv").write_bytes("price;note\n5 €;“so”\n7 €;Ž\n".encode("cp1252"))
+    got = m(f"Csv.Document(File.Contents(\"{tmp_path}/e.csv\"), [Delimiter = \";\", Encoding = 1252])")
+    assert [list(r.values()) for r in got] == [["price", "note"], ["5 €", "“so”"], ["7 €", "Ž"]]
+    (tmp_path / "bad.csv").write_bytes(b"x\x81y\n")
+    with pytest.raises(Exception):
+        m(f"Csv.Document(File.Contents(\"{tmp_path}/bad.csv\"), [Encoding = 1252])")
     with pytest.raises(EvalError):
         m("Csv.Document(File.Contents(\"/nowhere.csv\"))")
     with pytest.raises(UnsupportedError):
