@@ -66,31 +66,52 @@ def bucketed(t: Table) -> tuple[DataFrame, bool]:
     rows = t.df.count()
     ranges = min(MOST_RANGES, max(rows // BUCKET_ROWS, min(8, rows // 1000)))
     bucket = F.lit(0)
-    df = t.df
-    if ranges > 1:
-        keys = t.df.select(*[quoted(n) for n, _ in t.order])
-        sample = keys.sample(min(1.0, PER_RANGE * ranges / rows), seed=7).orderBy(*t.order_by()).collect()
+    order = comparable(t)
+    if ranges > 1 and order:
+        sample = t.df.select(*[quoted(n) for n, _ in t.order]).sample(min(1.0, PER_RANGE * ranges / rows), seed=7).orderBy(*t.order_by())
+        # texts of other types cast back exactly
+        plain = (T.StringType, T.BooleanType, T.NumericType, T.StructType)
+        sample = sample.select(*[quoted(n) if isinstance(t.df.schema[n].dataType, plain) else quoted(n).cast("string") for n, _ in order]).collect()
         cuts = [sample[k] for k in range(len(sample) // ranges, len(sample), max(1, len(sample) // ranges))]
         # a place that isn't a file's can differ from one evaluation to the next: rows that it alone tells apart stay together
-        order = t.order
-        for k, (n, _) in enumerate(t.order):
-            if n == ORDINAL and any(not c[n]["f"] or c[n]["f"].endswith("/") for c in cuts):
-                order = t.order[:k]
+        for k, (n, _) in enumerate(order):
+            if n == ORDINAL and any(not c[k]["f"] or c[k]["f"].endswith("/") for c in cuts):
+                order = order[:k]
                 break
         if cuts and order:
-            at, one = HIDDEN + "cuts", keys.schema
-            held = t.df.sparkSession.createDataFrame([(cuts,)], T.StructType([T.StructField(at, T.ArrayType(one))]))
-            df = df.crossJoin(F.broadcast(held))
-            middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-
-            def halve(s: Column, _: Column) -> Column:
-                cut = F.element_at(F.col(at), middle(s) + 1)
-                up = not_before(order, lambda k: cut[order[k][0]])
-                return F.when(s["lo"] >= s["hi"], s).when(up, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
-
-            steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-            bucket = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda s: s["lo"])
-    return df.withColumn(BUCKET, F.struct(F.lit("").alias("f"), bucket.cast("long").alias("r"))).select(*[quoted(c) for c in t.df.columns], BUCKET), True
+            bucket = cuts_before(t, order, cuts)
+    return t.df.withColumn(BUCKET, F.struct(F.lit("").alias("f"), bucket.cast("long").alias("r"))), True
+
+
+def comparable(t: Table) -> list[tuple[str, bool]]:
+    """The leading keys whose values can be written down."""
+    out = []
+    for n, up in t.order:
+        kind = t.df.schema[n].dataType
+        if n != ORDINAL and isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.BinaryType)):
+            break
+        out.append((n, up))
+    return out
+
+
+def cuts_before(t: Table, order: list[tuple[str, bool]], cuts: list[Any]) -> Column:
+    """How many of the sorted cuts a row doesn't stand before: a binary search in a constant array."""
+
+    def value(v: Any, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType) and v is not None:
+            return F.struct(*[value(v[f.name], f.dataType).alias(f.name) for f in kind])
+        return F.lit(v).cast(kind)
+
+    held = F.array(*[F.struct(*[value(c[k], t.df.schema[n].dataType).alias(f"c{k}") for k, (n, _) in enumerate(order)]) for c in cuts])
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def halve(s: Column, _: Column) -> Column:
+        # the cut is fetched once a step
+        up = F.transform(F.array(F.get(held, middle(s))), lambda cut: not_before(order, lambda k: cut[f"c{k}"]))[0]
+        return F.when(s["lo"] >= s["hi"], s).when(up, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda s: s["lo"])
 
 
 def within(t: Table) -> Any:
