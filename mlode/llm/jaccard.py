@@ -243,12 +243,52 @@ class _Heads:
 
 #: Rows of groups that a partition gathers before it merges them.
 MERGED_ROWS = 500_000
-GROUPS = "head long, name long, size long, n long"
+GROUPS = "head long, name long, size long"
 NEVER_SMALLER = (1 << 32) - 1
 
 
-def _group(percent: int):
-    """(head, row, its size, columns) for the rows that meet the bounds with others in a column and class; a partition is read once and kept in memory or on its own disk."""
+def columns_least(size, percent: int):
+    """Columns that a set of this size has in common with any that links, in both prefixes: by the extra of the smallest partner."""
+    return 1 + -(-percent * size // 100) // EXTRA
+
+
+def merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(head, name, size, columns) with one row for each name and head, in that order."""
+    head, name, size, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((head, name))
+    head, name, size, n = head[order], name[order], size[order], n[order]
+    edge = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (name[1:] != name[:-1])]))
+    return head[edge], name[edge], size[edge], np.add.reduceat(n, edge)
+
+
+def _able(percent: int):
+    """GROUPS of the rows that have the columns, in all their groups, that a link would give them; all of a name's packed rows are in one partition."""
+
+    def able(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            head, name, size, n = merged(found)
+            edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            total = np.repeat(np.add.reduceat(n, edge), np.diff(np.append(edge, len(name))))
+            some = total >= columns_least(size, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (head, name, size)], ["head", "name", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, found = None, []
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != part:
+                    yield from able(found)
+                    part, found = p, []
+                found.append(tuple(np.frombuffer(x.as_py(), np.int64).reshape(4, -1)))
+                if len(found) > 64:
+                    found = [merged(found)]
+        yield from able(found)
+
+    return run
+
+
+def _group(keys: list[int], percent: int):
+    """Packed (head, row, its size, columns) of the rows that meet the bounds with others in a column and class, by a partition of their names; a partition of columns is read once and kept in memory or on its own disk."""
 
     def key_of(low: np.ndarray, cls: np.ndarray) -> np.ndarray:
         return (low.astype(np.uint64) << np.uint64(8)) | (cls.astype(np.uint64) & np.uint64(255))
@@ -257,35 +297,35 @@ def _group(percent: int):
         """Whether a column at this place can be one that the set shares with one of the other size or more."""
         return size - place >= shared_least(other, size, percent) - size // EXTRA
 
-    def rows_of(held: list[bytes], keys: np.ndarray, leasts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in keys, name, size) of the entries that meet the bounds."""
+    def rows_of(held: list[bytes], columns: np.ndarray, leasts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in columns, name, size) of the entries that meet the bounds."""
         for blob in held:
             name, size, low, place = _unpack(blob)
             cls, out = _size_class(size), []
             for below in (0, 1):
                 key = key_of(low, cls - below)
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                at = np.minimum(np.searchsorted(columns, key), len(columns) - 1)
                 least = leasts[at].astype(np.int64)
                 can = (least != NEVER_SMALLER) & fits(size, place, least)
                 if not below:
                     can |= fits(size, place, size)
-                member = np.flatnonzero((keys[at] == key) & can & (cls >= below))
+                member = np.flatnonzero((columns[at] == key) & can & (cls >= below))
                 out.append((at[member], name[member], size[member]))
             yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def grouped(heads: _Heads, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         heads.settle()
-        keys, names, leasts = heads.cols
-        if not len(keys):
+        columns, names, leasts = heads.cols
+        if not len(columns):
             return
-        first, last = np.full(len(keys), (1 << 63) - 1), np.full(len(keys), -(1 << 63))
-        for at, name, _ in rows_of(held, keys, leasts):  # the smallest and the largest tell whether there are several
+        first, last = np.full(len(columns), (1 << 63) - 1), np.full(len(columns), -(1 << 63))
+        for at, name, _ in rows_of(held, columns, leasts):  # the smallest and the largest tell whether there are several
             np.minimum.at(first, at, name)
             np.maximum.at(last, at, name)
         several = first < last
         found: list[tuple[np.ndarray, ...]] = []
         waiting = 0
-        for at, name, size in rows_of(held, keys, leasts):
+        for at, name, size in rows_of(held, columns, leasts):
             some = several[at]
             found.append((names[at[some]], name[some], size[some], np.ones(int(some.sum()), np.int64)))
             waiting += len(found[-1][0])
@@ -293,15 +333,12 @@ def _group(percent: int):
                 found = [merged(found)]
                 waiting = len(found[0][0])
         if waiting:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged(found)], ["head", "name", "size", "n"])
-
-    def merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        """One row for each head and name, with all its columns of the partition."""
-        head, name, size, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((name, head))
-        head, name, size, n = head[order], name[order], size[order], n[order]
-        edge = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (name[1:] != name[:-1])]))
-        return head[edge], name[edge], size[edge], np.add.reduceat(n, edge)
+            rows = np.stack(merged(found))
+            to = (C.mix(rows[1].view(np.uint64)) % np.uint64(len(keys))).astype(np.int64)
+            order, cuts = _runs(to, to, len(keys))
+            full = [k for k in range(len(keys)) if cuts[k] < cuts[k + 1]]
+            blobs = [np.ascontiguousarray(rows[:, order[cuts[k] : cuts[k + 1]]]).tobytes() for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in full], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, heads, held = None, _Heads(), _Held()
@@ -533,14 +570,16 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     known = rows.filter(F.col("id").isNotNull())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["entries"] * (100 - percent) // (100 * PARTITION_ENTRIES)))
     levels = spark.sparkContext.broadcast(cell_levels(survey.df))
-    routed = known.mapInArrow(_emit(partition_keys(spark, parts), n, percent, seed, levels), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
-    found = C.Kept(routed.mapInArrow(_group(percent), GROUPS).groupBy("head", "name").agg(F.max("size").alias("size"), F.sum("n").alias("n")), "groups")
-    able = found.df.groupBy("name").agg(F.sum("n").alias("n"), F.max("size").alias("size")).filter(F.col("n") >= 1 + F.floor(F.ceil(percent * F.col("size") / 100) / EXTRA)).select("name")
-    able = C.Kept(found.df.select("head", "name", "size").join(able, "name", "left_semi"), "able-rows")
+    keys = partition_keys(spark, parts)
+
+    def by_part(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "part").sortWithinPartitions("part")
+
+    routed = by_part(known.mapInArrow(_emit(keys, n, percent, seed, levels), "part int, blob binary"))
+    able = C.Kept(by_part(routed.mapInArrow(_group(keys, percent), "part int, blob binary")).mapInArrow(_able(percent), GROUPS), "groups")
     heads = able.df.groupBy("head").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_entries")).filter("n_rows > 1")
     heads = heads.withColumn("n_right", F.greatest(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.ceil(F.col("n_entries") / BLOCK_ENTRIES)))
     groups = C.Kept(able.df.join(heads.select("head", "n_right"), "head"), "rows-of-groups")
-    found.drop()
     able.drop()
     spread = F.col("n_right") > 1
     large = groups.df.filter(spread)
