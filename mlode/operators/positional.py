@@ -23,6 +23,8 @@ INDEX = HIDDEN + "index"
 #: Rows of a bucket, and the most ranges of sort keys; PER_RANGE rows are sampled for each.
 BUCKET_ROWS = 1 << 16
 MOST_RANGES, PER_RANGE = 1024, 48
+#: Ranges up to which a row finds its own by nested conditions.
+MOST_NESTED = 128
 
 
 def fresh(table: Table, stem: str) -> str:
@@ -80,7 +82,7 @@ def bucketed(t: Table) -> tuple[DataFrame, bool]:
                 break
         if cuts and order:
             bucket = cuts_before(t, order, cuts)
-    return t.df.withColumn(BUCKET, F.struct(F.lit("").alias("f"), bucket.cast("long").alias("r"))), True
+    return t.df.withColumn(BUCKET, bucket.cast("long")), True
 
 
 def comparable(t: Table) -> list[tuple[str, bool]]:
@@ -95,13 +97,23 @@ def comparable(t: Table) -> list[tuple[str, bool]]:
 
 
 def cuts_before(t: Table, order: list[tuple[str, bool]], cuts: list[Any]) -> Column:
-    """How many of the sorted cuts a row doesn't stand before: a binary search in a constant array."""
+    """How many of the sorted cuts a row doesn't stand before: a binary search, by nested conditions (which are compiled) or, with many cuts, in a constant array."""
 
     def value(v: Any, kind: T.DataType) -> Column:
         if isinstance(kind, T.StructType) and v is not None:
             return F.struct(*[value(v[f.name], f.dataType).alias(f.name) for f in kind])
         return F.lit(v).cast(kind)
 
+    if len(cuts) <= MOST_NESTED:
+
+        def nested(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            up = not_before(order, lambda k: value(cuts[mid][k], t.df.schema[order[k][0]].dataType))
+            return F.when(up, nested(mid + 1, high)).otherwise(nested(low, mid))
+
+        return nested(0, len(cuts))
     held = F.array(*[F.struct(*[value(c[k], t.df.schema[n].dataType).alias(f"c{k}") for k, (n, _) in enumerate(order)]) for c in cuts])
     middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
 

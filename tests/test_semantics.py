@@ -243,10 +243,12 @@ def test_positions_by_any_order(spark):
         '{{"g", Order.Descending}, {"id", Order.Ascending}}': sorted(sorted(rows), key=lambda x: low(x[1]), reverse=True),
     }
     orders['{{"g", Order.Descending}, {"id", Order.Ascending}}'] = [x for g in ("hot", "a", None) for x in sorted(rows) if x[1] == g]
-    before, P.BUCKET_ROWS = P.BUCKET_ROWS, 256
+    before = P.BUCKET_ROWS, P.MOST_NESTED
+    P.BUCKET_ROWS = 256
     try:
         for keys, want in orders.items():
             for back in (False, True):
+                P.MOST_NESTED = 0 if back else 128  # both ways to find a range
                 t = f"Table.Sort(t, {keys})"
                 t, seq = (f"Table.ReverseRows({t})", want[::-1]) if back else (t, want)
                 got = run(spark, f'Table.AddIndexColumn({t}, "i")', {"t": df})
@@ -261,7 +263,7 @@ def test_positions_by_any_order(spark):
                 sizes = run(spark, f'Table.Group({t}, {{"g"}}, {{{{"n", each Table.RowCount(_)}}}}, GroupKind.Local)', {"t": df}).collect()
                 assert len(sizes) == runs and sum(x["n"] for x in sizes) == len(rows)
     finally:
-        P.BUCKET_ROWS = before
+        P.BUCKET_ROWS, P.MOST_NESTED = before
 
 
 def test_positions_of_files_in_both_directions(spark, tmp_path):
