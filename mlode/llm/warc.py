@@ -292,8 +292,9 @@ def read_archives(urls: DataFrame, ranges: list[dict]) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # dealt by file and megabyte, so that a task reads neighbouring records and a large file is split
-    dealt = find_captures(urls, ranges).withColumn("mb", F.shiftright("offset", 20)).repartition("file", "mb").sortWithinPartitions("file", "offset").drop("mb")
+    # dealt by file and megabyte, so that a task reads neighbouring records and a large file is split; a row here stands for a record, so partitions must not be put together by their size
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = find_captures(urls, ranges).withColumn("mb", F.shiftright("offset", 20)).repartition(parts, "file", "mb").sortWithinPartitions("file", "offset").drop("mb")
     return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
