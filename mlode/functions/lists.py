@@ -17,7 +17,7 @@ from mlode.functions.kit import Kit
 from mlode.plans import values as V
 from mlode.plans.errors import EvalError
 from mlode.plans.evaluator import plain_equal
-from mlode.plans.values import ANY, LOGICAL, NUMBER, Col, Enum, Fn, Group, GroupColumn, Kind, Rec, Table, TableColumn, as_col
+from mlode.plans.values import ANY, LOGICAL, NUMBER, Col, Distinct, Enum, Fn, Group, GroupColumn, Kind, Rec, Table, TableColumn, as_col
 
 
 def register(kit: Kit) -> None:
@@ -116,7 +116,7 @@ def register(kit: Kit) -> None:
         return made
 
     fold = lambda c, start, step: F.aggregate(c, start, step)
-    both("List.Count", 1, 1, len, lambda c: Col(F.size(c.c).cast("long"), NUMBER, c.free, True), lambda g: Col(F.count(F.lit(1)) if g.group.cond is None else F.count_if(g.group.cond), NUMBER, False, True))
+    both("List.Count", 1, 1, len, lambda c: Col(c.count() if isinstance(c, Distinct) else F.size(c.c).cast("long"), NUMBER, c.free, True), lambda g: Col(F.count(F.lit(1)) if g.group.cond is None else F.count_if(g.group.cond), NUMBER, False, True))
     both("List.NonNullCount", 1, 1, lambda v: sum(x is not None for x in v), lambda c: Col(F.size(F.filter(c.c, lambda x: x.isNotNull())).cast("long"), NUMBER, c.free, True), lambda g: Col(F.count(g.value()), NUMBER, False, True))
     both("List.IsEmpty", 1, 1, lambda v: not v, lambda c: Col(F.size(c.c) == 0, LOGICAL, c.free), lambda g: Col((F.count(F.lit(1)) if g.group.cond is None else F.count_if(g.group.cond)) == 0, LOGICAL))
 
@@ -391,7 +391,14 @@ def register(kit: Kit) -> None:
                 out.append(x)
         return out
 
-    both("List.Distinct", 1, 1, distinct, lambda c: Col(F.array_distinct(c.c), c.kind, c.free))
+    def list_distinct(v: Any) -> Any:
+        s = source(v, "List.Distinct")
+        if isinstance(s, GroupColumn):
+            return Distinct(s)
+        s = ev.const(s) if isinstance(s, TableColumn) else s
+        return distinct(s) if isinstance(s, list) else Col(F.array_distinct(s.c), s.kind, s.free)
+
+    fn("List.Distinct", 1, 1, list_distinct)
 
     # -- membership
     def criteria(rest: tuple, name: str) -> None:

@@ -200,6 +200,24 @@ class GroupColumn:
         return Col(F.transform(F.array_sort(gathered) if keys else gathered, lambda x: x["v"]), Kind("list", self.col.kind))
 
 
+class Distinct(Col):
+    """The distinct values of a group's column: a list that is gathered where it is needed, and counted without."""
+
+    def __init__(self, of: GroupColumn):
+        self.of, self.kind, self.free, self.whole = of, Kind("list", of.col.kind), False, False
+
+    @property
+    def c(self) -> Column:
+        return F.array_distinct(self.of.array().c)
+
+    def count(self) -> Column:
+        """How many, null being one of them."""
+        v = F.struct(self.of.col.c.alias("v"))
+        v = v if self.of.group.cond is None else F.when(self.of.group.cond, v)
+        # modes is None in a stream, which has no distinct aggregate, and in a pivot's cells
+        return F.count_distinct(v) if self.of.group.modes is not None else F.size(F.array_distinct(F.collect_set(v))).cast("long")
+
+
 PLAIN = (bool, int, float, str, bytes, dt.date, dt.datetime, dt.time, dt.timedelta)
 
 

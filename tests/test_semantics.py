@@ -320,3 +320,19 @@ def test_percentiles_of_groups_come_from_counts(spark):
             assert abs(x["m"] - share(v, 0.5)) < 1e-9 and all(abs(a - share(v, p)) < 1e-9 for a, p in zip(x["p"], (0, 0.3, 1))) and abs(x["x"] - share(v, 0.9) - n) < 1e-9
         else:
             assert x["m"] is None and x["x"] is None
+
+
+def test_distinct_values_of_groups_are_counted_without_a_list(spark):
+    from mlode.api import run
+
+    rows = [("a", x, k) for k, x in enumerate([0.0, -0.0, 1.5, None, None, 1.5, float("nan"), float("nan")])] + [("b", None, 8), (None, 2.0, 9), (None, 3.0, 10)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    body = """{{"n", each List.Count(List.Distinct([v]))}, {"some", each List.Count(List.Distinct(List.RemoveNulls([v]))) + Table.RowCount(_)}, {"med", each List.Median([v])}}"""
+    for t in ("t", 'Table.Sort(t, {{"id", Order.Descending}})'):
+        out = run(spark, f'Table.Group({t}, {{"g"}}, {body})', {"t": df})
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {x["g"]: (x["n"], x["some"]) for x in out.collect()} == {"a": (4, 11), "b": (1, 1), None: (2, 4)}
+    listed = run(spark, 'Table.Group(t, {"g"}, {{"v", each List.Distinct([v])}, {"first", each List.First(List.Distinct([v]))}})', {"t": df.coalesce(1)}).collect()
+    assert {x["g"]: x["v"] for x in listed if x["g"] != "a"} == {"b": [None], None: [2.0, 3.0]} and [x["first"] for x in listed if x["g"] == "a"] == [0.0]
+    cells = run(spark, 'Table.Pivot(Table.SelectColumns(t, {"g", "v"}), {"a", "b"}, "g", "v", each List.Count(List.Distinct(_)))', {"t": df}).collect()
+    assert [x.asDict() for x in cells] == [{"a": 4, "b": 1}]
