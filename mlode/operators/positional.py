@@ -126,10 +126,10 @@ def cuts_before(t: Table, order: list[tuple[str, bool]], cuts: list[Any]) -> Col
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda s: s["lo"])
 
 
-def within(t: Table) -> Any:
-    """The window of a bucket in t's order; rows of a file's bucket differ in the row number alone."""
+def within(t: Table, back: bool = False) -> Any:
+    """The window of a bucket in t's order, or against it; rows of a file's bucket differ in the row number alone."""
     r = quoted(ORDINAL)["r"]
-    order = [r.asc() if t.order[0][1] else r.desc()] if in_file_order(t) else t.order_by()
+    order = [r.asc() if t.order[0][1] != back else r.desc()] if in_file_order(t) else t.order_by(back)
     return Window.partitionBy(BUCKET).orderBy(*order)
 
 
@@ -195,22 +195,23 @@ def skip_while(t: Table, test: Column) -> Table:
 
 
 def filled(t: Table, names: list[str], down: bool) -> Table:
-    """Nulls from the last value before (or after): within buckets, then from the buckets around."""
+    """Nulls from the last value before (or after): within buckets, then from the buckets around.
+
+    To fill up, the windows run against the order: a frame that ends with the partition is evaluated anew for each row.
+    """
     df, up = bucketed(t)
-    w = within(t)
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if down else w.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if down else F.first
-    local = df.select("*", *[pick(quoted(n), ignorenulls=True).over(w).alias(f"{HIDDEN}fill{k}") for k, n in enumerate(names)])
+    w = within(t, not down)
+    filling = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = df.select("*", *[F.last(quoted(n), ignorenulls=True).over(filling).alias(f"{HIDDEN}fill{k}") for k, n in enumerate(names)])
     keys = F.struct(*[quoted(c).alias(c) for c, _ in t.order])
     by = F.max_by if down == t.order[0][1] else F.min_by
     if len({up for _, up in t.order}) > 1:
-        keys, by = F.row_number().over(within(t)), F.max_by if down else F.min_by
+        keys, by = F.row_number().over(w), F.max_by
         df = df.withColumn(HIDDEN + "key", keys)
         keys = F.col(HIDDEN + "key")
     ends = df.groupBy(BUCKET).agg(*[by(F.when(quoted(n).isNotNull(), F.struct(quoted(n).alias("v"))), F.when(quoted(n).isNotNull(), keys)).alias(f"{HIDDEN}end{k}") for k, n in enumerate(names)])
-    across = along(up)
-    across = across.rowsBetween(Window.unboundedPreceding, -1) if down else across.rowsBetween(1, Window.unboundedFollowing)
-    carry = ends.select(BUCKET, *[pick(F.col(f"{HIDDEN}end{k}"), ignorenulls=True).over(across)["v"].alias(f"{HIDDEN}carry{k}") for k in range(len(names))])
+    across = along(up == down).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(BUCKET, *[F.last(F.col(f"{HIDDEN}end{k}"), ignorenulls=True).over(across)["v"].alias(f"{HIDDEN}carry{k}") for k in range(len(names))])
     joined = local.join(carry, BUCKET)
     keep = [quoted(c) if c not in names else F.coalesce(F.col(f"{HIDDEN}fill{names.index(c)}"), F.col(f"{HIDDEN}carry{names.index(c)}")).alias(c) for c in t.df.columns]
     return t.keep(joined.select(*keep))

@@ -336,3 +336,35 @@ def test_distinct_values_of_groups_are_counted_without_a_list(spark):
     assert {x["g"]: x["v"] for x in listed if x["g"] != "a"} == {"b": [None], None: [2.0, 3.0]} and [x["first"] for x in listed if x["g"] == "a"] == [0.0]
     cells = run(spark, 'Table.Pivot(Table.SelectColumns(t, {"g", "v"}), {"a", "b"}, "g", "v", each List.Count(List.Distinct(_)))', {"t": df}).collect()
     assert [x.asDict() for x in cells] == [{"a": 4, "b": 1}]
+
+
+def test_fill_up_takes_one_pass(spark, tmp_path):
+    """Against the order of sorts and files, over several buckets; no frame that ends with its partition, which costs the square of a bucket."""
+    import random
+
+    from mlode.api import run
+    from mlode.operators import positional as P
+
+    r = random.Random(5)
+    rows = [(k, r.choice(["hot", "hot", "a", None]), r.choice([None, None, None, 1, 2]), r.choice([None, "x", "y"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, v long, w string")
+    path = str(tmp_path / "t.parquet")
+    df.coalesce(1).write.parquet(path)
+    low = lambda x: (x is not None, x)
+    orders = {
+        "t": rows, 'Table.Sort(t, {"id"})': rows, 'Table.Sort(t, {"g", "id"})': sorted(rows, key=lambda x: (low(x[1]), x[0])),
+        'Table.Sort(t, {{"g", Order.Descending}, {"id", Order.Ascending}})': [x for g in ("hot", "a", None) for x in rows if x[1] == g],
+    }
+    before, P.BUCKET_ROWS = P.BUCKET_ROWS, 256
+    try:
+        for t, want in orders.items():
+            for t, seq in ((t, want), (f"Table.ReverseRows({t})", want[::-1])):
+                out = run(spark, f'Table.FillUp({t}, {{"v", "w"}})', {"t": path})
+                assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+                last, filled = (None, None), {}
+                for x in seq[::-1]:
+                    last = tuple(a if a is not None else b for a, b in zip(x[2:], last))
+                    filled[x[0]] = last
+                assert {x["id"]: (x["v"], x["w"]) for x in out.collect()} == filled
+    finally:
+        P.BUCKET_ROWS = before
