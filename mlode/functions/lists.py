@@ -391,11 +391,20 @@ def register(kit: Kit) -> None:
                 out.append(x)
         return out
 
+    def distinct_of_table(s: TableColumn) -> list:
+        """Only distinct values reach the driver, and cost a step each; those of kinds without an order or of their own equality are compared there."""
+        from mlode.operators.positional import distinct_values
+
+        if s.col.kind.name not in ("number", "text", "logical", "date", "datetime", "datetimezone", "duration", "time"):
+            return distinct(ev.const(s))
+        return ev.const(TableColumn(distinct_values(s.table, s.name), s.name))
+
     def list_distinct(v: Any) -> Any:
         s = source(v, "List.Distinct")
         if isinstance(s, GroupColumn):
             return Distinct(s)
-        s = ev.const(s) if isinstance(s, TableColumn) else s
+        if isinstance(s, TableColumn):
+            return distinct_of_table(s)
         return distinct(s) if isinstance(s, list) else Col(F.array_distinct(s.c), s.kind, s.free)
 
     fn("List.Distinct", 1, 1, list_distinct)

@@ -217,6 +217,25 @@ def filled(t: Table, names: list[str], down: bool) -> Table:
     return t.keep(joined.select(*keep))
 
 
+def distinct_values(t: Table, name: str) -> Table:
+    """The values of a column, each where it comes first. NaN equals nothing, so each NaN stays."""
+    value, alone, file, row = (HIDDEN + x for x in ("value", "alone", "file", "row"))
+    place = F.struct(*[quoted(n).alias(n) for n, _ in t.order]) if t.order else F.monotonically_increasing_id()
+    floating = isinstance(t.df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    lone = F.when(F.isnan(quoted(name)), place) if floating else F.lit(0)
+    df, keys = t.df.select(quoted(name).alias(value), lone.alias(alone), *[quoted(n) for n, _ in t.order]), [value, alone]
+    if not t.order:
+        df = df.dropDuplicates(keys)
+    elif in_file_order(t):
+        # in each file, then in the first of them: what meets all rows keeps one number a value
+        end = F.min if t.order[0][1] else F.max
+        df = df.groupBy(*keys, quoted(ORDINAL)["f"].alias(file)).agg(end(quoted(ORDINAL)["r"]).alias(row))
+        df = df.groupBy(*keys).agg(end(F.struct(F.col(file).alias("f"), F.col(row).alias("r"))).alias(ORDINAL))
+    else:
+        df = df.withColumn(row, F.row_number().over(Window.partitionBy(*keys).orderBy(*t.order_by()))).filter(F.col(row) == 1)
+    return Table(df.select(F.col(value).alias(name), *[quoted(n) for n, _ in t.order]), [name], t.order)
+
+
 def rows_at(t: Table, k: int) -> Rec | None:
     """Row k as a record of values: one job."""
     got = (first_n(t, k + 1) if t.order else t).result().limit(k + 1).collect()

@@ -368,3 +368,32 @@ def test_fill_up_takes_one_pass(spark, tmp_path):
                 assert {x["id"]: (x["v"], x["w"]) for x in out.collect()} == filled
     finally:
         P.BUCKET_ROWS = before
+
+
+def test_distinct_values_of_a_column_cost_a_step_each(spark, tmp_path):
+    """In the order of their first rows, whatever the number of rows."""
+    from mlode.api import evaluate, run
+    from mlode.plans import evaluator as E
+
+    path, rows = str(tmp_path / "t.parquet"), [("c", 1.0), ("a", None), (None, 2.0), ("b", 1.0), ("a", 3.0), ("c", None), (None, 2.0)] * 200
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "id long, g string, v double")
+    df.coalesce(1).write.parquet(path)
+    nan = spark.createDataFrame([(0, float("nan")), (1, 1.0), (2, float("nan")), (3, 1.0), (4, -0.0), (5, 0.0)], "id long, v double").coalesce(1)
+    before, E.STEPS = E.STEPS, 100
+    try:
+        wants = {"t": ["c", "a", None, "b"], "Table.ReverseRows(t)": [None, "c", "a", "b"], 'Table.Sort(t, {"g", "id"})': [None, "a", "b", "c"], 'Table.Sort(t, {{"v", Order.Descending}, {"id", Order.Ascending}})': ["a", None, "c", "b"]}
+        for t, want in wants.items():
+            assert evaluate(spark, f"List.Distinct({t}[g])", {"t": path}) == want
+        assert evaluate(spark, "List.Distinct(t[v])", {"t": path}) == [1, None, 2, 3]
+        assert evaluate(spark, "List.Distinct(t[v])", {"t": df.limit(0)}) == []
+        for t in ("t", 'Table.Sort(t, {"id"})'):
+            some = evaluate(spark, f"List.Distinct({t}[v])", {"t": nan})
+            assert [str(x) for x in some] in (["nan", "1.0", "nan", "-0.0"], ["nan", "1.0", "nan", "0.0"])
+        with pytest.raises(UnsupportedError):
+            evaluate(spark, "List.Distinct(t[id])", {"t": path})
+        text = 'let G = Table.Group(t, {"v", "g"}, {{"n", each Table.RowCount(_)}}) in Table.Pivot(G, List.RemoveNulls(List.Distinct(t[g])), "g", "n")'
+        pivoted = run(spark, text, {"t": path})
+        assert pivoted.columns == ["v", "c", "a", "b"]
+        assert {x["v"]: (x["c"], x["a"], x["b"]) for x in pivoted.collect()} == {1: (200, None, 200), None: (200, 200, None), 2: (None, None, None), 3: (None, 200, None)}
+    finally:
+        E.STEPS = before
